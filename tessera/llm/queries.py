@@ -23,5 +23,28 @@ def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2))
 
 
+def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 ids."""
+    from tessera.llm.packing import Limits, pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1, limits=Limits(2048, 256, 2048))
+
+
+def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages judged; a labelled page (by its number) is bad if its quality is 0."""
+    from tessera.llm.reputation import Prior, Rule, judge
+
+    rules = [Rule("com", "/en/", False), Rule("example.com", "/en/7", True), Rule("net", "/de/", True), Rule("example.net", "/de/8", False), Rule("org", "/es/", False)]
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id AS page_id", "CASE WHEN quality = 0 THEN 1 WHEN quality = 1 THEN 0 END AS bad")
+    return judge(table(spark, sf_dir, "pages"), labels, rules, Prior(z=1.645, threshold=0.5))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights 3, 1, 2 by source."""
+    from tessera.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
