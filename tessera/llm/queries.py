@@ -23,6 +23,13 @@ def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2))
 
 
+def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of all documents and the verdict by the frequency of lines within their source."""
+    from tessera.llm.quality import LineLimits, line_quality
+
+    return line_quality(table(spark, sf_dir, "documents"), LineLimits(documents=10, share=0.001, left=0.5, words=20))
+
+
 def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 ids."""
     from tessera.llm.packing import Limits, pack_documents
@@ -30,6 +37,13 @@ def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1, limits=Limits(2048, 256, 2048))
 
 
+def op4_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their fingerprint and group of near-duplicates."""
+    from tessera.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), radius=3, width=3)
+
+
 def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages judged; a labelled page (by its number) is bad if its quality is 0."""
     from tessera.llm.reputation import Prior, Rule, judge
