@@ -60,5 +60,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
 
 
+def op10_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings with their links of cosine 0.95 or more and their group."""
+    from tessera.llm.ego import similar_vectors
+
+    return similar_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
