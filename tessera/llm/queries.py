@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.shared import table
 
@@ -53,6 +54,16 @@ def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), labels, rules, Prior(z=1.645, threshold=0.5))
 
 
+def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model learned from labels whose fold is not 0."""
+    from tessera.llm.toxicity import Fit, score, train
+
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels").where(fold != 0), Fit(docs=20_000))
+    return score(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted", "passages", "best_segment")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 3, 1, 2 by source."""
     from tessera.llm.mixing import mix
