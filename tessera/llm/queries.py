@@ -54,6 +54,15 @@ def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), labels, rules, Prior(z=1.645, threshold=0.5))
 
 
+def op7_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents: the base rules' spans and those that boosted trees add."""
+    from tessera.llm.pii import Boost, fit, joined, with_spans
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = with_spans(docs, fit(docs, Boost(docs=4_000)))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by a model learned from labels whose fold is not 0."""
     from tessera.llm.toxicity import Fit, score, train
