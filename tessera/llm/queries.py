@@ -45,6 +45,13 @@ def op4_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), radius=3, width=3)
 
 
+def op5_interval_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages of 200 bytes that start anywhere else."""
+    from tessera.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages judged; a labelled page (by its number) is bad if its quality is 0."""
     from tessera.llm.reputation import Prior, Rule, judge
