@@ -68,17 +68,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with all their columns; the last copy may be a text's first words.
+    """The rows of docs (doc_id, text, source and any others) as often as the mix takes them; a last copy may be a text's first words.
 
-    A row is known by its id and size (repeated rows take part in turn), so docs should have distinct ids.
+    A row is known by its id and size; rows that agree in both share what they take evenly. n_chars follows the text.
     """
-    taken = mix(docs, **options).select(F.col("doc_id").alias("m_id"), F.col("size").alias("m_size"), "taken")
-    taken = taken.groupBy("m_id", "m_size").agg(F.sum("taken").alias("taken"), F.count("*").alias("m_rows")).where("taken > 0")
-    rows = docs.withColumn("m_words", n_words(F.col("text"))).join(taken, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("m_words") == F.col("m_size")))
-    share = F.floor(F.col("taken") / F.col("m_rows")).cast("long")
-    copies = F.ceil(share / F.col("m_size")).cast("int")
-    rows = rows.withColumn("m_share", share).where("m_share > 0").withColumn("m_copy", F.explode(F.sequence(F.lit(1), copies)))
-    left = F.col("m_share") - (F.col("m_copy") - 1) * F.col("m_size")
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    text = F.when(left >= F.col("m_size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, left.cast("int")), ""))
-    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    taken = mix(docs, **options).groupBy("doc_id", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).where("taken > 0")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), n_words(F.col("text")).alias("words"), F.col("text").alias("whole"))
+    rows = rows.join(taken, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("words") == F.col("size")))
+    rows = rows.withColumn("share", F.round(F.col("taken") / F.col("n")).cast("long")).where("share > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("share") / F.col("size")).cast("int"))))
+    left = F.col("share") - (F.col("copy") - 1) * F.col("size")
+    words = F.regexp_extract_all("whole", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    rows = rows.withColumn("cut", F.when(left >= F.col("size"), F.col("whole")).otherwise(F.array_join(F.slice(words, 1, left.cast("int")), "")))
+    own = {"text": F.col("cut"), "n_chars": F.length("cut").cast("long")}
+    return rows.select(*(own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

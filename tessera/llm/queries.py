@@ -67,7 +67,7 @@ def op7_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = with_spans(docs, fit(docs, Boost(docs=4_000)))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
 def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,8 @@ def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels").where(fold != 0), Fit(docs=20_000))
-    return score(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted", "passages", "best_segment")
+    rows = score(docs, model).select("row.doc_id", "score", "predicted", "passages", "best_segment")
+    return rows.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted", "passages", "best_segment")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

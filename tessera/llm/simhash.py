@@ -48,15 +48,19 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """doc_id and fp (the unsigned fingerprint's bits as a long), a row for each row of docs; null and wordless texts have 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, keep_hash: bool = False) -> DataFrame:
+    """doc_id and fp (the unsigned fingerprint's bits as a long), a row for each row of docs; null and wordless texts have 0.
+
+    keep_hash: also th, a hash of the text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), width) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(fps)], names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(make, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+    found = rows.mapInArrow(make, "doc_id long, th long, fp long")
+    return found if keep_hash else found.drop("th")
 
 
 def stars(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,6 +131,14 @@ def _then_none(batches: Iterator) -> Iterator:
     yield None
 
 
+def _grouped(fps: DataFrame, radius: int) -> DataFrame:
+    """fps: doc_id, fp, ... (stored) -> fp, root (one fingerprint of the group) and component_id."""
+    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    roots = components(near_edges(distinct.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
+    named = stored(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    return named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable by links), a row for each row of docs.
 
@@ -134,9 +146,25 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     component's name unless all of its ids are null.
     """
     fps = stored(fingerprints(docs, id_col, text_col, width), "simhash")
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(near_edges(distinct.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
-    named = stored(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = named.join(ids, "root").select("fp", "component_id")
-    return fps.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(_grouped(fps, radius).drop("root"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = 3) -> DataFrame:
+    """The rows of docs (doc_id, text and any others), of each group of near-duplicates the one of least id.
+
+    A null id comes last; among rows of one id a hash of the text decides, and of rows that agree in both one stays. What goes
+    is known by id and hash, and is broadcast if counted to be few; the texts themselves are not shuffled then.
+    """
+    fps = fingerprints(docs.select("doc_id", "text"), width=width, keep_hash=True)
+    fps = stored(fps, "simhash")
+    first = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("id"), F.col("th"))
+    roots = stored(_grouped(fps, radius).select("fp", "root"), "simhash-groups")
+    rows = stored(fps.join(roots, "fp").groupBy("root", "doc_id", "th").agg(F.count("*").alias("n")), "simhash-rows")
+    best = rows.groupBy("root").agg(F.min(first).alias("best"))
+    judged = stored(rows.join(best, "root").select("doc_id", "th", "n", (first == F.col("best")).alias("stays")), "simhash-judged")
+    gone = judged.where("NOT stays OR n > 1").select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), "stays")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"))
+    same = F.col("id").eqNullSafe(F.col("g_id")) & (F.col("th") == F.col("g_th"))
+    marked = rows.join(small_or_not(gone), same, "left")
+    once = marked.where("stays").dropDuplicates(["id", "th"])  # rows that repeat id and text
+    return marked.where("stays IS NULL").select("row").unionByName(once.select("row")).select("row.*")

@@ -178,15 +178,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return tuple(float(v) for v in w)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the columns score (0 to 1), predicted, passages (significant segments) and best_segment (its score) added.
+def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """row (all columns of docs as a struct, so that no name can clash), score (0 to 1), predicted, passages (significant
+    segments) and best_segment (its raw score).
 
     A null or empty text has no segments and the score of none. Texts are whole; a task streams what it reads.
     """
-    added = "score double, predicted int, passages long, best_segment double"
-    clash = set(docs.columns) & {c.split()[0] for c in added.split(", ")} | {"text"} - set(docs.columns)
-    if clash:
-        raise ValueError(f"columns: {sorted(clash)}")
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by Fit.tokens
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,8 +192,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             got = [m.features(t) for t in batch["text"].to_pylist()]
             s = np.array([m.probability(b, t) for b, t, _, _ in got], float)
-            new = [pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array([k for _, _, k, _ in got], pa.int64()), pa.array([b for _, _, _, b in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(c.split()[0] for c in added.split(", "))])
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array([k for _, _, k, _ in got], pa.int64()), pa.array([b for _, _, _, b in got], pa.float64())], names=["row", "score", "predicted", "passages", "best_segment"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(rate, f"{kinds}, {added}")
+    return rows.mapInArrow(rate, f"row {rows.schema['row'].dataType.simpleString()}, score double, predicted int, passages long, best_segment double")
