@@ -26,7 +26,7 @@ _TOKEN = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Fit:
-    """docs: labelled documents to learn from at most (those of least hash of id); prior: the Dirichlet prior's weight in documents;
+    """docs: labels to learn from at most (those of least hash of id); prior: the Dirichlet prior's weight in documents;
     z, seen: a token enters the lexicon if its log-odds are so many deviations above 0 and so many toxic documents have it;
     tokens: entries of the lexicon at most (largest z); other: score of any other token; highest: of any token; stem: letters
     that stand for unseen tokens of more than so many."""
@@ -41,6 +41,20 @@ class Fit:
     stem: int = 4
 
 
+class _Known(dict):
+    """Scores of words as they stand between white space: the highest of their tokens. Remembers a bounded number."""
+
+    def __init__(self, model: Model, most: int = 500_000):
+        super().__init__()
+        self.model, self.most = model, most
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= self.most:
+            self.clear()
+        found = self[word] = max(map(self.model.token_score, _TOKEN.findall(word)), default=0.0)
+        return found
+
+
 @dataclass
 class Model:
     tokens: dict[str, float] = field(default_factory=dict)
@@ -51,17 +65,27 @@ class Model:
     scale: float = 1.0  # K
     curve: tuple[float, float, float] = (-4.0, 0.0, 0.0)
 
+    def __post_init__(self):
+        self.known = _Known(self)
+
+    def __getstate__(self):
+        return {k: v for k, v in vars(self).items() if k != "known"}
+
+    def __setstate__(self, state):
+        vars(self).update(state)
+        self.known = _Known(self)
+
     def token_score(self, token: str) -> float:
         found = self.tokens.get(token)
         return found if found is not None else self.stems.get(token[: self.stem], 0.0) if len(token) > self.stem else 0.0
 
     def segments(self, text: str | None) -> tuple[int, list[tuple[float, int, int]]]:
-        """The number of tokens, and of each maximal scoring segment its score and its tokens' span."""
-        tokens = _TOKEN.findall((text or "").lower())
-        hits = {t: s for t in set(tokens) if (s := self.token_score(t)) > 0}
-        if not hits:
-            return len(tokens), []
-        return len(tokens), maximal_segments([(i, hits[t]) for i, t in enumerate(tokens) if t in hits], self.other)
+        """The number of words, and of each maximal scoring segment its score and its words' span."""
+        words = (text or "").lower().split()
+        scores = list(map(self.known.__getitem__, words))
+        if not any(scores):
+            return len(words), []
+        return len(words), maximal_segments([(i, s) for i, s in enumerate(scores) if s], self.other)
 
     def features(self, text: str | None) -> tuple[float, float, int, float]:
         """Best segment in extreme-value terms, the sum of the significant ones, their number, the best raw score."""
@@ -111,8 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit | None = None) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic (rows with null count for nothing). Learns from a bounded sample; without both
     kinds of label the model says what there is: a small constant, or 1/2 and more if all are toxic."""
     fit = fit or Fit()
-    known = docs.select("doc_id", "text").join(labels.where("toxic IN (0, 1)").select("doc_id", "toxic"), "doc_id")
-    sample = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(fit.docs).select("text", F.col("toxic").cast("long").alias("toxic")).repartition(16), "toxicity-sample")
+    chosen = labels.where("toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("long").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(fit.docs)
+    sample = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxicity-sample")  # at most fit.docs ids
     by_label = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, rest = by_label.get(1, 0), by_label.get(0, 0)
     model = Model(other=fit.other, stem=fit.stem)
@@ -133,6 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit | None = None) -> Model:
     found = _lexicon(stored(counts, "toxicity-tokens"), toxic, rest, fit)
     model.tokens = {t: d for t, (d, _) in found.items() if t[-1] != "*"}
     model.stems = {t[:-1]: d for t, (d, _) in found.items() if t[-1] == "*"}
+    model.known.clear()
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
