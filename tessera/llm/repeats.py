@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import small_or_not, stored
 
 #: Bytes that are hashed at once; contexts of one hash that a task scans together, beyond which its windows are counted one by one.
-_CHUNK, GROUP = 1 << 20, 32_768
+_CHUNK, GROUP = 1 << 20, 200_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -156,133 +156,162 @@ def _merged(runs: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+def _hashes_at(text: bytes, places: np.ndarray, k: int) -> np.ndarray:
+    """The hashes of the k bytes at these places, as anchors() gives them."""
+    data = np.frombuffer(text, np.uint8)
+    if len(places) * k > 8 * len(data):
+        return gram_hashes(data, k)[places].view(np.int64)
+    grams = np.lib.stride_tricks.sliding_window_view(data, k)[places].astype(np.uint64) + np.uint64(1)
+    up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(k - 1, _BASE)]))
+    return _mixed((grams * up).sum(axis=1, dtype=np.uint64)).view(np.int64)
+
+
+def _row(names: list[str], columns: list, kinds: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
 def remove_repeats(docs: DataFrame, length: int = 200, k: int = 50, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes), a row for each row of docs.
 
     Every byte goes that is covered by a string of `length` bytes that also starts anywhere else in docs as given. A null text is
-    empty. Equal texts are known by their SHA-256: of a text that occurs twice all goes (if long enough); it is searched once.
+    empty. Equal texts are known by 16 bytes of their SHA-256: of a text that occurs twice all goes (if long enough), and it is
+    searched once. Equal contexts of one anchor hash are scanned once, too: they repeat in full, and share what the scan finds.
+    Texts are read again where they are needed and never shuffled while what selects them is counted to be small.
     """
     if not 0 < k <= length:
         raise ValueError("0 < k <= length")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
-    rows = rows.withColumn("sha", F.unhex(F.sha2("text", 256)))
+    rows = rows.withColumn("whole_sha", F.sha2("text", 256)).withColumn("sha", F.unhex(F.substring("whole_sha", 1, 32)))
+    known = stored(rows.select("doc_id", "whole_sha", F.octet_length("text").cast("long").alias("n"), "sha"), "repeat-texts")
+    copied = stored(known.groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")).where("copies > 1"), "repeat-copies")
+    # one row of each text (of rows with one text and id, each: that text goes anyway)
+    one = rows.join(small_or_not(copied.select("sha", "least", F.lit(True).alias("again")), _IDS), "sha", "left")
+    one = one.where(F.col("again").isNull() | F.col("doc_id").eqNullSafe(F.col("least"))).select("sha", "text")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, hashes = [], []
-            for text in _texts(batch):
-                p, h = anchors(np.frombuffer(text, np.uint8), length, k)
-                places.append(p.astype(np.int32))
-                hashes.append(h)
-            ends = np.cumsum([0, *map(len, places)]).astype(np.int32)
-            flat = [pa.array(np.concatenate([*x, np.empty(0, d)]).astype(d)) for x, d in ((places, np.int32), (hashes, np.int64))]
-            n = pa.array([len(t.as_py()) for t in batch["text"]], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["sha"], n, *(pa.ListArray.from_arrays(pa.array(ends), x) for x in flat)], names=["doc_id", "sha", "n", "places", "hashes"])
-
-    marked = stored(rows.mapInArrow(mark, "doc_id long, sha binary, n long, places array<int>, hashes array<long>"), "repeat-anchors")
-    whole = stored(marked.groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), "repeat-texts")
-
-    # hashes that occur at two places of different texts, or at two of one
+            found = [anchors(np.frombuffer(t, np.uint8), length, k) for t in _texts(batch)]
+            ends = pa.array(np.cumsum([0, *(len(p) for p, _ in found)]).astype(np.int32))
+            places = np.concatenate([*(p for p, _ in found), np.empty(0)]).astype(np.int32)
+            hashes = np.concatenate([np.empty(0, np.int64), *(h for _, h in found)])
+            yield _row(["sha", "places", "hashes"], [batch["sha"], *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (places, hashes))], [None] * 3)
+
+    marked = stored(one.mapInArrow(mark, "sha binary, places array<int>, hashes array<long>"), "repeat-anchors")
+    often = marked.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     at = marked.select("sha", F.explode(F.arrays_zip("places", "hashes")).alias("x")).select("sha", F.col("x.places").alias("place"), F.col("x.hashes").alias("hash"))
-    key = F.struct(F.xxhash64("sha").alias("s"), "place")
-    often = stored(at.groupBy("hash").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b").select("hash"), "repeat-hashes")
-    hit = at.join(small_or_not(often, 1_000_000), "hash", "left_semi").distinct()
-    wanted = stored(hit.groupBy("sha").agg(F.sort_array(F.collect_list("place")).alias("places")), "repeat-places")  # of one text
-    found = rows.join(small_or_not(wanted), "sha").join(small_or_not(whole.select(F.col("sha").alias("w"), "least")), (F.col("sha") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("least")))
-    found = stored(found.select("sha", "text", "places"), "repeat-candidates")
+    hit = at.join(small_or_not(stored(often, "repeat-hashes"), _IDS), "hash", "left_semi")
+    wanted = stored(hit.groupBy("sha").agg(F.array_distinct(F.collect_list("place")).alias("places")), "repeat-places")  # of one text
 
     before = length - k
 
-    def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for sha, text, places in zip(*(batch[c].to_pylist() for c in ("sha", "text", "places")), strict=True):
-                p = np.array(places)
-                h = _hashes_at(text, p, k)
-                left = [text[max(0, i - before) : i][::-1] for i in places]
-                right = [text[i : i + length] for i in places]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([sha] * len(p), pa.binary()), pa.array(p.astype(np.int32)), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["hash", "sha", "place", "left", "right"])
+    def parts(text: bytes, places: list[int]) -> tuple[list[bytes], list[bytes]]:
+        return [text[max(0, i - before) : i][::-1] for i in places], [text[i : i + length] for i in places]
 
-    contexts = found.mapInArrow(context, "hash long, sha binary, place int, left binary, right binary")
-    contexts = stored(contexts.dropDuplicates(["hash", "sha", "place"]), "repeat-contexts")
-    sizes = stored(contexts.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > group).select("hash"), "repeat-hot")
-    usual, hot = contexts.join(small_or_not(sizes), "hash", "left_anti"), contexts.join(small_or_not(sizes), "hash", "left_semi")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, rows_, out = None, [], []
-
-        def over() -> None:
-            if len(rows_) > 1:
-                for (sha, place, _, _), runs in zip(rows_, repeat_runs([r[3] for r in rows_], [r[2] for r in rows_], length), strict=True):
-                    out.extend((sha, place + a, place + b) for a, b in _merged(runs))
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
         for batch in batches:
-            for h, *r in zip(*(batch[c].to_pylist() for c in ("hash", "sha", "place", "left", "right")), strict=True):
-                if h != current:
-                    over()
-                    current, rows_ = h, []
-                rows_.append(r)
-            if out:
-                yield _runs(out)
-                out = []
-        over()
-        yield _runs(out)
+            for sha, text, places in zip(*(batch[c].to_pylist() for c in ("sha", "text", "places")), strict=True):
+                p = np.array(places, np.int32)
+                near = [xxhash.xxh64_intdigest(text[max(0, i - before) : i + length], min(i, before)) - (1 << 63) for i in places]
+                size = np.minimum(p, before), np.minimum(len(text) - p, length)
+                yield _row(["hash", "digest", "sha", "place", "back", "ahead"], [_hashes_at(text, p, k), near, [sha] * len(p), p, *(x.astype(np.int32) for x in size)], [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()])
+
+    contexts = stored(_with_places(one, wanted).mapInArrow(digest, "hash long, digest long, sha binary, place int, back int, ahead int"), "repeat-contexts")
+    kinds = contexts.groupBy("hash", "digest").agg(F.count("*").alias("n"), F.min(F.struct("sha", "place")).alias("at"), F.max("back").alias("back"), F.max("ahead").alias("ahead"))
+    kinds = stored(kinds, "repeat-kinds")
+    several = stored(kinds.groupBy("hash").agg(F.count("*").alias("kinds")).where("kinds > 1"), "repeat-several")
+    chosen = kinds.join(small_or_not(several, _IDS), "hash").select("hash", "digest", "kinds", "at.sha", "at.place")
+    chosen = stored(chosen.groupBy("sha").agg(F.collect_list(F.struct("place", "hash", "digest", "kinds")).alias("places")), "repeat-chosen")
 
-    runs = usual.repartition("hash").sortWithinPartitions("hash", "right", "left").mapInArrow(scan, "sha binary, a long, b long")
-    runs = runs.unionByName(_hot_runs(hot, length, k))
-    gone = stored(runs.groupBy("sha").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("runs")), "repeat-runs")  # of one text
+    def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, of in zip(batch["text"].to_pylist(), batch["places"].to_pylist(), strict=True):
+                left, right = parts(text, [x["place"] for x in of])
+                yield _row(["hash", "digest", "kinds", "left", "right"], [*([x[c] for x in of] for c in ("hash", "digest", "kinds")), left, right], [pa.int64()] * 3 + [pa.binary()] * 2)
+
+    shown = _with_places(one, chosen).mapInArrow(context, "hash long, digest long, kinds long, left binary, right binary")
+    found = _scanned(shown.where(F.col("kinds") <= group), length)
+    if several.where(F.col("kinds") > group).limit(1).count():
+        found = found.unionByName(_counted(shown.where(F.col("kinds") > group), length))
+    twins = kinds.where((F.col("n") > 1) & (F.col("back") + F.col("ahead") >= length)).select("hash", "digest", (-F.col("back")).cast("long").alias("a"), F.col("ahead").cast("long").alias("b"))
+    # all runs about one anchor hold the anchor, so together they are one run
+    found = found.unionByName(twins).groupBy("hash", "digest").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    covered = contexts.join(stored(found, "repeat-found"), ["hash", "digest"]).select("sha", (F.col("place") + F.col("a")).alias("a"), (F.col("place") + F.col("b")).alias("b"))
+    gone = stored(covered.groupBy("sha").agg(F.collect_set(F.struct("a", "b")).alias("places")), "repeat-runs")  # of one text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for sha, text, rs in zip(*(batch[c].to_pylist() for c in ("sha", "text", "runs")), strict=True):
-                merged, kept, last = _merged([(r["a"], r["b"]) for r in rs]), [], 0
+            for sha, text, of in zip(*(batch[c].to_pylist() for c in ("sha", "text", "places")), strict=True):
+                merged, kept, last = _merged([(r["a"], r["b"]) for r in of]), [], 0
                 for a, b in merged:
                     kept.append(text[last:a])
                     last = b
                 rest = b"".join([*kept, text[last:]])
-                out.append((sha, len(text) - len(rest), len(merged), hashlib.sha256(rest).hexdigest(), rest if with_text else None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], names=["sha", "removed", "spans", "kept_sha", "rest"])
-
-    partly = found.dropDuplicates(["sha"]).select("sha", "text").join(gone, "sha").mapInArrow(cut, "sha binary, removed long, spans long, kept_sha string, rest binary")
-    partly = whole.select("sha", "copies").join(partly, "sha", "left")
-    result = (rows if with_text else marked).join(partly, "sha")
-    n = F.octet_length("text").cast("long") if with_text else F.col("n")
-    all_gone = (F.col("copies") > 1) & (n >= length)
+                yield _row(["sha", "removed", "spans", "kept_sha", "rest"], [[sha], [len(text) - len(rest)], [len(merged)], [hashlib.sha256(rest).hexdigest()], [rest if with_text else None]], [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary()])
+
+    partly = _with_places(one, gone).mapInArrow(cut, "sha binary, removed long, spans long, kept_sha string, rest binary").dropDuplicates(["sha"])
+    whole = copied.select("sha", F.lit(True).alias("copied"))
+    result = (rows.withColumn("n", F.octet_length("text").cast("long")) if with_text else known).join(whole, "sha", "left").join(partly, "sha", "left")
+    all_gone = F.col("copied") & (F.col("n") >= length)
     pick = lambda full, part, none: F.when(all_gone, full).otherwise(F.coalesce(part, none))
     zero = F.lit(0).cast("long")
-    columns = [F.col("doc_id"), n.alias("n_bytes"), pick(n, F.col("removed"), zero).alias("n_removed"), pick(F.lit(1).cast("long"), F.col("spans"), zero).alias("n_spans"), pick(F.lit(hashlib.sha256(b"").hexdigest()), F.col("kept_sha"), F.lower(F.hex("sha"))).alias("kept_sha256")]
+    columns = [F.col("doc_id"), F.col("n").alias("n_bytes"), pick(F.col("n"), F.col("removed"), zero).alias("n_removed"), pick(F.lit(1).cast("long"), F.col("spans"), zero).alias("n_spans"), pick(F.lit(hashlib.sha256(b"").hexdigest()), F.col("kept_sha"), F.col("whole_sha")).alias("kept_sha256")]
     if with_text:
         columns.append(pick(F.lit(b""), F.col("rest"), F.col("text")).alias("kept"))
     return result.select(*columns)
 
 
-def _hashes_at(text: bytes, places: np.ndarray, k: int) -> np.ndarray:
-    """The hashes of the k bytes at these places, as anchors() gives them."""
-    data = np.frombuffer(text, np.uint8)
-    if len(places) * k < len(data):
-        grams = np.lib.stride_tricks.sliding_window_view(data, k)[places].astype(np.uint64) + np.uint64(1)
-        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(k - 1, _BASE)]))
-        return _mixed((grams * up).sum(axis=1, dtype=np.uint64)).view(np.int64)
-    return gram_hashes(data, k)[places].view(np.int64)
+#: Rows of ids, and numbers in lists beside them, that are broadcast at most.
+_IDS, _NUMBERS = 2_000_000, 8_000_000
+
+
+def _with_places(one: DataFrame, places: DataFrame) -> DataFrame:
+    """one: sha, text; places: sha, places (a list), a stored table. Broadcast if its lists are counted to be small."""
+    n = places.agg(F.count("*"), F.sum(F.size("places"))).first()
+    return one.join(F.broadcast(places) if n[0] <= _IDS and (n[1] or 0) <= _NUMBERS else places, "sha")
+
+
+def _scanned(shown: DataFrame, length: int) -> DataFrame:
+    """Contexts in suffix order -> hash, digest, a, b: runs of bytes about the anchor that repeat."""
+    kinds = [pa.int64()] * 4
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, out = None, [], []
+
+        def over() -> None:
+            for (digest, _, _), runs in zip(held, repeat_runs([r[2] for r in held], [r[1] for r in held], length), strict=True):
+                if runs:
+                    out.append((current, digest, min(a for a, _ in runs), max(b for _, b in runs)))
 
+        for batch in batches:
+            for h, *r in zip(*(batch[c].to_pylist() for c in ("hash", "digest", "left", "right")), strict=True):
+                if h != current:
+                    over()
+                    current, held = h, []
+                held.append(r)
+            if out:
+                yield _row(["hash", "digest", "a", "b"], list(zip(*out, strict=True)), kinds)
+                out = []
+        over()
+        yield _row(["hash", "digest", "a", "b"], list(zip(*out, strict=True)) or [[]] * 4, kinds)
 
-def _runs(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), *(pa.array([r[i] for r in out], pa.int64()) for i in (1, 2))], names=["sha", "a", "b"])
+    rows = shown.select("hash", "digest", "left", "right").repartition("hash").sortWithinPartitions("hash", "right", "left")
+    return rows.mapInArrow(scan, "hash long, digest long, a long, b long")
 
 
-def _hot_runs(hot: DataFrame, length: int, k: int) -> DataFrame:
-    """The same runs for hashes with very many contexts, without holding those together: every window of `length` bytes about an
-    anchor is hashed (SHA-256) and counted by partial sums; windows that occur at two places give a run each."""
+def _counted(shown: DataFrame, length: int) -> DataFrame:
+    """The same for hashes with very many different contexts, without holding them together: every window of `length` bytes
+    about an anchor is hashed and counted by partial sums; windows of two contexts give a run each."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sha, place, left, right in zip(*(batch[c].to_pylist() for c in ("sha", "place", "left", "right")), strict=True):
+            for h, digest, left, right in zip(*(batch[c].to_pylist() for c in ("hash", "digest", "left", "right")), strict=True):
                 near = left[::-1] + right
-                starts = range(len(near) - length + 1)
-                digests = [hashlib.sha256(near[s : s + length]).digest()[:16] for s in starts]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([sha] * len(starts), pa.binary()), pa.array([place - len(left) + s for s in starts], pa.int64())], names=["window", "sha", "a"])
-
-    rows = hot.mapInArrow(windows, "window binary, sha binary, a long")
-    key = F.struct("sha", "a")
-    often = rows.groupBy("window").agg(F.min(key).alias("x"), F.max(key).alias("y")).where("x <> y").select("window")
-    return rows.join(often, "window").select("sha", "a", (F.col("a") + length).alias("b"))
+                starts = range(max(0, len(near) - length + 1))
+                hashed = [hashlib.sha256(near[s : s + length]).digest()[:16] for s in starts]
+                yield _row(["hash", "digest", "a", "window"], [[h] * len(starts), [digest] * len(starts), [s - len(left) for s in starts], hashed], [pa.int64()] * 3 + [pa.binary()])
+
+    rows = stored(shown.mapInArrow(windows, "hash long, digest long, a long, window binary"), "repeat-windows")
+    often = rows.groupBy("hash", "a", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(often, ["hash", "a", "window"], "left_semi").select("hash", "digest", "a", (F.col("a") + length).alias("b"))
