@@ -63,13 +63,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found if keep_hash else found.drop("th")
 
 
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; as unsigned numbers, for those of a negative one are counted by its absolute value."""
+    return np.bitwise_count(np.bitwise_xor(a, b).view(np.uint64))
+
+
 def stars(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what links of at most `radius` differing bits connect: each fingerprint to its group's smallest."""
     a, b, left = [], [], fps
     while len(left):
         group, waiting, left = [left[0]], [left[0]], left[1:]
         while waiting and len(left):
-            near = np.bitwise_count(left ^ waiting.pop()) <= radius
+            near = _differ(left, waiting.pop()) <= radius
             if near.any():
                 group += list(left[near])
                 waiting += list(left[near])
@@ -112,7 +117,7 @@ def near_edges(distinct: DataFrame, radius: int = RADIUS, part: int = PART) -> D
             fps, a, b = held[:, 4], [], []
             for x, y in zip(bounds[:whole], bounds[1 : whole + 1], strict=True):
                 if y - x == 2:
-                    if np.bitwise_count(fps[x] ^ fps[x + 1]) <= radius:
+                    if _differ(fps[x : x + 1], fps[x + 1 : x + 2])[0] <= radius:
                         a.append(fps[x : x + 1])
                         b.append(fps[x + 1 : x + 2])
                 elif y - x > 2:
