@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A broadcast of the operators holds at most so many rows (of a few numbers each); beyond it they join by shuffle.
@@ -40,3 +40,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it is counted to hold at most so many rows, else as it is. df should be a stored table."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def about(df: DataFrame, rows: int, key: Column) -> DataFrame:
+    """About so many rows of df (all, if it has no more), those whose key's hash is low: a bounded sample without a sort or shuffle,
+    the same each time. df's rows are counted first, which for a table of files reads no column."""
+    n = df.count()
+    return df if n <= rows else df.where(F.shiftright(F.xxhash64(key), 1) < int((rows / n * 2 - 1) * (1 << 62)))

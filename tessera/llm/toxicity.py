@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import stored
+from tessera.llm.shared import about, stored
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
 class Fit:
-    """docs: labels to learn from at most (those of least hash of id); prior: the Dirichlet prior's weight in documents;
+    """docs: labels to learn from, about so many at most (those of low hash of id); prior: the Dirichlet prior's weight in documents;
     z, seen: a token enters the lexicon if its log-odds are so many deviations above 0 and so many toxic documents have it;
     tokens: entries of the lexicon at most (largest z); other: score of any other token; highest: of any token; stem: letters
     that stand for unseen tokens of more than so many."""
@@ -44,14 +44,15 @@ class Fit:
 class _Known(dict):
     """Scores of words as they stand between white space: the highest of their tokens. Remembers a bounded number."""
 
-    def __init__(self, model: Model, most: int = 500_000):
+    def __init__(self, model: Model, most: int = 1_000_000):
         super().__init__()
         self.model, self.most = model, most
 
     def __missing__(self, word: str) -> float:
         if len(self) >= self.most:
             self.clear()
-        found = self[word] = max(map(self.model.token_score, _TOKEN.findall(word)), default=0.0)
+        plain = word.rstrip(".,")
+        found = self[word] = self.model.token_score(plain) if plain.isalpha() else max(map(self.model.token_score, _TOKEN.findall(word)), default=0.0)
         return found
 
 
@@ -135,8 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit | None = None) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic (rows with null count for nothing). Learns from a bounded sample; without both
     kinds of label the model says what there is: a small constant, or 1/2 and more if all are toxic."""
     fit = fit or Fit()
-    chosen = labels.where("toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("long").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(fit.docs)
-    sample = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxicity-sample")  # at most fit.docs ids
+    chosen = about(labels.where("toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("long").alias("toxic")), fit.docs, F.col("doc_id"))
+    sample = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxicity-sample")  # about fit.docs ids
     by_label = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, rest = by_label.get(1, 0), by_label.get(0, 0)
     model = Model(other=fit.other, stem=fit.stem)
@@ -164,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit | None = None) -> Model:
             got = [model.segments(t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array([n for n, _ in got], pa.int64()), pa.array([[s for s, _, _ in f] for _, f in got], pa.list_(pa.float64()))], names=["toxic", "n", "scores"])
 
-    rows = sample.mapInArrow(raw, "toxic long, n long, scores array<double>").toPandas()  # at most fit.docs rows of a few numbers
+    rows = sample.mapInArrow(raw, "toxic long, n long, scores array<double>").toPandas()  # about fit.docs rows of a few numbers
     rows = rows.sort_values(["toxic", "n"], kind="stable")
     y, n = rows["toxic"].to_numpy(float), np.maximum(rows["n"].to_numpy(float), 1)
     scores = [np.asarray(s, float) for s in rows["scores"]]
