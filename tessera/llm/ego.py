@@ -17,17 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.components import components
-from tessera.llm.shared import stored
+from tessera.llm.shared import about, stored
 
 #: Vectors of a block, vectors of a leaf of the recursion, axes of the sort, axes of the boxes (what is left of the norm is one more), axes by which blocks meet.
 BLOCK, LEAF, ORDER_AXES, BOX_AXES, MEET_AXES = 4096, 256, 8, 16, 3
-#: The axes are fitted on so many vectors, those of least hash; they steer the skipping, not the result.
+#: The axes are fitted on about so many vectors, those of low hash; they steer the skipping, not the result.
 FIT_ROWS = 20_000
 
 
 def principal_axes(classes: DataFrame, rows: int = FIT_ROWS) -> dict[int, np.ndarray]:
     """For the commonest length among a bounded sample of vectors: its axes as columns, largest spread first."""
-    sample = [np.asarray(r[0], float) for r in classes.orderBy(F.xxhash64("v"), "cid").limit(rows).select("v").collect()]
+    sample = [np.asarray(r[0], float) for r in about(classes, rows, F.col("cid")).select("v").collect()]
     if not sample:
         return {}
     lengths = [len(v) for v in sample]

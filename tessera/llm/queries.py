@@ -66,7 +66,7 @@ def op7_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.pii import Boost, fit, joined, with_spans
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = with_spans(docs, fit(docs, Boost(docs=4_000)))
+    found = with_spans(docs, fit(docs, Boost(docs=12_000)))
     return found.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
