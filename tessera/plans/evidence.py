@@ -48,11 +48,11 @@ def p4_fisher(d) -> str:
 
 def _islands(d) -> str:
     """CTEs li (lines of orders; a line is a numeral if its discount is 0.05 or less; the total marker is the dearest line) and cl
-    (runs of numerals with start, end and sum; a fraction over 0.07 tax can't be read and makes the sum null)."""
+    (runs of numerals with start, end and sum; a line taxed over 0.07 can't be read; the sum is null if none can)."""
     return """l0 AS (SELECT l_orderkey AS o, l_quantity AS q, l_tax, l_discount, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS p FROM lineitem),
 li AS (SELECT o, p, q, CASE WHEN l_tax > 0.07 THEN NULL ELSE q END AS v, l_discount <= 0.05 AS num, row_number() OVER (PARTITION BY o ORDER BY l_extendedprice DESC, p) = 1 AS marker FROM l0),
 nm AS (SELECT *, p - row_number() OVER (PARTITION BY o ORDER BY p) AS island FROM li WHERE num AND NOT marker),
-cl AS (SELECT o, min(p) AS a, max(p) AS b, count(*) AS k, CASE WHEN count(*) > count(v) THEN NULL ELSE sum(v) END AS total, coalesce(sum(v), 0) AS partial FROM nm GROUP BY o, island)"""
+cl AS (SELECT o, min(p) AS a, max(p) AS b, count(*) AS k, sum(v) AS total FROM nm GROUP BY o, island)"""
 
 
 @relational

@@ -65,7 +65,7 @@ _FIELDS = (("ach", "COMMODITY:GRAIN"), ("bo", "COMMODITY:OLIVE"), ("ent", "COMMO
 
 def _meaning(d) -> str:
     """CTE sm: combined scores. The gloss of a match is the word itself; its field is that of the most specific keyword in it (the first
-    among equals). A query's own field comes from its word alike; provenance is by length, and weighs 1, 0.8, 0.5 or 0.3."""
+    among equals). A query's own field comes from its word alike; provenance is by length here, and weighs 1, 0.8, 0.5 or 0.3."""
     rows = ", ".join(f"({i}, '{a}', '{b}', {b.count(':') + 1})" for i, (a, b) in enumerate(_FIELDS))
 
     def field(word: str, table: str) -> str:
@@ -74,8 +74,8 @@ def _meaning(d) -> str:
     strpos = (lambda s: s) if d.name == "duck" else (lambda s: s.replace("strpos(", "instr("))
     return _scored(d) + strpos(f""", kw AS (SELECT * FROM (VALUES {rows}) v(i, keyword, field, depth)), fm AS ({field('mword', 'no')}), fq AS ({field('qword', 'no')}),
 se AS (SELECT no.*, fq.field AS qfield, fm.field AS mfield, CASE WHEN fq.field IS NULL OR fm.field IS NULL THEN NULL WHEN fq.field = fm.field THEN {d.number(1)} WHEN split_part(fq.field, ':', 1) = split_part(fm.field, ':', 1) THEN {d.number(0.5)} ELSE {d.number(0)} END AS sem,
-  CASE WHEN qlen >= 8 THEN 'INDEPENDENT' WHEN qlen = 7 THEN 'CONSENSUS_ASSUMED' WHEN qlen = 6 THEN 'CONSENSUS_DEPENDENT' ELSE 'NONE' END AS provenance FROM no LEFT JOIN fm ON fm.word = no.mword LEFT JOIN fq ON fq.word = no.qword),
-sm AS (SELECT *, 0.5 * score + coalesce(sem * CASE provenance WHEN 'INDEPENDENT' THEN 1.0 WHEN 'CONSENSUS_ASSUMED' THEN 0.8 WHEN 'CONSENSUS_DEPENDENT' THEN 0.5 ELSE 0.3 END, 0) AS combined FROM se)""")
+  CASE WHEN qlen >= 8 THEN 'INDEPENDENT' WHEN qlen = 7 THEN 'CONSENSUS_CONFIRMED' WHEN qlen = 6 THEN 'CONSENSUS_ASSUMED' ELSE 'CONSENSUS_DEPENDENT' END AS provenance FROM no LEFT JOIN fm ON fm.word = no.mword LEFT JOIN fq ON fq.word = no.qword),
+sm AS (SELECT *, 0.5 * score + coalesce(sem * CASE provenance WHEN 'INDEPENDENT' THEN 1.0 WHEN 'CONSENSUS_CONFIRMED' THEN 0.8 WHEN 'CONSENSUS_ASSUMED' THEN 0.5 ELSE 0.3 END, 0) AS combined FROM se)""")
 
 
 @relational
