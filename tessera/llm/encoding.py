@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: A text with white space other than these two is encoded in one go.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-#: Letters with the white space before them, if a plain delimiter follows; else all up to the next white space.
-_PIECE = re.compile(r"[ \n]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \n.,#$%&*]|\Z)|[ \n]*[^ \n]+|[ \n]+")
+#: A line end between two words; letters with the white space before them, if a plain delimiter follows; else all up to the next
+#: white space.
+_PIECE = re.compile(r"(?<![ \n])\n(?=[^ \n])|[ \n]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \n.,#$%&*]|\Z)|[ \n]*[^ \n]+|[ \n]+")
+#: The same without white space, for a tokenizer that drops it.
+_BARE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \n.,#$%&*]|\Z)|[^ \n]+")
 _LONGEST_KEPT = 64
 
 
 class Encoder:
-    """texts -> token ids, little-endian unsigned 32-bit.
+    """texts -> token ids, unsigned 32-bit in the machine's (little-endian) order.
 
     Both kinds of tokenizer here end a pre-token wherever a space or line end follows another character, and between a
     letter and a sign, so the ids of a text are those of its pieces (white space with the word behind it, signs) in turn.
@@ -29,31 +31,34 @@ class Encoder:
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
         self.tokenizer.encode_special_tokens = True
+        bare, *spaced = self.whole(["a", " a", "a ", "\na"])
+        self.pieces = (_BARE if all(x == bare for x in spaced) else _PIECE).findall
 
     @property
     def size(self) -> int:
         return self.tokenizer.get_vocab_size()
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if _OTHER_SPACE.search(text):
             return self.whole([text])[0]
-        pieces = _PIECE.findall(text)
+        pieces = self.pieces(text)
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(known) > self.most:
-            known.clear()
         new = list(set(pieces).difference(known))
-        ids = dict(zip(new, self.whole(new), strict=True))
-        known.update((x, y) for x, y in ids.items() if len(x) <= _LONGEST_KEPT)
-        return b"".join([known[x] if x in known else ids[x] for x in pieces])
+        if new:
+            if len(known) > self.most:
+                known.clear()
+                new = list(set(pieces))
+            known.update(zip(new, self.whole(new), strict=True))
+        found = b"".join(map(known.__getitem__, pieces))
+        for piece in new:
+            if len(piece) > _LONGEST_KEPT:
+                del known[piece]
+        return found
 
 
 _encoders: dict[str, Encoder] = {}
