@@ -61,8 +61,9 @@ class _Stats:
         return f"(round({x}, 6) + {self.number(0)})"
 
     def word_occ(self) -> str:
-        """CTEs: w (a row for each word of each document) and uw (distinct words of two letters or more by language)."""
-        return f"w AS ({self.words()}), uw AS (SELECT lang, word, n, count(*) AS freq FROM w WHERE n >= 2 GROUP BY lang, word, n)"
+        """CTEs: w (a row for each word of each document), wt (words by language with frequency and documents) and uw (those of two
+        letters or more). Queries count words once and go on with the counts, which grow with the vocabulary, not the corpus."""
+        return f"w AS ({self.words()}), wt AS ({self.word_table()}), uw AS (SELECT lang, word, n, freq FROM wt WHERE n >= 2)"
 
 
 class SparkSQL(_Stats):
@@ -77,6 +78,13 @@ class SparkSQL(_Stats):
     def words(self) -> str:
         return r"SELECT doc_id, lang, source, wpos, word, CAST(length(word) AS BIGINT) AS n, nw FROM (SELECT doc_id, lang, source, ws, CAST(size(ws) AS BIGINT) AS nw FROM (SELECT doc_id, lang, source, regexp_extract_all(lower(text), '(\\p{L}+)', 1) AS ws FROM documents)) LATERAL VIEW posexplode(ws) t AS wpos, word"
 
+    def word_table(self) -> str:
+        return "SELECT lang, word, n, freq, docs FROM word_table"
+
+    def segmented(self, whole: str) -> str:
+        """CTEs up to sg; here sg is a kept table."""
+        return f"{self.word_occ()}, sg AS (SELECT lang, word, freq, stem, suffix FROM segmented_table)"
+
     def each(self, array: str, pos: str, item: str) -> str:
         return f"LATERAL VIEW posexplode({array}) {item}_{pos} AS {pos}, {item}"
 
@@ -141,6 +149,12 @@ class DuckSQL(_Stats):
     def words(self) -> str:
         return r"SELECT doc_id, lang, source, wpos::INT AS wpos, ws[wpos + 1] AS word, length(ws[wpos + 1])::BIGINT AS n, len(ws)::BIGINT AS nw FROM (SELECT doc_id, lang, source, ws, unnest(generate_series(0, len(ws) - 1)) AS wpos FROM (SELECT doc_id, lang, source, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM documents) WHERE len(ws) > 0)"
 
+    def segmented(self, whole: str) -> str:
+        return whole
+
+    def word_table(self) -> str:
+        return "SELECT lang, word, n, count(*) AS freq, count(DISTINCT doc_id) AS docs FROM w GROUP BY lang, word, n"
+
     def each(self, array: str, pos: str, item: str) -> str:
         return f", LATERAL (SELECT unnest({array}) AS {item}, generate_subscripts({array}, 1) - 1 AS {pos}) {item}_{pos}"
 

@@ -12,7 +12,7 @@ WINDOW = 3
 
 def _near(d) -> str:
     """CTEs io (ideograms), sg (sign-groups seen five times or more), co (documents in which a sign-group stands within the window)."""
-    return d.word_occ() + f""", wc AS (SELECT lang, word, n, count(*) AS k, count(DISTINCT doc_id) AS docs FROM w GROUP BY lang, word, n), io AS (SELECT lang, word FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY k DESC, word) AS rk FROM wc WHERE n >= 4) WHERE rk <= 8),
+    return d.word_occ() + f""", wc AS (SELECT lang, word, n, freq AS k, docs FROM wt), io AS (SELECT lang, word FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY k DESC, word) AS rk FROM wc WHERE n >= 4) WHERE rk <= 8),
 sg AS (SELECT wc.lang, wc.word FROM wc LEFT JOIN io ON io.lang = wc.lang AND io.word = wc.word WHERE wc.k >= 5 AND io.word IS NULL), ip AS (SELECT w.doc_id, w.lang, w.word AS ideogram, w.wpos + s.o AS wpos FROM w JOIN io ON io.lang = w.lang AND io.word = w.word CROSS JOIN {d.series(str(-WINDOW), str(WINDOW), 'o')} s),
 co AS (SELECT w.lang, w.word, ip.ideogram, count(DISTINCT w.doc_id) AS k FROM w JOIN ip ON ip.doc_id = w.doc_id AND ip.lang = w.lang AND ip.wpos = w.wpos JOIN sg ON sg.lang = w.lang AND sg.word = w.word GROUP BY w.lang, w.word, ip.ideogram)"""
 
@@ -125,7 +125,7 @@ def p4_pattern_search(d) -> str:
 def p4_anchor_assembly(d) -> str:
     """Evidence of ideograms, formulas and places by word; the largest confidence counts, from 0.3 on, and names the field."""
     places = ", ".join(f"('{a}', '{b}')" for a, b, _ in _PLACES)
-    return f"""WITH {_fisher(d)}, fd AS (SELECT lang, word, count(DISTINCT doc_id) AS docs FROM w GROUP BY lang, word), pl AS (SELECT * FROM (VALUES {places}) v(place, pattern)),
+    return f"""WITH {_fisher(d)}, fd AS (SELECT lang, word, docs FROM wt), pl AS (SELECT * FROM (VALUES {places}) v(place, pattern)),
 it AS (SELECT lang, word, 'ideogram' AS source, greatest(0.1, CASE WHEN evidence = 'strong' THEN 0.7 ELSE 0.4 END * least(exclusivity / 0.5, 1)) AS c, 'COMMODITY:' || ideogram AS field FROM ev WHERE evidence IS NOT NULL
   UNION ALL SELECT fd.lang, fd.word, 'formula', 0.5, NULL FROM fd JOIN nd ON nd.lang = fd.lang WHERE fd.docs >= 0.2 * nd.n
   UNION ALL SELECT uw.lang, uw.word, 'place_name', 0.9, 'PLACE:' || pl.place FROM uw JOIN pl ON substr(uw.word, 1, length(pl.pattern)) = pl.pattern),

@@ -28,7 +28,7 @@ def p3_type_rates(d) -> str:
 
 
 def _top(k: int = 60) -> str:
-    return f"tw AS (SELECT lang, word, k, rk FROM (SELECT lang, word, count(*) AS k, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS rk FROM w GROUP BY lang, word) WHERE rk <= {k})"
+    return f"tw AS (SELECT lang, word, k, rk FROM (SELECT lang, word, freq AS k, row_number() OVER (PARTITION BY lang ORDER BY freq DESC, word) AS rk FROM wt) WHERE rk <= {k})"
 
 
 @relational

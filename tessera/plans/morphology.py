@@ -10,7 +10,7 @@ LONGEST, LEAST_FREQ, LEAST_STEMS = 3, 3, 2
 
 @relational
 def p2_unique_words(d) -> str:
-    return f"WITH {d.word_occ()}, dc AS (SELECT lang, word, count(DISTINCT doc_id) AS docs FROM w WHERE n >= 2 GROUP BY lang, word) SELECT uw.lang, uw.word, n, freq, docs FROM uw JOIN dc ON dc.lang = uw.lang AND dc.word = uw.word"
+    return f"WITH {d.word_occ()} SELECT lang, word, n, freq, docs FROM wt WHERE n >= 2"
 
 
 def _splits(d) -> str:
@@ -48,7 +48,7 @@ def p2_segmentation(d) -> str:
 @relational
 def p2_affix_productivity(d) -> str:
     """Stems of a suffix over those of the language's most productive one."""
-    return f"WITH {_segmented(d)}, af AS (SELECT lang, suffix, count(DISTINCT stem) AS stems, CAST(sum(freq) AS BIGINT) AS freq FROM sg WHERE suffix <> '' GROUP BY lang, suffix) SELECT lang, suffix, stems, freq, {d.r6('CAST(stems AS DOUBLE) / max(stems) OVER (PARTITION BY lang)')} AS productivity FROM af WHERE stems >= {LEAST_STEMS}"
+    return f"WITH {d.segmented(_segmented(d))}, af AS (SELECT lang, suffix, count(DISTINCT stem) AS stems, CAST(sum(freq) AS BIGINT) AS freq FROM sg WHERE suffix <> '' GROUP BY lang, suffix) SELECT lang, suffix, stems, freq, {d.r6('CAST(stems AS DOUBLE) / max(stems) OVER (PARTITION BY lang)')} AS productivity FROM af WHERE stems >= {LEAST_STEMS}"
 
 
 def _merges(d) -> str:
@@ -73,7 +73,7 @@ SELECT lang, word, freq, morphemes, substr(word, CAST(a AS INT) + 1, CAST(len AS
 
 def _signatures(d) -> str:
     """CTEs sx (stem with suffix), gs (stem with its signature: its set of suffixes), gg (signatures with two stems or more)."""
-    return _segmented(d) + f""", sx AS (SELECT DISTINCT lang, stem, suffix FROM sg), gs AS (SELECT lang, stem, {d.joined_set('suffix', '|')} AS signature, count(*) AS slots FROM sx GROUP BY lang, stem HAVING count(*) >= 2),
+    return d.segmented(_segmented(d)) + f""", sx AS (SELECT DISTINCT lang, stem, suffix FROM sg), gs AS (SELECT lang, stem, {d.joined_set('suffix', '|')} AS signature, count(*) AS slots FROM sx GROUP BY lang, stem HAVING count(*) >= 2),
 gg AS (SELECT lang, signature, max(slots) AS slots, count(*) AS stems FROM gs GROUP BY lang, signature HAVING count(*) >= 2)"""
 
 

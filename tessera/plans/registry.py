@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.plans.dialect import DUCK, SPARK
 
@@ -15,12 +18,40 @@ _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Plans SQL over the tables of a folder; only those that the text names are opened, and no view outlives the call."""
-    import re
+def _word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, word, n, freq, docs: the adapter's words, counted per document first, so that no distinct is expanded."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", words.alias("word"))
+    per_document = docs.groupBy("lang", "word", "doc_id").agg(F.count("*").alias("k"))
+    return per_document.groupBy("lang", "word").agg(F.length("word").cast("long").alias("n"), F.sum("k").alias("freq"), F.count("*").alias("docs"))
+
+
+def _segmented_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, word, freq, stem, suffix."""
+    from tessera.plans.morphology import p2_segmentation
+
+    return run_sql(spark, sf_dir, p2_segmentation(SPARK))
+
 
-    named = {t for t in TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", sql)}
-    text = re.sub(r"\b(FROM|JOIN)(\s+)(" + "|".join(TABLES) + r")\b", r"\1\2{\3}", sql.replace("{", "{{").replace("}", "}}"))
+#: Tables that many queries start from; they grow with the vocabulary, not the corpus.
+KEPT = {"word_table": _word_table, "segmented_table": _segmented_table}
+
+
+def kept(spark: SparkSession, sf_dir: str, table: str) -> str:
+    """The name of a view over one of KEPT for this folder, made once a session and kept in memory, else on disk; lost parts are
+    computed again from the files. The view stays, as dropping it would drop what is kept."""
+    name = f"{table}_{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    if not spark.catalog.tableExists(name):
+        KEPT[table](spark, sf_dir).persist().createOrReplaceTempView(name)
+    return name
+
+
+def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Plans SQL over the tables of a folder; only those that the text names are opened, and their views are dropped again."""
+    sql = re.sub(r"\bFROM (" + "|".join(KEPT) + r")\b", lambda m: f"FROM {kept(spark, sf_dir, m[1])}", sql)
+    names = r"\b(FROM|JOIN)(\s+)(" + "|".join(TABLES) + r")\b"
+    named = {m[2] for m in re.findall(names, sql)}
+    text = re.sub(names, r"\1\2{\3}", sql.replace("{", "{{").replace("}", "}}"))
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in named})
 
 
