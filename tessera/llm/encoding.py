@@ -14,6 +14,16 @@ _PIECE = re.compile(r"(?<![ \n])\n(?=[^ \n])|[ \n]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[
 #: The same without white space, for a tokenizer that drops it.
 _BARE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \n.,#$%&*]|\Z)|[^ \n]+")
 _LONGEST_KEPT = 64
+#: A piece that is one pre-token, whatever else the tokenizer does: its ids are the model's own.
+_PLAIN, _PROBES = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch, ["the", " the", "Zebra", " Œuvre", "Élan", " naïve", "ßüñÿÀ", " ÞØÖ", "qzxv", "don"]
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level models spell the characters of _PLAIN: a printable byte as itself, the others as the letters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in [32, *range(0xC0, 0x100)]}
 
 
 class Encoder:
@@ -32,7 +42,12 @@ class Encoder:
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
         self.tokenizer.encode_special_tokens = True
         bare, *spaced = self.whole(["a", " a", "a ", "\na"])
-        self.pieces = (_BARE if all(x == bare for x in spaced) else _PIECE).findall
+        keeps_space = any(x != bare for x in spaced)
+        self.pieces = (_PIECE if keeps_space else _BARE).findall
+        lower, letters, tokens = self.whole(["Zebra"]) == self.whole(["zebra"]), _byte_letters(), self.tokenizer.model.tokenize
+        self.model = lambda piece: array("I", [t.id for t in tokens((piece.lower() if lower else piece).translate(letters))]).tobytes()
+        probes = [x for x in _PROBES if _PLAIN(x) and (keeps_space or x[0] != " ")]
+        self.direct = all(self.model(x) == y for x, y in zip(probes, self.whole(probes), strict=True))
 
     @property
     def size(self) -> int:
@@ -53,7 +68,10 @@ class Encoder:
             if len(known) > self.most:
                 known.clear()
                 new = list(set(pieces))
-            known.update(zip(new, self.whole(new), strict=True))
+            plain = list(filter(_PLAIN, new)) if self.direct else []
+            known.update(zip(plain, map(self.model, plain), strict=True))
+            rest = [x for x in new if x not in known]
+            known.update(zip(rest, self.whole(rest), strict=True))
         found = b"".join(map(known.__getitem__, pieces))
         for piece in new:
             if len(piece) > _LONGEST_KEPT:
