@@ -42,7 +42,7 @@ sg AS (SELECT uw.lang, uw.word, uw.freq, coalesce(lg.stem, uw.word) AS stem, coa
 
 @relational
 def p2_segmentation(d) -> str:
-    return f"WITH {_segmented(d)} SELECT lang, word, freq, stem, suffix FROM sg"
+    return f"WITH {d.segmented(_segmented(d))} SELECT lang, word, freq, stem, suffix FROM sg"
 
 
 @relational

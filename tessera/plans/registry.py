@@ -27,10 +27,10 @@ def _word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segmented_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lang, word, freq, stem, suffix."""
-    from tessera.plans.morphology import p2_segmentation
+    """lang, word, freq, stem, suffix: see segmentation.segment."""
+    from tessera.operators.segmentation import segment
 
-    return run_sql(spark, sf_dir, p2_segmentation(SPARK))
+    return segment(spark.table(kept(spark, sf_dir, "word_table")).where("n >= 2").select("lang", "word", "freq"))
 
 
 #: Tables that many queries start from; they grow with the vocabulary, not the corpus.
@@ -48,6 +48,9 @@ def kept(spark: SparkSession, sf_dir: str, table: str) -> str:
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Plans SQL over the tables of a folder; only those that the text names are opened, and their views are dropped again."""
+    words = f"w AS ({SPARK.words()}), "
+    if not re.search(r"\b(FROM|JOIN) w\b", sql.replace(words, "")):
+        sql = sql.replace(words, "")  # the query goes on from counts alone
     sql = re.sub(r"\bFROM (" + "|".join(KEPT) + r")\b", lambda m: f"FROM {kept(spark, sf_dir, m[1])}", sql)
     names = r"\b(FROM|JOIN)(\s+)(" + "|".join(TABLES) + r")\b"
     named = {m[2] for m in re.findall(names, sql)}
