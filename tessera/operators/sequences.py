@@ -18,6 +18,16 @@ def contexts(df: DataFrame, item: str, by: list[str], order: str) -> DataFrame:
     return df.withColumn("left", F.coalesce(F.lag(item).over(w), F.lit("<BOS>"))).withColumn("right", F.coalesce(F.lead(item).over(w), F.lit("<EOS>")))
 
 
+def neighbour_counts(words: DataFrame, by: list[str]) -> DataFrame:
+    """Of distinct words (by, word, freq): by, sign, c, v: how often a sign has which neighbour, as 'L:' or 'R:' and the sign or sentinel.
+
+    A word's letters stay one array, so neighbours cost neither a sort nor a shuffle; only the counts are dealt by key."""
+    letters = F.filter(F.split("word", ""), lambda x: x != "")
+    rows = words.select(*by, "freq", letters.alias("s")).where(F.size("s") > 0).withColumn("p", F.concat(F.array(F.lit("<BOS>")), "s", F.array(F.lit("<EOS>"))))
+    near = F.transform("s", lambda x, i: F.array(F.struct(x.alias("sign"), F.concat(F.lit("L:"), F.col("p")[i]).alias("c")), F.struct(x.alias("sign"), F.concat(F.lit("R:"), F.col("p")[i + 2]).alias("c"))))
+    return rows.select(*by, "freq", F.explode(F.flatten(near)).alias("n")).groupBy(*by, "n.sign", "n.c").agg(F.sum("freq").cast("double").alias("v"))
+
+
 def runs(df: DataFrame, by: list[str], position: str, value: str) -> DataFrame:
     """Contiguous positions as one row: first, last, n, the sum of the values that are known (null if none is) and whether one is not.
     Rows are those that belong to runs."""

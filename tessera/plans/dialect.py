@@ -85,6 +85,10 @@ class SparkSQL(_Stats):
         """CTEs up to sg; here sg is a kept table."""
         return f"{self.word_occ()}, sg AS (SELECT lang, word, freq, stem, suffix FROM segmented_table)"
 
+    def contexts(self, whole: str) -> str:
+        """CTEs up to x; here x is a kept table."""
+        return "x AS (SELECT lang, sign, c, v FROM context_table)"
+
     def each(self, array: str, pos: str, item: str) -> str:
         return f"LATERAL VIEW posexplode({array}) {item}_{pos} AS {pos}, {item}"
 
@@ -152,6 +156,9 @@ class DuckSQL(_Stats):
     def segmented(self, whole: str) -> str:
         return whole
 
+    def contexts(self, whole: str) -> str:
+        return whole
+
     def word_table(self) -> str:
         return "SELECT lang, word, n, count(*) AS freq, count(DISTINCT doc_id) AS docs FROM w GROUP BY lang, word, n"
 

@@ -164,8 +164,9 @@ SELECT lang, k AS same, n AS pairs, {d.r6('CAST(k AS DOUBLE) / n')} AS rate, {d.
 
 def _contexts(d) -> str:
     """CTE x: right and left neighbours of signs with sentinels, by side."""
-    return _signs(d) + """, nb AS (SELECT lang, sign, freq, coalesce(lag(sign) OVER z, '<BOS>') AS l, coalesce(lead(sign) OVER z, '<EOS>') AS r FROM s WINDOW z AS (PARTITION BY lang, word ORDER BY p)),
+    whole = _signs(d) + """, nb AS (SELECT lang, sign, freq, coalesce(lag(sign) OVER z, '<BOS>') AS l, coalesce(lead(sign) OVER z, '<EOS>') AS r FROM s WINDOW z AS (PARTITION BY lang, word ORDER BY p)),
 x AS (SELECT lang, sign, c, CAST(sum(freq) AS DOUBLE) AS v FROM (SELECT lang, sign, 'L:' || l AS c, freq FROM nb UNION ALL SELECT lang, sign, 'R:' || r AS c, freq FROM nb) GROUP BY lang, sign, c)"""
+    return d.contexts(whole)
 
 
 @relational

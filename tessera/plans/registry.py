@@ -33,8 +33,15 @@ def _segmented_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment(spark.table(kept(spark, sf_dir, "word_table")).where("n >= 2").select("lang", "word", "freq"))
 
 
+def _context_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, sign, c, v: signs' neighbours in words."""
+    from tessera.operators.sequences import neighbour_counts
+
+    return neighbour_counts(spark.table(kept(spark, sf_dir, "word_table")).where("n >= 2").select("lang", "word", "freq"), ["lang"])
+
+
 #: Tables that many queries start from; they grow with the vocabulary, not the corpus.
-KEPT = {"word_table": _word_table, "segmented_table": _segmented_table}
+KEPT = {"word_table": _word_table, "segmented_table": _segmented_table, "context_table": _context_table}
 
 
 def kept(spark: SparkSession, sf_dir: str, table: str) -> str:
