@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,10 +15,12 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (as in tests) a fresh temporary one, which is then set."""
+    """The folder named by spark.checkpoint.dir; where that is unset (as in tests) a fresh temporary one, which is then set and goes with the process."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="shared-")
+        made = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        there = f"file://{made}"
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
 
