@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,15 +42,18 @@ def shuffled(items: Column, seed: str, key: Column) -> Column:
     return F.transform(F.array_sort(pairs), lambda p: p["x"])
 
 
-def resampled(df: DataFrame, order: str, replicates: int, seed: str) -> DataFrame:
-    """The rows of df drawn with replacement, as many as there are, for each replicate (column r)."""
-    from pyspark.sql import Window
-
-    numbered = df.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1)
-    n = df.count()
-    slots = df.sparkSession.range(n).select(F.col("id").alias("_slot"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r"))
-    picks = slots.select("r", (draw(seed, F.col("r"), F.col("_slot")) % max(n, 1)).alias("_i"))
-    return picks.join(numbered, "_i").drop("_i")
+def resampled(df: DataFrame, key: str, replicates: int, seed: str) -> DataFrame:
+    """The rows of df for each replicate (column r), each taken a Poisson number of times (mean 1) by hash of its key: the large-sample
+    form of drawing with replacement. Nothing is numbered or shuffled."""
+    u = draw(seed, F.col("r"), F.col(key)) / 2**32
+    below, total, term = [], 0.0, math.exp(-1)
+    for i in range(12):
+        total += term
+        below.append(F.when(u >= total, 1).otherwise(0))
+        term /= i + 1
+    times = sum(below[1:], below[0])
+    rows = df.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_k", times).where("_k > 0")
+    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k")
 
 
 def null_p_value(observed: DataFrame, null: DataFrame, by: list[str], value: str = "ned", tolerance: float = 1e-12) -> DataFrame:
