@@ -44,7 +44,7 @@ class Fit:
 class _Known(dict):
     """Scores of words as they stand between white space: the highest of their tokens. Remembers a bounded number."""
 
-    def __init__(self, model: Model, most: int = 1_000_000):
+    def __init__(self, model: Model, most: int = 300_000):
         super().__init__()
         self.model, self.most = model, most
 
@@ -210,13 +210,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     A null or empty text has no segments and the score of none. Texts are whole; a task streams what it reads.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct("*").alias("row"))  # the text goes over once, within its row
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by Fit.tokens
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            got = [m.features(t) for t in batch["text"].to_pylist()]
+            got = [m.features(t.as_py()) for t in batch["row"].field(text_col)]
             s = np.array([m.probability(b, t) for b, t, _, _ in got], float)
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array([k for _, _, k, _ in got], pa.int64()), pa.array([b for _, _, _, b in got], pa.float64())], names=["row", "score", "predicted", "passages", "best_segment"])
 
