@@ -24,3 +24,17 @@ def test_shrinkage(spark):
     got = {r.host: r.bound for r in reputation(spark.createDataFrame(rows, "host string, bad int"), Prior()).collect()}
     assert got["bad.a.com"] > 0.5 > got["once.a.com"] and got["x.b.com"] > 0.5 and got["good.a.com"] < 0.2 and got["m.c.org"] < 0.2 and "n.c.org" not in got
     assert got["z.b.com"] > got["once.a.com"]
+
+
+def test_a_host_without_labels_speaks_with_the_level_above(spark):
+    """Its domain's voice, else its suffix's, else that of all."""
+    urls = [(f"h{h}.bad.com", 1) for h in range(20) for _ in range(20)] + [(f"h{h}.good.com", 0) for h in range(20) for _ in range(20)]
+    urls += [(f"h{h}.d{h}.evil", int(i > 0)) for h in range(30) for i in range(20)] + [(f"h{h}.d{h}.org", int(i == 0)) for h in range(60) for i in range(20)]
+    new = {"new.bad.com": "block", "bad.com": "block", "new.good.com": "allow", "new.unseen.evil": "block", "new.unseen.org": "allow", "new.unseen.net": "allow", "": "allow"}
+    pages = spark.createDataFrame([(i, f"http://{h}/x") for i, (h, _) in enumerate(urls)] + [(10_000 + i, f"http://{h}/x") for i, h in enumerate(new)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, bad) for i, (_, bad) in enumerate(urls)], "page_id long, bad int")
+    got = {r.host: r.verdict for r in judge(pages, outcomes, []).collect()}
+    assert {h: got[h] for h in new} == new and got["h3.bad.com"] == "block" and got["h3.d3.evil"] == "block" and got["h3.good.com"] == "allow"
+    all_bad = [(h, 1) for h, _ in urls[:800]] + [("x.fine.org", 0)]
+    bound = {r.host: r.bound for r in reputation(spark.createDataFrame(all_bad, "host string, bad int"), Prior(), spark.createDataFrame([("a.else.net",)], "host string")).collect()}
+    assert bound["a.else.net"] > 0.5
