@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,87 @@ def length_window_join(queries: DataFrame, pool: DataFrame, text: str = "sca", w
     return pairs.withColumn("ned", F.col("_d") / F.greatest(F.length(text), F.length(f"{text}_m"))).drop("_d", "_len")
 
 
+def _masks(texts: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray, np.dtype]:
+    """For each sign the places where the texts have it, as bits; a text ends at the highest bit. And all places of each text."""
+    lens, word = np.array([len(t) for t in texts]), np.dtype(np.uint32 if max(map(len, texts)) <= 32 else np.uint64)
+    bits, rows = word.itemsize * 8, {}
+    for n in np.unique(lens):
+        at = np.flatnonzero(lens == n)
+        signs = np.array([list(texts[i]) for i in at])
+        for i in range(n):
+            for c in np.unique(signs[:, i]):
+                rows.setdefault(c, np.zeros(len(texts), word))[at[signs[:, i] == c]] |= word.type(1 << (bits - n + i))
+    return rows, np.array([((1 << n) - 1) << (bits - n) for n in lens.tolist()], word), word
+
+
+def nearest_of(queries: list[str], texts: list[str], most: int = 5) -> list[list[tuple[int, int]]]:
+    """For each query its nearest texts (index, distance) by distance over the longer length, equals by index; edit distance by bit
+    vectors over all texts at once, where a query goes on from the signs that it begins with like the one before. No text is empty."""
+    if max(map(len, texts)) > 64:
+        parts = [[i for i, t in enumerate(texts) if (len(t) <= 64) == short] for short in (True, False)]
+        short = nearest_of(queries, [texts[i] for i in parts[0]], most) if parts[0] else [[] for _ in queries]
+        both = [[(parts[0][i], d) for i, d in s] + [(i, _distance(q, texts[i])) for i in parts[1]] for q, s in zip(queries, short, strict=True)]
+        return [sorted(b, key=lambda x, q=q: (x[1] / max(len(q), len(texts[x[0]])), x[0]))[:most] for q, b in zip(queries, both, strict=True)]
+    masks, full, word = _masks(texts)
+    top, one, none, lens = word.type(word.itemsize * 8 - 1), word.type(1), np.zeros(len(texts), word), np.array([len(t) for t in texts], np.int32)
+    states, before, found, longer = [(full, none, lens)], "", {}, {}
+    for q in sorted(set(queries)):
+        same = next((i for i, (a, b) in enumerate(zip(q, before, strict=False)) if a != b), min(len(q), len(before)))
+        del states[same + 1 :]
+        for c in q[same:]:
+            pv, mv, d = states[-1]
+            eq = masks.get(c, none)
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv), pv & xh
+            d = d + (ph >> top).astype(np.int32) - (mh >> top).astype(np.int32)
+            ph, xv = (ph << one) | one, eq | mv
+            states.append(((mh << one) | ~(xv | ph), ph & xv, d))
+        d, before = states[-1][2], q
+        if len(q) not in longer:
+            longer[len(q)] = np.maximum(lens, len(q)).astype(np.float64)
+        ned = d / longer[len(q)]
+        bound = ned.min()
+        at = np.flatnonzero(ned <= bound)
+        while at.size < min(most, len(texts)):
+            bound = ned[ned > bound].min()
+            at = np.flatnonzero(ned <= bound)
+        at = at[np.argsort(ned[at], kind="stable")[:most]]
+        found[q] = list(zip(at.tolist(), d[at].tolist(), strict=True))
+    return [found[q] for q in queries]
+
+
+def _distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def nearest(queries: DataFrame, pool: DataFrame, most: int = 5, window: int = 2, parts: int = 16) -> DataFrame:
+    """queries: sca, len; pool: lang, sca, len (each string of a language once) -> q, lang, m, ned, rk: for each query and language the
+    nearest strings whose length differs by at most `window`, all of them compared; equals in the order of m.
+
+    Queries of one length meet the strings of the lengths near it in one task, in parts by what the queries begin with.
+    """
+    part = F.pmod(F.crc32(F.substring("sca", 1, 3).cast("binary")), F.lit(parts))
+    q = queries.select(F.col("sca").alias("q"), F.col("len").cast("long").alias("qlen"), part.alias("part"))
+    near = F.explode(F.sequence(F.col("len").cast("long") - window, F.col("len").cast("long") + window))
+    p = pool.select("lang", "sca", near.alias("qlen"), "len").where("len > 0").select("lang", "sca", "qlen", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+
+    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out, qs = [], left["q"].tolist()
+        for lang, g in right.groupby("lang") if qs else ():
+            texts = sorted(g["sca"])
+            for x, got in zip(qs, nearest_of(qs, texts, most), strict=True):
+                out += [(x, lang, texts[i], d / max(len(x), len(texts[i])), r) for r, (i, d) in enumerate(got, 1)]
+        return pd.DataFrame(out, columns=["q", "lang", "m", "ned", "rk"])
+
+    keys = ["qlen", "part"]
+    return q.groupBy(keys).cogroup(p.groupBy(keys)).applyInPandas(match, "q string, lang string, m string, ned double, rk long")
+
+
 def draw(seed: str, *parts: Column) -> Column:
     """A number from 0 to 2^32 - 1, drawn by md5 of a seed and what it is drawn for: the same in every run and partitioning."""
     text = F.concat_ws("|", F.lit(seed), *(p.cast("string") for p in parts))

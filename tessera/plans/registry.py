@@ -40,8 +40,23 @@ def _context_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_counts(spark.table(kept(spark, sf_dir, "word_table")).where("n >= 2").select("lang", "word", "freq"), ["lang"])
 
 
+def _match_table(spark: SparkSession, sf_dir: str, cap: int | None = None) -> DataFrame:
+    """q, lang, m, ned, rk: see similarity.nearest; cap: of the null model's pool."""
+    from tessera.operators.similarity import nearest
+    from tessera.plans.vocabulary import _sides
+
+    side = lambda sql: run_sql(spark, sf_dir, f"WITH {_sides(SPARK, cap)} {sql}")
+    return nearest(side("SELECT sca, len FROM qy"), side("SELECT lang, sca, len FROM lx"))
+
+
+def _pool_match_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.plans.vocabulary import POOL
+
+    return _match_table(spark, sf_dir, POOL)
+
+
 #: Tables that many queries start from; they grow with the vocabulary, not the corpus.
-KEPT = {"word_table": _word_table, "segmented_table": _segmented_table, "context_table": _context_table}
+KEPT = {"word_table": _word_table, "segmented_table": _segmented_table, "context_table": _context_table, "match_table": _match_table, "pool_match_table": _pool_match_table}
 
 
 def kept(spark: SparkSession, sf_dir: str, table: str) -> str:

@@ -28,14 +28,30 @@ def p5_sca_encode(d) -> str:
     return f"WITH {_coded(d)} SELECT lang, word, sca, len FROM sc"
 
 
-def _matched(d, queries: int = 60, cap: int = 500) -> str:
-    """CTEs qy (queries: commonest English class strings of four signs or more), lx (candidates, at most so many of a language and
-    length, by hash) and ma (distances, normalised by the longer one)."""
-    return _coded(d) + f""", qy AS (SELECT sca, len, k, word FROM (SELECT sca, len, sum(freq) AS k, min(word) AS word, row_number() OVER (ORDER BY sum(freq) DESC, sca) AS rk FROM sc WHERE lang = 'en' AND len >= 4 GROUP BY sca, len) WHERE rk <= {queries}),
-lx AS (SELECT lang, sca, len, word FROM (SELECT lang, sca, len, min(word) AS word, row_number() OVER (PARTITION BY lang, len ORDER BY md5(sca), sca) AS rk FROM sc WHERE lang <> 'en' AND len >= 2 GROUP BY lang, sca, len) WHERE rk <= {cap}),
-qb AS (SELECT qy.*, qy.len + s.o AS b FROM qy CROSS JOIN {d.series('-2', '2', 'o')} s),
-ma AS (SELECT qb.sca AS q, qb.word AS qword, qb.len AS qlen, qb.k, lx.lang, lx.sca AS m, lx.word AS mword, CAST(levenshtein(qb.sca, lx.sca) AS DOUBLE) / greatest(qb.len, lx.len) AS ned FROM qb JOIN lx ON lx.len = qb.b),
-be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, lang ORDER BY ned, m) AS rk FROM ma) WHERE rk = 1)"""
+def _sides(d, cap: int | None = None) -> str:
+    """CTEs qy (queries: all English class strings of four signs or more) and lx (candidates; cap: at most so many of a language and
+    length, by hash, for the null model's pool)."""
+    lx = "SELECT lang, sca, len, min(word) AS word FROM sc WHERE lang <> 'en' AND len >= 2 GROUP BY lang, sca, len"
+    if cap:
+        lx = f"SELECT lang, sca, len, word FROM (SELECT *, row_number() OVER (PARTITION BY lang, len ORDER BY md5(sca), sca) AS rk FROM ({lx})) WHERE rk <= {cap}"
+    return _coded(d) + f""", qy AS (SELECT sca, len, sum(freq) AS k, min(word) AS word FROM sc WHERE lang = 'en' AND len >= 4 GROUP BY sca, len),
+lx AS ({lx}), qb AS (SELECT qy.*, qy.len + s.o AS b FROM qy CROSS JOIN {d.series('-2', '2', 'o')} s)"""
+
+
+#: Fixed value: candidates of a language and length in the pool of the null model.
+POOL = 500
+
+
+def _matched(d, cap: int | None = None) -> str:
+    """_sides and tk (the five nearest candidates of each language for each query, rk; distances normalised by the longer one) and be
+    (the nearest). Here they are a kept table, which the operator `nearest` makes."""
+    names = "qy.sca AS q, qy.word AS qword, qy.len AS qlen, qy.k, lx.lang, lx.sca AS m, lx.word AS mword"
+    if d.name == "spark":
+        tk = f"SELECT {names}, t.ned, t.rk FROM (SELECT q, lang, m, ned, rk FROM {'pool_match_table' if cap else 'match_table'}) t JOIN qy ON qy.sca = t.q JOIN lx ON lx.lang = t.lang AND lx.sca = t.m"
+    else:
+        ma = f"SELECT {names.replace('qy.', 'qb.')}, CAST(levenshtein(qb.sca, lx.sca) AS DOUBLE) / greatest(qb.len, lx.len) AS ned FROM qb JOIN lx ON lx.len = qb.b"
+        tk = f"SELECT q, qword, qlen, k, lang, x.m AS m, x.mword AS mword, x.ned AS ned, rk FROM (SELECT q, qword, qlen, k, lang, unnest(xs) AS x, generate_subscripts(xs, 1) AS rk FROM (SELECT q, qword, qlen, k, lang, min({{'ned': ned, 'm': m, 'mword': mword}}, 5) AS xs FROM ({ma}) GROUP BY q, qword, qlen, k, lang))"
+    return _sides(d, cap) + f", tk AS ({tk}), be AS (SELECT * FROM tk WHERE rk = 1)"
 
 
 @relational
@@ -46,7 +62,7 @@ def p5_edit_distance_matches(d) -> str:
 
 @relational
 def p5_topk_per_language(d) -> str:
-    return f"WITH {_matched(d)} SELECT q, lang, m, {d.r6('ned')} AS ned, CAST(rk AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q, lang ORDER BY ned, m) AS rk FROM ma WHERE ned <= 0.7) WHERE rk <= 5"
+    return f"WITH {_matched(d)} SELECT q, lang, m, {d.r6('ned')} AS ned, CAST(rk AS BIGINT) AS rank FROM tk WHERE ned <= 0.7"
 
 
 def _scored(d) -> str:
@@ -129,7 +145,7 @@ def _analytical(d, ned: str, length: str, pool: str) -> str:
 
 
 def _pools(d) -> str:
-    return _matched(d) + ", po AS (SELECT q, lang, count(*) AS pool FROM ma GROUP BY q, lang), ap AS (SELECT be.q, be.qlen, be.lang, be.ned, po.pool FROM be JOIN po ON po.q = be.q AND po.lang = be.lang)"
+    return _matched(d, POOL) + ", lc AS (SELECT lang, len, count(*) AS n FROM lx GROUP BY lang, len), po AS (SELECT qb.sca AS q, lc.lang, CAST(sum(lc.n) AS BIGINT) AS pool FROM qb JOIN lc ON lc.len = qb.b GROUP BY qb.sca, lc.lang), ap AS (SELECT be.q, be.qlen, be.lang, be.ned, po.pool FROM be JOIN po ON po.q = be.q AND po.lang = be.lang)"
 
 
 @relational

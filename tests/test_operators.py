@@ -151,3 +151,22 @@ def test_streaming_counts(spark, tmp_path):
     q = event_counts(stream).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", (tmp_path / "cp").as_uri()).start()
     q.awaitTermination(120)
     assert sorted((r.event_type, r.n, r.value) for r in spark.table("counts").collect()) == [("click", 2, 3.0), ("view", 1, 1.0)]
+
+
+def test_nearest_compares_every_string(spark):
+    """Equal to all pairs, also with more strings of one length than a cap of 500 would leave and with texts of any length."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("HJKLMNPRSTVW") for _ in range(n))
+    pool = sorted({(lang, word(rng.randint(5, 7))) for lang in ("de", "fr") for _ in range(1200)} | {("de", word(n)) for n in (1, 2, 31, 32, 33, 64, 65, 70)})
+    qs = sorted({w for _, w in pool[:200]} | {word(rng.randint(4, 8)) for _ in range(60)} | {word(n) for n in (1, 32, 34, 63, 66)})
+    frame = lambda rows, names: spark.createDataFrame([(*r, len(r[-1])) for r in rows], names)
+    got = {}
+    for r in M.nearest(frame([(q,) for q in qs], "sca string, len long"), frame(pool, "lang string, sca string, len long")).collect():
+        got.setdefault((r.q, r.lang), []).append((r.rk, r.ned, r.m))
+    want = {}
+    for q in qs:
+        for lang in ("de", "fr"):
+            near = sorted((M._distance(q, m) / max(len(q), len(m)), m) for x, m in pool if x == lang and abs(len(m) - len(q)) <= 2)[:5]
+            if near:
+                want[q, lang] = [(i, *x) for i, x in enumerate(near, 1)]
+    assert {k: sorted(v) for k, v in got.items()} == want

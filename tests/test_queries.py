@@ -55,3 +55,14 @@ def test_no_query_reads_more_than_it_names(spark):
 
 def test_dialects_differ_only_where_they_must():
     assert SPARK.r6("x") == "(round(x, 6) + 0D)" and DUCK.r6("x") == "(round(x, 6) + 0::DOUBLE)"
+
+
+def test_matches_miss_no_equal_string(spark):
+    """Every English class string that another language has too is matched at distance 0, and every one is a query."""
+    q = registry.queries()
+    sca = q["p5_sca_encode"](spark, DIR).where("len >= 4").select("lang", "sca").distinct().collect()
+    words = {lang: {r.sca for r in sca if r.lang == lang} for lang in ("en", "de", "es", "fr")}
+    rows = q["p5_edit_distance_matches"](spark, DIR).collect()
+    equal = {(r.q, r.lang) for r in rows if r.ned == 0 and r.q == r.m}
+    assert equal == {(x, lang) for lang in ("de", "es", "fr") for x in words["en"] & words[lang]}
+    assert {r.q for r in rows} == {x for x in words["en"] if len(x) <= max(map(len, set.union(*(words[k] for k in ("de", "es", "fr"))))) + 2}
