@@ -1,6 +1,7 @@
 """Every relational query against the other engine on the smallest tables."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -66,3 +67,17 @@ def test_matches_miss_no_equal_string(spark):
     equal = {(r.q, r.lang) for r in rows if r.ned == 0 and r.q == r.m}
     assert equal == {(x, lang) for lang in ("de", "es", "fr") for x in words["en"] & words[lang]}
     assert {r.q for r in rows} == {x for x in words["en"] if len(x) <= max(map(len, set.union(*(words[k] for k in ("de", "es", "fr"))))) + 2}
+
+
+def test_shuffle_null_counts_every_word(spark, duck):
+    """Observed and total are the corpus' own counts, worked out here from the documents."""
+    text = duck.execute("SELECT lang, text FROM documents WHERE text IS NOT NULL").fetchall()
+    want = {}
+    for lang, t in text:
+        for word in re.findall(r"[^\W\d_]+", t.lower()):
+            for i, sign in enumerate(word if len(word) >= 2 else ""):
+                k = want.setdefault((lang, sign), [0, 0])
+                k[0] += i == 0
+                k[1] += 1
+    got = {(r.lang, r.sign): [r.observed, r.total] for r in registry.queries()["rs_shuffle_null"](spark, DIR).collect()}
+    assert got == want
