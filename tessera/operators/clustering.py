@@ -118,16 +118,36 @@ def rand_index(a: np.ndarray, b: np.ndarray) -> float:
 def merge_groups(groups: list[frozenset], threshold: float, most: int) -> list[int]:
     """Greedy: the most alike two groups (Jaccard; two empty ones are alike) are united while they reach the threshold or more than
     `most` are left. Gives each group's number in the end."""
-    sets, members = list(groups), [[i] for i in range(len(groups))]
-    alike = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
-    while len(sets) > 1:
-        score, i, j = max(((alike(sets[i], sets[j]), -i, -j) for i, j in combinations(range(len(sets)), 2)))
-        if score < threshold and len(sets) <= most:
+    n, members = len(groups), {i: [i] for i in range(len(groups))}
+    at = {x: k for k, x in enumerate(sorted(set().union(*groups)))}
+    has = np.zeros((n, len(at)), np.float32)
+    for i, g in enumerate(groups):
+        has[i, [at[x] for x in g]] = 1
+
+    def alike(rows: np.ndarray, i: int) -> np.ndarray:
+        both, either = (has[rows] @ has[i]).astype(float), np.maximum(has[rows], has[i]).sum(1).astype(float)
+        return np.where(either > 0, both / np.maximum(either, 1), 1.0)
+
+    score = np.full((n, n), -1.0)  # of pairs i < j that are left
+    for i in range(n - 1):
+        score[i, i + 1 :] = alike(np.arange(i + 1, n), i)
+    best = score.max(1) if n else np.zeros(0)
+    while len(members) > 1:
+        i = int(np.argmax(best))
+        if best[i] < threshold and len(members) <= most:
             break
-        i, j = -i, -j
-        sets[i] |= sets[j]
-        members[i] += members[j]
-        del sets[j], members[j]
+        j = int(np.argmax(score[i]))
+        has[i] = np.maximum(has[i], has[j])
+        members[i] += members.pop(j)
+        stale = (score[:, i] == best) | (score[:, j] == best)
+        score[j], score[:, j] = -1, -1
+        left = np.array(sorted(members))
+        new = alike(left, i)
+        score[left[left < i], i], score[i, left[left > i]] = new[left < i], new[left > i]
+        stale[[i, j]] = True
+        best[stale] = score[stale].max(1)
+        best = np.maximum(best, score[:, i])
+    members = list(members.values())
     out = [0] * len(groups)
     for number, m in enumerate(members):
         for i in m:

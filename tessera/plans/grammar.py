@@ -27,14 +27,18 @@ def p3_type_rates(d) -> str:
     return f"WITH {d.word_occ()} SELECT lang, word, count(*) AS k, {d.r6("CAST(count(*) FILTER (WHERE source = 'src0') AS DOUBLE) / count(*)")} AS tablet_rate, {d.r6("CAST(count(*) FILTER (WHERE source IN ('src1', 'src2', 'src3')) AS DOUBLE) / count(*)")} AS libation_rate, {d.r6("CAST(count(*) FILTER (WHERE source NOT IN ('src0', 'src1', 'src2', 'src3')) AS DOUBLE) / count(*)")} AS other_rate FROM w WHERE source IS NOT NULL GROUP BY lang, word HAVING count(*) >= 5"
 
 
-def _top(k: int = 60) -> str:
-    return f"tw AS (SELECT lang, word, k, rk FROM (SELECT lang, word, freq AS k, row_number() OVER (PARTITION BY lang ORDER BY freq DESC, word) AS rk FROM wt) WHERE rk <= {k})"
+#: A word is profiled from so many occurrences on.
+LEAST_FREQ = 2
+
+
+def _eligible() -> str:
+    return f"tw AS (SELECT lang, word, freq AS k FROM wt WHERE freq >= {LEAST_FREQ})"
 
 
 @relational
 def p3_profile_ppmi(d) -> str:
-    """PPMI of frequent words with their neighbours: joint over all pairs, stems over eligible ones, contexts smoothed by 0.75."""
-    return f"""WITH {d.word_occ()}, {_top()}, pr AS (SELECT lang, word, coalesce(lag(word) OVER (PARTITION BY doc_id, lang ORDER BY wpos), '<BOS>') AS l, coalesce(lead(word) OVER (PARTITION BY doc_id, lang ORDER BY wpos), '<EOS>') AS r FROM w WHERE nw >= 2),
+    """PPMI of words seen twice or more with their neighbours: joint over all pairs, stems over eligible ones, contexts smoothed by 0.75."""
+    return f"""WITH {d.word_occ()}, {_eligible()}, pr AS (SELECT lang, word, coalesce(lag(word) OVER (PARTITION BY doc_id, lang ORDER BY wpos), '<BOS>') AS l, coalesce(lead(word) OVER (PARTITION BY doc_id, lang ORDER BY wpos), '<EOS>') AS r FROM w WHERE nw >= 2),
 tr AS (SELECT lang, word, 'L:' || l AS c FROM pr UNION ALL SELECT lang, word, 'R:' || r AS c FROM pr), j AS (SELECT tr.lang, tr.word, tr.c, CAST(count(*) AS DOUBLE) AS n FROM tr JOIN tw ON tw.lang = tr.lang AND tw.word = tr.word GROUP BY tr.lang, tr.word, tr.c),
 al AS (SELECT lang, CAST(count(*) AS DOUBLE) AS n FROM tr GROUP BY lang), sw AS (SELECT lang, word, sum(n) AS n FROM j GROUP BY lang, word), st AS (SELECT lang, sum(n) AS n FROM sw GROUP BY lang), cc AS (SELECT lang, c, power(CAST(count(*) AS DOUBLE), 0.75) AS n FROM tr GROUP BY lang, c), ct AS (SELECT lang, sum(n) AS n FROM cc GROUP BY lang),
 v AS (SELECT j.lang, j.word, j.c, round(greatest({d.number(0)}, log2(j.n / al.n / (sw.n / st.n * cc.n / ct.n))), 6) AS ppmi FROM j JOIN al ON al.lang = j.lang JOIN sw ON sw.lang = j.lang AND sw.word = j.word JOIN st ON st.lang = j.lang JOIN cc ON cc.lang = j.lang AND cc.c = j.c JOIN ct ON ct.lang = j.lang)

@@ -8,6 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.operators.clustering import densest_clique, linkage, merge_groups, pack_rows, silhouette, spectral
 from tessera.plans import grammar, morphology, phonology
@@ -109,8 +110,8 @@ def p1_method_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan()
 def p2_paradigm_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The forty signatures with most stems merged greedily into at most twenty paradigms; the suffixes of each."""
-    ex = run_sql(spark, sf_dir, f"WITH {morphology._frequent_signatures(SPARK)} SELECT lang, signature, suffix FROM ex")
+    """All signatures of two stems or more merged greedily into at most twenty paradigms; the suffixes of each."""
+    ex = run_sql(spark, sf_dir, f"WITH {morphology._signature_suffixes(SPARK)} SELECT lang, signature, suffix FROM ex")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         groups = {s: frozenset(g["suffix"]) for s, g in pdf.groupby("signature")}
@@ -122,24 +123,50 @@ def p2_paradigm_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.groupBy("lang").applyInPandas(merge, "lang string, paradigm long, suffix string")
 
 
+#: Words of a language whose pairwise distances the linkage has in memory; the work grows with their cube.
+LINKED = 60
+
+
 @plan()
 def p3_word_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes of the sixty commonest words: profiles standardised, cut by singular values at 80 % of variance (5 to 15 axes), Ward
-    linkage, the number of classes from 3 to 10 with the best silhouette."""
+    """Classes of all profiled words. Those of the LINKED commonest: profiles standardised, cut by singular values at 80 % of variance (5 to
+    15 axes), Ward linkage, the number of classes from 3 to 10 with the best silhouette. Each other word goes to the class whose mean is
+    nearest on the same axes, the first among equals."""
     prof = run_sql(spark, sf_dir, grammar.p3_profile_ppmi(SPARK))
+    top = run_sql(spark, sf_dir, f"WITH {SPARK.word_occ()} SELECT lang, word FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY freq DESC, word) AS rk FROM wt) WHERE rk <= {LINKED}")
 
     def classes(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="word", columns="context", values="ppmi", fill_value=0.0).sort_index()
         x = wide.to_numpy(float)
-        x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
-        u, s, _ = np.linalg.svd(x, full_matrices=False)
+        mean, sd = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
+        x = (x - mean) / sd
+        u, s, vt = np.linalg.svd(x, full_matrices=False)
         share = np.cumsum(s**2) / max((s**2).sum(), 1e-12)
         k = int(np.clip(np.searchsorted(share, 0.8) + 1, min(5, len(s)), min(15, len(s))))
         y = u[:, :k] * s[:k]
         d = np.sqrt(np.maximum(((y[:, None] - y[None]) ** 2).sum(2), 0))
         best = max((round(silhouette(d, labels), 9), -m, labels.tolist()) for m in range(3, min(10, len(y) - 1) + 1) for labels in [linkage(d, m, "ward")])
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "word": list(wide.index), "class": best[2], "silhouette": best[0]})
-
-    return prof.groupBy("lang").applyInPandas(classes, "lang string, word string, class long, silhouette double")
+        axes = vt[:k].T / sd[:, None]
+        means = [y[np.array(best[2]) == c].mean(0) + mean @ axes for c in sorted(set(best[2]))]  # of the plain profile on these axes
+        return pd.DataFrame([(pdf["lang"].iloc[0], list(wide.index), best[2], best[0], list(wide.columns), axes.tolist(), [m.tolist() for m in means])], columns=["lang", "words", "labels", "silhouette", "contexts", "axes", "means"])
+
+    def assign(pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        names = ["lang", "word", "class", "silhouette"]
+        if not len(pdf) or not len(model):
+            return pd.DataFrame([], columns=names)
+        m = model.iloc[0]
+        linked, axes = dict(zip(m["words"], m["labels"], strict=True)), np.array([list(a) for a in m["axes"]])
+        words, row = np.unique(pdf["word"].to_numpy(str), return_inverse=True)
+        column = pd.Index(m["contexts"]).get_indexer(pdf["context"])
+        y, seen = np.zeros((len(words), axes.shape[1])), column >= 0
+        np.add.at(y, row[seen], pdf["ppmi"].to_numpy(float)[seen, None] * axes[column[seen]])
+        far = ((y[:, None] - np.array([list(a) for a in m["means"]])[None]) ** 2).sum(2).round(9)
+        order = sorted(set(m["labels"]))
+        return pd.DataFrame([(m["lang"], w, linked.get(w, order[c]), m["silhouette"]) for w, c in zip(words.tolist(), far.argmin(1).tolist(), strict=True)], columns=names)
+
+    model = prof.join(top, ["lang", "word"]).groupBy("lang").applyInPandas(classes, "lang string, words array<string>, labels array<long>, silhouette double, contexts array<string>, axes array<array<double>>, means array<array<double>>")
+    model = model.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    prof = prof.withColumn("part", F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(16)))
+    return prof.groupBy("lang", "part").cogroup(model.groupBy("lang", "part")).applyInPandas(assign, "lang string, word string, class long, silhouette double")
 
 

@@ -82,16 +82,15 @@ def p2_signature_groups(d) -> str:
     return f"WITH {_signatures(d)} SELECT lang, signature, slots, stems FROM gg"
 
 
-def _frequent_signatures(d) -> str:
-    """The forty signatures of a language with most stems, and their suffixes as rows."""
-    return _signatures(d) + """, tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY stems DESC, signature) AS rk FROM gg) WHERE rk <= 40),
-ex AS (SELECT DISTINCT tp.lang, tp.signature, tp.slots, tp.rk, sx.suffix FROM tp JOIN gs ON gs.lang = tp.lang AND gs.signature = tp.signature JOIN sx ON sx.lang = gs.lang AND sx.stem = gs.stem)"""
+def _signature_suffixes(d) -> str:
+    """CTE ex: all signatures of two stems or more with their suffixes as rows."""
+    return _signatures(d) + """, ex AS (SELECT DISTINCT gg.lang, gg.signature, gg.slots, sx.suffix FROM gg JOIN gs ON gs.lang = gg.lang AND gs.signature = gg.signature JOIN sx ON sx.lang = gs.lang AND sx.stem = gs.stem)"""
 
 
 @relational
 def p2_signature_jaccard(d) -> str:
-    """Of the forty signatures with most stems: shared suffixes over all."""
-    return f"WITH {_frequent_signatures(d)}, pr AS (SELECT a.lang, a.signature AS a, b.signature AS b, max(a.slots) AS na, max(b.slots) AS nb, count(*) AS k FROM ex a JOIN ex b ON a.lang = b.lang AND a.suffix = b.suffix AND a.signature < b.signature GROUP BY a.lang, a.signature, b.signature) SELECT lang, a, b, k AS shared, {d.r6('CAST(k AS DOUBLE) / (na + nb - k)')} AS jaccard FROM pr"
+    """Of signatures that share a suffix: shared suffixes over all."""
+    return f"WITH {_signature_suffixes(d)}, pr AS (SELECT a.lang, a.signature AS a, b.signature AS b, max(a.slots) AS na, max(b.slots) AS nb, count(*) AS k FROM ex a JOIN ex b ON a.lang = b.lang AND a.suffix = b.suffix AND a.signature < b.signature GROUP BY a.lang, a.signature, b.signature) SELECT lang, a, b, k AS shared, {d.r6('CAST(k AS DOUBLE) / (na + nb - k)')} AS jaccard FROM pr"
 
 
 def _inflection(d) -> str:

@@ -170,3 +170,22 @@ def test_nearest_compares_every_string(spark):
             if near:
                 want[q, lang] = [(i, *x) for i, x in enumerate(near, 1)]
     assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_merged_groups_equal_a_plain_search():
+    rng = random.Random(9)
+
+    def plain(groups, threshold, most):
+        left = [(set(g), [i]) for i, g in enumerate(groups)]
+        while len(left) > 1:
+            score, i, j = max((1.0 if not a and not b else len(a & b) / len(a | b), -i, -j) for i, (a, _) in enumerate(left) for j, (b, _) in enumerate(left) if i < j)
+            if score < threshold and len(left) <= most:
+                break
+            i, j = -i, -j
+            left[i] = left[i][0] | left[j][0], left[i][1] + left[j][1]
+            del left[j]
+        return [next(k for k, (_, m) in enumerate(left) if i in m) for i in range(len(groups))]
+
+    for _ in range(30):
+        groups = [frozenset(rng.sample("abcdefg", rng.randint(0, 4))) for _ in range(rng.randint(0, 25))]
+        assert C.merge_groups(groups, 0.5, 6) == plain(groups, 0.5, 6)

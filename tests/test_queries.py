@@ -81,3 +81,20 @@ def test_shuffle_null_counts_every_word(spark, duck):
                 k[1] += 1
     got = {(r.lang, r.sign): [r.observed, r.total] for r in registry.queries()["rs_shuffle_null"](spark, DIR).collect()}
     assert got == want
+
+
+def test_all_signatures_and_words_take_part(spark):
+    """Each signature that shares a suffix is paired, each one's suffixes are in a paradigm, each word seen twice is profiled and classed."""
+    q, there = registry.queries(), "/root/testdata/sf0.01"
+    groups = {(r.lang, r.signature): set(r.signature.split("|")) for r in q["p2_signature_groups"](spark, there).collect()}
+    assert max(sum(x == lang for x, _ in groups) for lang in ("en", "de", "fr")) > 40
+    pairs = {(r.lang, r.a, r.b): (r.shared, r.jaccard) for r in q["p2_signature_jaccard"](spark, there).collect()}
+    want = {(x, a, b): (len(s & t), round(len(s & t) / len(s | t), 6)) for (x, a), s in groups.items() for (y, b), t in groups.items() if x == y and a < b and s & t}
+    assert pairs == want
+    slots = {(r.lang, r.suffix) for r in q["p2_paradigm_slots"](spark, there).collect()}
+    assert slots == {(lang, x) for (lang, _), s in groups.items() for x in s}
+    words = {(r.lang, r.word) for r in spark.read.parquet(f"{DIR}/documents.parquet").selectExpr("lang", "explode(regexp_extract_all(lower(text), '(\\\\p{L}+)', 1)) AS word").groupBy("lang", "word").count().where("count >= 2").collect()}
+    profiled = {(r.lang, r.word) for r in q["p3_profile_ppmi"](spark, DIR).select("lang", "word").distinct().collect()}
+    assert profiled <= words and len(profiled) > 0.9 * len(words)
+    classed = [(r.lang, r.word) for r in q["p3_word_classes"](spark, DIR).collect()]
+    assert len(classed) == len(set(classed)) and set(classed) == profiled
