@@ -154,7 +154,8 @@ def p5_analytical_pvalue(d) -> str:
 
 
 def _null(d, samples: int = 40, fixed: bool = False) -> str:
-    """CTE nu: for random class strings (their signs drawn by hash) of five or six signs the nearest of 60 candidates of a language.
+    """CTE nu: for random class strings (their signs drawn by hash) of five or six signs the nearest of a language's pool
+    (POOL candidates of each length).
     fixed: with the first sign set to each class in turn."""
     sign = f"substr('{ALPHABET}', CAST({d.hash32("'null|' || CAST(l.len AS VARCHAR(9)) || '|' || CAST(r.r AS VARCHAR(9)) || '|' || CAST(p.p AS VARCHAR(9))")} % 12 + 1 AS INT), 1)"
     if fixed:
@@ -163,7 +164,7 @@ def _null(d, samples: int = 40, fixed: bool = False) -> str:
     classes = f"fx AS (SELECT substr('{ALPHABET}', CAST(i AS INT), 1) AS c FROM {d.series('1', '12', 'i')} s), " if fixed else ""
     glue = "array_join(transform(array_sort(collect_list(struct(p, s))), x -> x.s), '')" if d.name == "spark" else "string_agg(s, '' ORDER BY p)"
     out = "fixed, " if fixed else ""
-    return _coded(d) + f""", np AS (SELECT lang, sca, len FROM (SELECT lang, sca, len, row_number() OVER (PARTITION BY lang ORDER BY md5(sca), sca) AS rk FROM (SELECT DISTINCT lang, sca, len FROM sc WHERE len >= 3 AND len <= 8)) WHERE rk <= 60),
+    return _coded(d) + f""", np AS (SELECT lang, sca, len FROM (SELECT lang, sca, len, row_number() OVER (PARTITION BY lang, len ORDER BY md5(sca), sca) AS rk FROM (SELECT DISTINCT lang, sca, len FROM sc WHERE len >= 3 AND len <= 8)) WHERE rk <= {POOL}),
 {classes}ch AS (SELECT l.len, r.r, {cols}p.p, {sign} AS s FROM {d.series('5', '6', 'len')} l CROSS JOIN {d.series('1', str(samples), 'r')} r CROSS JOIN {d.series('1', '6', 'p')} p{extra} WHERE p.p <= l.len),
 rs AS (SELECT {keys}, {glue} AS sca FROM ch GROUP BY {keys}),
 nu AS (SELECT np.lang, rs.len, rs.r, {out}min(CAST(levenshtein(rs.sca, np.sca) AS DOUBLE) / greatest(rs.len, np.len)) AS ned FROM rs JOIN np ON np.len >= rs.len - 2 AND np.len <= rs.len + 2 GROUP BY np.lang, rs.len, rs.r{', fixed' if fixed else ''})"""
@@ -175,14 +176,14 @@ def p5_mc_null(d) -> str:
     return f"WITH {_null(d)}, g AS (SELECT lang, len, round(ned, 6) AS ned, count(*) AS k FROM nu GROUP BY lang, len, round(ned, 6)) SELECT lang, len, ned, CAST(sum(k) OVER (PARTITION BY lang, len ORDER BY ned) AS BIGINT) AS at_most FROM g"
 
 
-def _observed() -> str:
-    """CTE ob: for the words of a language's sources 1 the nearest candidate; distances as the null model has them."""
-    return """oq AS (SELECT sca, len FROM (SELECT sca, len, row_number() OVER (ORDER BY md5(sca), sca) AS rk FROM (SELECT DISTINCT sca, len FROM sc WHERE lang = 'en' AND len >= 5 AND len <= 6)) WHERE rk <= 40),
-ob AS (SELECT oq.sca AS q, oq.len, np.lang, min(CAST(levenshtein(oq.sca, np.sca) AS DOUBLE) / greatest(oq.len, np.len)) AS ned FROM oq JOIN np ON np.len >= oq.len - 2 AND np.len <= oq.len + 2 GROUP BY oq.sca, oq.len, np.lang)"""
+def _observed(d) -> str:
+    """CTE ob: for every English class string of five or six signs the nearest of each pool; distances as the null model has them."""
+    return f"""oq AS (SELECT DISTINCT sca, len FROM sc WHERE lang = 'en' AND len >= 5 AND len <= 6), ow AS (SELECT oq.sca, oq.len, oq.len + s.o AS b FROM oq CROSS JOIN {d.series('-2', '2', 'o')} s),
+ob AS (SELECT ow.sca AS q, ow.len, np.lang, min(CAST(levenshtein(ow.sca, np.sca) AS DOUBLE) / greatest(ow.len, np.len)) AS ned FROM ow JOIN np ON np.len = ow.b GROUP BY ow.sca, ow.len, np.lang)"""
 
 
 def _mc_p(d) -> str:
-    return _null(d) + f""", {_observed()}, mp AS (SELECT ob.q, ob.lang, max(ob.ned) AS ned, CAST(count(*) FILTER (WHERE nu.ned <= ob.ned + 0.000000000001) + 1 AS DOUBLE) / (count(*) + 1) AS p FROM ob JOIN nu ON nu.lang = ob.lang AND nu.len = ob.len GROUP BY ob.q, ob.lang)"""
+    return _null(d) + f""", {_observed(d)}, mp AS (SELECT ob.q, ob.lang, max(ob.ned) AS ned, CAST(count(*) FILTER (WHERE nu.ned <= ob.ned + 0.000000000001) + 1 AS DOUBLE) / (count(*) + 1) AS p FROM ob JOIN nu ON nu.lang = ob.lang AND nu.len = ob.len GROUP BY ob.q, ob.lang)"""
 
 
 @relational
@@ -204,7 +205,7 @@ def p5_bh_fdr(d) -> str:
 @relational
 def p5_class_conditional(d) -> str:
     """p against the null whose first sign has the query's class."""
-    return f"""WITH {_null(d, 25, True)}, {_observed()}
+    return f"""WITH {_null(d, 25, True)}, {_observed(d)}
 SELECT ob.q, ob.lang, substr(ob.q, 1, 1) AS fixed, {d.r6('max(ob.ned)')} AS ned, {d.r6('CAST(count(*) FILTER (WHERE nu.ned <= ob.ned + 0.000000000001) + 1 AS DOUBLE) / (count(*) + 1)')} AS p FROM ob JOIN nu ON nu.lang = ob.lang AND nu.len = ob.len AND nu.fixed = substr(ob.q, 1, 1) GROUP BY ob.q, ob.lang, substr(ob.q, 1, 1)"""
 
 
@@ -223,9 +224,9 @@ def p5_hypotheses(d) -> str:
 
 def _read(d) -> str:
     """CTE hb: each hypothesis' nearest candidate and its analytical p."""
-    return _hypotheses(d) + f""", lc AS (SELECT lang, sca, CAST(length(sca) AS BIGINT) AS len FROM (SELECT lang, sca, row_number() OVER (PARTITION BY lang ORDER BY md5(sca), sca) AS rk FROM (SELECT DISTINCT lang, {_sca('word')} AS sca FROM uw WHERE lang <> 'en' AND n >= 3 AND n <= 9 AND {d.matches('^[a-z]+$', 'word')})) WHERE rk <= 200),
-hs AS (SELECT hy.*, {_sca('reading')} AS sca, CAST(length(reading) AS BIGINT) AS len FROM hy),
-hb AS (SELECT hs.word, hs.w_as, hs.y_as, hs.reading, lc.lang, max(hs.len) AS len, count(*) AS pool, min(CAST(levenshtein(hs.sca, lc.sca) AS DOUBLE) / greatest(hs.len, lc.len)) AS ned FROM hs JOIN lc ON lc.len >= hs.len - 2 AND lc.len <= hs.len + 2 GROUP BY hs.word, hs.w_as, hs.y_as, hs.reading, lc.lang),
+    return _hypotheses(d) + f""", lc AS (SELECT DISTINCT lang, {_sca('word')} AS sca, n AS len FROM uw WHERE lang <> 'en' AND n >= 3 AND n <= 9 AND {d.matches('^[a-z]+$', 'word')}),
+hs AS (SELECT hy.*, {_sca('reading')} AS sca, CAST(length(reading) AS BIGINT) AS len FROM hy), hw AS (SELECT hs.*, hs.len + s.o AS b FROM hs CROSS JOIN {d.series('-2', '2', 'o')} s),
+hb AS (SELECT hs.word, hs.w_as, hs.y_as, hs.reading, lc.lang, max(hs.len) AS len, count(*) AS pool, min(CAST(levenshtein(hs.sca, lc.sca) AS DOUBLE) / greatest(hs.len, lc.len)) AS ned FROM hw hs JOIN lc ON lc.len = hs.b GROUP BY hs.word, hs.w_as, hs.y_as, hs.reading, lc.lang),
 hp AS (SELECT *, round({_analytical(d, 'ned', 'len', 'pool')}, 9) AS p FROM hb)"""
 
 

@@ -1,13 +1,16 @@
 """Every relational query against the other engine on the smallest tables."""
 
+import hashlib
 import math
 import re
 
 import duckdb
 import pytest
 
+from tessera.operators.similarity import nearest_of
 from tessera.plans import registry
 from tessera.plans.dialect import DUCK, SPARK
+from tessera.plans.vocabulary import CLASSES, LETTERS
 
 DIR = "/root/testdata/sf0.001"
 _oracles = registry.oracle_sql()
@@ -98,3 +101,35 @@ def test_all_signatures_and_words_take_part(spark):
     assert profiled <= words and len(profiled) > 0.9 * len(words)
     classed = [(r.lang, r.word) for r in q["p3_word_classes"](spark, DIR).collect()]
     assert len(classed) == len(set(classed)) and set(classed) == profiled
+
+
+def test_observed_words_and_readings_meet_all_candidates(spark):
+    """Distances of all English class strings of five or six signs to pools of 500 a length, and of readings to all words, by search."""
+    q = registry.queries()
+    words = q["p5_sca_encode"](spark, DIR).collect()
+    sca = {(r.lang, r.sca) for r in words}
+    pools = {}
+    for lang in sorted({x for x, _ in sca}):
+        for n in range(3, 9):
+            of = sorted((t for x, t in sca if x == lang and len(t) == n), key=lambda t: (hashlib.md5(t.encode()).hexdigest(), t))
+            pools[lang, n] = of[:500]
+    asked = sorted(t for x, t in sca if x == "en" and 5 <= len(t) <= 6)
+    got = {(r.q, r.lang): r.ned for r in q["p5_mc_pvalue"](spark, DIR).collect()}
+    assert {x for x, _ in got} == set(asked)
+    near = lambda t, texts: min(round(d / max(len(t), len(texts[i])), 6) for i, d in nearest_of([t], texts, 1)[0])
+    for t in asked[::40]:
+        for lang in {x for x, _ in pools}:
+            texts = sorted(x for n in range(len(t) - 2, len(t) + 3) for x in pools.get((lang, n), []))
+            assert got.get((t, lang)) == (near(t, texts) if texts else None)
+    lexicon = {(r.lang, r.sca) for r in words if r.lang != "en" and 3 <= len(r.word) <= 9}
+    hits = {}
+    code = str.maketrans(LETTERS, CLASSES)
+    for h in q["p5_hypotheses"](spark, DIR).collect():
+        t = h.reading.translate(code)
+        for lang in ("de", "es", "fr"):
+            texts = sorted(x for k, x in lexicon if k == lang and abs(len(x) - len(t)) <= 2)
+            if texts and near(t, texts) <= 0.4:
+                for sign, r in (("w", h.w_as), ("y", h.y_as)):
+                    if r != "-":
+                        hits[sign, r] = hits.get((sign, r), 0) + 1
+    assert {(r.sign, r.reading): r.hits for r in q["p5_reading_votes"](spark, DIR).collect()} == hits
