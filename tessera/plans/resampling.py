@@ -31,10 +31,10 @@ SELECT ob.lang, ob.sign, observed, total, {d.r6('shuffled')} AS shuffled FROM ob
 
 @relational
 def rs_tail_shuffle(d) -> str:
-    """Tails dealt anew over heads 20 times: share of tail pairs under one head that agree in being a vowel, observed and by chance."""
+    """Tails dealt anew over heads 1000 times: share of tail pairs under one head that agree in being a vowel, observed and by chance."""
     kind, pairs = "CASE WHEN tail IN ('a', 'e', 'i', 'o', 'u') THEN 'v' ELSE 'c' END", "n * (n - 1) / 2"
     return f"""WITH {d.word_occ()}, cs AS (SELECT lang, substr(word, n - 1, 1) AS head, substr(word, n, 1) AS tail, count(*) AS stems FROM uw WHERE n >= 4 GROUP BY lang, substr(word, n - 1, 1), substr(word, n, 1) HAVING count(*) >= 3),
-hs AS (SELECT lang, head, row_number() OVER (PARTITION BY lang ORDER BY head, tail) AS i FROM cs), ts AS (SELECT r.r, cs.lang, {kind} AS t, row_number() OVER (PARTITION BY r.r, cs.lang ORDER BY CASE WHEN r.r = 0 THEN '' ELSE md5(CAST(r.r AS VARCHAR(9)) || '|' || head || tail) END, head, tail) AS i FROM cs CROSS JOIN {d.series('0', '20', 'r')} r),
+hs AS (SELECT lang, head, row_number() OVER (PARTITION BY lang ORDER BY head, tail) AS i FROM cs), ts AS (SELECT r.r, cs.lang, {kind} AS t, row_number() OVER (PARTITION BY r.r, cs.lang ORDER BY CASE WHEN r.r = 0 THEN '' ELSE md5(CAST(r.r AS VARCHAR(9)) || '|' || head || tail) END, head, tail) AS i FROM cs CROSS JOIN {d.series('0', '1000', 'r')} r),
 gk AS (SELECT ts.r, ts.lang, hs.head, ts.t, CAST(count(*) AS DOUBLE) AS n FROM ts JOIN hs ON hs.lang = ts.lang AND hs.i = ts.i GROUP BY ts.r, ts.lang, hs.head, ts.t), gh AS (SELECT r, lang, head, sum(n) AS n, sum({pairs}) AS same FROM gk GROUP BY r, lang, head), pu AS (SELECT r, lang, sum(same) / sum({pairs}) AS purity FROM gh GROUP BY r, lang)
 SELECT lang, {d.r6('max(CASE WHEN r = 0 THEN purity END)')} AS observed, {d.r6('avg(CASE WHEN r > 0 THEN purity END)')} AS shuffled_mean, {d.r6('stddev_pop(CASE WHEN r > 0 THEN purity END)')} AS shuffled_sd FROM pu GROUP BY lang"""
 

@@ -3,6 +3,8 @@
 import hashlib
 import math
 import re
+from collections import Counter
+from statistics import fmean, pstdev
 
 import duckdb
 import pytest
@@ -133,3 +135,20 @@ def test_observed_words_and_readings_meet_all_candidates(spark):
                     if r != "-":
                         hits[sign, r] = hits.get((sign, r), 0) + 1
     assert {(r.sign, r.reading): r.hits for r in q["p5_reading_votes"](spark, DIR).collect()} == hits
+
+
+def test_tails_are_dealt_a_thousand_times(spark, duck):
+    """The mean and spread of the purity over 1000 deals, dealt here."""
+    text = duck.execute("SELECT lang, text FROM documents WHERE text IS NOT NULL AND lang = 'es'").fetchall()
+    words = {w for _, t in text for w in re.findall(r"[^\W\d_]+", t.lower()) if len(w) >= 4}
+    stems = Counter(w[-2:] for w in words)
+    pairs = sorted(p for p, k in stems.items() if k >= 3)
+    heads, purity = [p[0] for p in pairs], []
+    for r in range(1001):
+        dealt = pairs if r == 0 else sorted(pairs, key=lambda p: (hashlib.md5(f"{r}|{p}".encode()).hexdigest(), p))
+        kinds = Counter((h, t[1] in "aeiou") for h, t in zip(heads, dealt, strict=True))
+        by_head = Counter(heads)
+        purity.append(sum(n * (n - 1) / 2 for n in kinds.values()) / sum(n * (n - 1) / 2 for n in by_head.values()))
+    got = registry.queries()["rs_tail_shuffle"](spark, DIR).where("lang = 'es'").first()
+    want = purity[0], fmean(purity[1:]), pstdev(purity[1:])
+    assert all(abs(a - b) < 2e-6 for a, b in zip((got.observed, got.shuffled_mean, got.shuffled_sd), want, strict=True))
