@@ -14,10 +14,11 @@ from tessera.llm.shared import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those that the segments' model calls toxic; it learns from the labels whose fold is not 0."""
+    """Documents without those that the segments' model calls toxic, above the score that it chose on documents outside its fit. It learns
+    from the labels whose fold is not 0."""
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
     model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").where(fold != 0))
-    return toxicity.score(docs, model).where("predicted = 0").select("row.*")
+    return toxicity.score(docs, model).where(F.col("score") <= model.cut).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

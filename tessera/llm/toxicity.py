@@ -1,22 +1,25 @@
 """Toxicity by maximum-scoring segments of token log-odds, calibrated by extreme-value statistics.
 
-Tokens (and, for tokens not seen, their first letters) get the log-odds of toxic against other documents under a Dirichlet prior
-that follows the frequencies of all documents; those surely above zero form a lexicon, any other token costs a little. A linear
-scan finds all maximal scoring segments of a text. The best score among n random tokens has the extreme-value law
-P(S >= x) = 1 - exp(-K n exp(-lambda x)); in its terms a segment scores lambda S - ln(K n), and those above 0 are passages that
-chance does not explain. A logistic curve over the best and the sum of them gives the probability of the label.
+Tokens, and stems of a few letters for tokens not known, get the log-odds of toxic against other documents under a Dirichlet prior
+that follows the frequencies of all documents. A token's documents are counted once for a group of near copies, and it enters the
+lexicon, on either side, if an exact bound of the binomial tail stays below a false-discovery rate over all tokens and stems; any
+other token has the pooled log-odds of the rest less a cost. A linear scan finds all maximal scoring segments of a text. The best
+score among n random tokens has the extreme-value law P(S >= x) = 1 - exp(-K n exp(-lambda x)); in its terms a segment scores
+lambda S - ln(K n), and those above 0 are passages that chance does not explain. K and a logistic curve over the best and the sum of
+them are fitted on documents that the lexicon in use there did not see (parts, each scored by the lexicon of the others).
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import about, stored
@@ -26,23 +29,23 @@ _TOKEN = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Fit:
-    """docs: labels to learn from, about so many at most (those of low hash of id); prior: the Dirichlet prior's weight in documents;
-    z, seen: a token enters the lexicon if its log-odds are so many deviations above 0 and so many toxic documents have it;
-    tokens: entries of the lexicon at most (largest z); other: score of any other token; highest: of any token; stem: letters
-    that stand for unseen tokens of more than so many."""
+    """docs: labels to learn from, about so many at most (those of low hash of id), and texts, twice as many at most; prior: the
+    Dirichlet prior's weight in tokens; false: rate of false discoveries among the lexicon's entries; cost: of a token that is not in
+    it; highest: log-odds of any token at most (and at least, below 0); stems: letters that stand for tokens of more than so many; clean:
+    share of the clean documents outside the fit that `Model.cut` may lose; parts: of the sample, each scored by what the others teach."""
 
     docs: int = 20_000
-    prior: float = 50.0
-    z: float = 2.0
-    seen: int = 3
-    tokens: int = 50_000
-    other: float = -0.5
+    prior: float = 500.0
+    false: float = 0.01
+    cost: float = 0.5
     highest: float = 8.0
-    stem: int = 4
+    stems: tuple[int, ...] = (4, 5, 6)
+    clean: float = 0.005
+    parts: int = 8
 
 
 class _Known(dict):
-    """Scores of words as they stand between white space: the highest of their tokens. Remembers a bounded number."""
+    """Scores of words as they stand between white space: of their tokens the one farthest from 0. Remembers a bounded number."""
 
     def __init__(self, model: Model, most: int = 300_000):
         super().__init__()
@@ -52,19 +55,22 @@ class _Known(dict):
         if len(self) >= self.most:
             self.clear()
         plain = word.rstrip(".,")
-        found = self[word] = self.model.token_score(plain) if plain.isalpha() else max(map(self.model.token_score, _TOKEN.findall(word)), default=0.0)
+        found = self[word] = self.model.token_score(plain) if plain.isalpha() else max(map(self.model.token_score, _TOKEN.findall(word)), key=abs, default=0.0)
         return found
 
 
 @dataclass
 class Model:
-    tokens: dict[str, float] = field(default_factory=dict)
-    stems: dict[str, float] = field(default_factory=dict)
+    """odds: token, or stem and an asterisk, -> log-odds; other: score of any other token; cut: the score above
+    which documents should go, chosen on documents outside the fit (see _cut)."""
+
+    odds: dict[str, float] = field(default_factory=dict)
     other: float = -0.5
-    stem: int = 4
+    stems: tuple[int, ...] = (4, 5, 6)
     decay: float = 1.0  # lambda
     scale: float = 1.0  # K
     curve: tuple[float, float, float] = (-4.0, 0.0, 0.0)
+    cut: float = 0.5
 
     def __post_init__(self):
         self.known = _Known(self)
@@ -77,8 +83,12 @@ class Model:
         self.known = _Known(self)
 
     def token_score(self, token: str) -> float:
-        found = self.tokens.get(token)
-        return found if found is not None else self.stems.get(token[: self.stem], 0.0) if len(token) > self.stem else 0.0
+        """Of the token itself, else of its longest known stem, else 0 (which stands for `other`)."""
+        found = self.odds.get(token)
+        for n in reversed(self.stems):
+            if found is None and len(token) > n:
+                found = self.odds.get(token[:n] + "*")
+        return found or 0.0
 
     def segments(self, text: str | None) -> tuple[int, list[tuple[float, int, int]]]:
         """The number of words, and of each maximal scoring segment its score and its words' span."""
@@ -101,94 +111,191 @@ class Model:
 
 
 def maximal_segments(hits: list[tuple[int, float]], other: float) -> list[tuple[float, int, int]]:
-    """hits: positions and positive scores; all other positions score `other` (below 0). All maximal scoring segments, as by
-    Ruzzo and Tompa: candidates with their sums before (l) and at their end (r); a new one swallows back to the last with a
-    smaller l while that one's r is not above its own."""
-    out: list[list] = []
+    """hits: positions and their scores; all other positions score `other` (below 0). All maximal scoring segments, as by Ruzzo and
+    Tompa, in linear time: a candidate keeps its sums before (l) and at its end (r) and the last candidate before it with a smaller
+    l. A new one looks for its own along that chain, so what it passes over is never looked at again, and swallows back to it
+    while that one's r is below its own."""
+    out: list[tuple] = []
     total, at = 0.0, 0
     for i, s in hits:
         total += other * (i - at)
-        new = [total, total + s, i, i + 1]
-        total, at = total + s, i + 1
+        low, total, at = total, total + s, i + 1
+        if s <= 0:
+            continue
+        start, j = i, len(out) - 1
         while True:
-            j = len(out) - 1
-            while j >= 0 and out[j][0] >= new[0]:
-                j -= 1
-            if j < 0 or out[j][1] >= new[1]:
-                out.append(new)
+            while j >= 0 and out[j][0] >= low:
+                j = out[j][4]
+            if j < 0 or out[j][1] >= total:
                 break
-            new = [out[j][0], new[1], out[j][2], new[3]]
+            low, _, start, _, before = out[j]
             del out[j:]
-    return [(r - l, a, b) for l, r, a, b in out]  # noqa: E741
+            j = before
+        out.append((low, total, start, i + 1, j))
+    return [(high - low, a, b) for low, high, a, b, _ in out]
+
+
+def _tail(a: Column, b: Column, high: Column, low: Column) -> Column:
+    """Log of a bound (Chernoff's, never too small) of the binomial tail beyond a of a + b, of the share `high` or more of chance where a's
+    share is above it, or `low` and less where it is below; null in between."""
+    f = a / (a + b)
+    p = F.when(f > high, high).when(f < low, low)
+    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
+    return -(a + b) * (part(f, p) + part(1 - f, 1 - p))
+
+
+@dataclass
+class _Side:
+    """What one part of the sample holds: documents and distinct tokens (of each document), toxic and not."""
+
+    docs: tuple[int, int]
+    tokens: tuple[int, int]
+
+
+def _lexicons(counts: DataFrame, sides: list[tuple[Column, Column, _Side]], fit: Fit) -> list[list]:
+    """For each side entries (token, d, a, b) below the false-discovery rate (Benjamini and Hochberg). The expected share of a token's
+    documents lies between that of documents and that of tokens: common tokens are in every document, rare ones in long ones. Tokens
+    of so few documents that not even all of them toxic would do are no tests (Tarone)."""
+    least, shares = float(np.log(fit.false)), [(s.tokens[0] / max(sum(s.tokens), 1), s.docs[0] / max(sum(s.docs), 1)) for _, _, s in sides]
+    able = [0 < min(x) and max(x) < 1 for x in shares]
+    of = lambda values: F.array(*(F.lit(float(v)) for v in values))[F.col("k")]
+    rows = counts.select("token", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), a.alias("a"), b.alias("b")) for k, (a, b, _) in enumerate(sides) if able[k]))).alias("x")).select("token", "x.*") if any(able) else None
+    if rows is None:
+        return [[] for _ in sides]
+    a, b = F.col("a"), F.col("b")
+    rows = rows.where(a + b >= of(least / np.log(max(x)) if good else 1 for x, good in zip(shares, able, strict=True)))
+    prior = fit.prior * (a + b) / of(max(sum(s.tokens), 1) for _, _, s in sides)
+    odds = lambda x, i: F.log((x + prior) / (of(s.tokens[i] for _, _, s in sides) + fit.prior - x - prior))
+    tests = {r["k"]: r["count"] for r in rows.groupBy("k").count().collect()}
+    good = rows.withColumn("p", _tail(a, b, of(map(max, shares)), of(map(min, shares)))).where(F.col("p") < least).select("k", "p", "token", (odds(a, 0) - odds(b, 1)).alias("d"), "a", "b").collect()
+    out = []
+    for k in range(len(sides)):
+        found = sorted(tuple(r)[1:] for r in good if r["k"] == k)
+        out.append([x[1:] for x in found[: max((i for i, x in enumerate(found, 1) if x[0] <= np.log(fit.false * i / tests[k])), default=0)]])
+    return out
+
+
+def _model(rows: list, side: _Side, fit: Fit) -> Model:
+    """The lexicon's model; lambda solves sum p(s) exp(lambda s) = 1 over the scores of a token of documents that aren't toxic."""
+    limit = lambda d: max(-fit.highest, min(fit.highest, d))
+    whole = [r for r in rows if r[0][-1] != "*"]
+    rest = [max(n - sum(r[x] for r in whole), 1) / max(n, 1) for n, x in zip(side.tokens, (2, 3), strict=True)]
+    model = Model({token: limit(d) for token, d, _, _ in rows}, min(0.0, float(np.log(rest[0] / rest[1]))) - fit.cost, fit.stems)
+    p = np.array([(b + 0.5) / max(side.tokens[1], 1) for _, _, _, b in rows])
+    p = p * min(1.0, 0.5 / p.sum()) if len(rows) else p
+    values, p = np.array([*(limit(r[1]) for r in rows), model.other]), np.append(p, 1 - p.sum())
+    lo, hi = 1e-3, 20.0
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if (p * np.exp(np.minimum(mid * values, 600))).sum() < 1 else (lo, mid)
+    model.decay = lo
+    return model
+
+
+_MIX = np.random.default_rng(1).integers(1, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
 
 
-def _lexicon(counts: DataFrame, toxic: int, rest: int, fit: Fit) -> dict[str, tuple[float, float]]:
-    """counts: token, a and b (toxic and other documents that have it) -> token: log-odds and b, surely above 0."""
-    n = toxic + rest
-    prior = F.lit(fit.prior) * (F.col("a") + F.col("b")) / n
-    odds = lambda x, total: F.log((F.col(x) + prior) / F.greatest(F.lit(total) + fit.prior - F.col(x) - prior, F.lit(0.5)))
-    df = counts.where(F.col("a") >= fit.seen).select("token", "b", (odds("a", toxic) - odds("b", rest)).alias("d"), F.sqrt(1 / (F.col("a") + prior) + 1 / (F.col("b") + prior)).alias("sd"))
-    df = df.where(F.col("d") > F.col("sd") * fit.z).orderBy(F.desc(F.col("d") / F.col("sd")), "token").limit(fit.tokens)
-    return {r["token"]: (min(fit.highest, r["d"]), r["b"]) for r in df.collect()}
+def _sketch(words: list[str]) -> list[int]:
+    """Four numbers of two least hashes each of the three-word shingles: near copies share one of them, others hardly."""
+    h = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    if len(h) > 2:
+        h = np.unique((h[:-2] * np.uint64(961) + h[1:-1] * np.uint64(31) + h[2:]) * np.uint64(0x9E3779B97F4A7C15))
+    h = (h ^ (h >> np.uint64(29))) + np.uint64(1)
+    least = np.array([((h * m) ^ ((h * m) >> np.uint64(31))).min() for m in _MIX], np.uint64) * _MIX if len(h) else _MIX
+    return ((least[::2] ^ (least[1::2] >> np.uint64(7))) >> np.uint64(1)).astype(np.int64).tolist()
+
+
+def _one_of_each(rows: list) -> list:
+    """rows: h, toxic, distinct, sketch, at most twice Fit.docs -> the row of least h of each group of one label that a sketch links."""
+    up: dict = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for r in rows:
+        names = [(r["toxic"], j, k) for j, k in enumerate(r["sketch"])]
+        for name in names[1:]:
+            up[top(name)] = top(names[0])
+    first: dict = {}
+    for r in sorted(rows, key=lambda r: r["h"]):
+        first.setdefault(top((r["toxic"], 0, r["sketch"][0])), r)
+    return list(first.values())
 
 
 def train(docs: DataFrame, labels: DataFrame, fit: Fit | None = None) -> Model:
-    """docs: doc_id, text; labels: doc_id, toxic (rows with null count for nothing). Learns from a bounded sample; without both
-    kinds of label the model says what there is: a small constant, or 1/2 and more if all are toxic."""
+    """docs: doc_id, text; labels: doc_id, toxic (rows with null count for nothing; of an id with both, toxic counts). Learns from a
+    bounded sample, each group of near copies once; without both kinds of label the model says what there is: a small constant, or 1/2 and
+    more if all are toxic."""
     fit = fit or Fit()
-    chosen = about(labels.where("toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("long").alias("toxic")), fit.docs, F.col("doc_id"))
-    sample = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxicity-sample")  # about fit.docs ids
-    by_label = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    toxic, rest = by_label.get(1, 0), by_label.get(0, 0)
-    model = Model(other=fit.other, stem=fit.stem)
+    spark = docs.sparkSession
+    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
+    chosen = about(stored(known, "toxicity-labels"), fit.docs, F.col("doc_id"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("text").alias("h"), "text", "toxic")  # about fit.docs ids
+    sample = about(stored(sample.dropDuplicates(["h", "toxic"]), "toxicity-sample"), 2 * fit.docs, F.col("h"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [(t.as_py() or "").lower() for t in batch["text"]]
+            words = [_TOKEN.findall(t) for t in words]
+            yield pa.RecordBatch.from_arrays([batch["h"], batch["toxic"], pa.array([len(set(w)) for w in words], pa.int64()), pa.array([_sketch(w) for w in words], pa.list_(pa.int64()))], names=["h", "toxic", "n", "sketch"])
+
+    rows = _one_of_each(sample.mapInArrow(sketch, "h long, toxic long, n long, sketch array<long>").collect())  # fit.docs bounds them
+    part_of = lambda r: r["h"] % fit.parts
+    held = [None, *range(fit.parts)]  # nothing, and each part in turn
+    side = [_Side(*(tuple(sum(f(r) for r in rows if r["toxic"] == k and part_of(r) != part) for k in (1, 0)) for f in (lambda r: 1, lambda r: r["n"]))) for part in held]
+    toxic, rest = side[0].docs
     if not toxic or not rest:
-        model.curve = (4.0 if toxic else -4.0, 0.0, 0.0)
-        return model
+        return Model(curve=(4.0 if toxic else -4.0, 0.0, 0.0))
+    once = F.broadcast(spark.createDataFrame([(r["h"], r["toxic"]) for r in rows], "h long, toxic long"))
+    sample = stored(sample.join(once, ["h", "toxic"], "left_semi").select("text", "toxic", F.pmod("h", F.lit(fit.parts)).alias("part")), "toxicity-once")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Counter(), Counter()
+        seen = [Counter() for _ in each]
         for batch in batches:
-            for text, label in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
+            for text, label, part in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), batch["part"].to_pylist(), strict=True):
                 tokens = set(_TOKEN.findall((text or "").lower()))
-                seen[label].update(tokens | {t[: fit.stem] + "*" for t in tokens if len(t) > fit.stem})
-        tokens = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), *(pa.array([seen[k][t] for t in tokens], pa.int64()) for k in (1, 0))], names=["token", "a", "b"])
+                seen[2 * part + 1 - label].update(tokens | {t[:n] + "*" for n in fit.stems for t in tokens if len(t) > n})
+        tokens = list(set().union(*seen))
+        yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), *(pa.array([s[t] for t in tokens], pa.int64()) for s in seen)], names=["token", *each])
+
+    each = [f"{c}{part}" for part in range(fit.parts) for c in "ab"]
+    counts = stored(sample.mapInArrow(count, f"token string, {', '.join(f'{c} long' for c in each)}").groupBy("token").agg(*(F.sum(c).alias(c) for c in each)), "toxicity-tokens")
+    summed = lambda c, without: sum((F.col(f"{c}{part}") for part in range(fit.parts) if part != without), F.lit(0))
+    lexicons = _lexicons(counts, [(summed("a", part), summed("b", part), s) for part, s in zip(held, side, strict=True)], fit)
+    model, *others = (_model(rows, s, fit) for rows, s in zip(lexicons, side, strict=True))
+
+    def measured(models: list[Model]) -> np.ndarray:
+        """Label and features of every text by the model of the other parts."""
+
+        def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                got = [(y, *models[part].features(t)) for t, y, part in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), batch["part"].to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([float(g[k]) for g in got], pa.float64()) for k in range(3)], names=["y", "best", "total"])
+
+        return np.array(sorted(map(tuple, sample.mapInArrow(rate, "y double, best double, total double").collect())))  # fit.docs bounds them
+
+    x = measured(others)
+    clean = x[:, 0] == 0
+    model.scale = float(clean.sum() / np.exp(-x[clean, 1]).sum())  # most likely K for clean texts: best is lambda S - ln(n) while K is 1
+    for m in others:
+        m.scale = model.scale
+    x = measured(others)
+    model.curve = logistic(np.column_stack([np.ones(len(x)), x[:, 1:]]), x[:, 0])
+    model.cut = _cut(np.array([model.probability(b, t) for _, b, t in x]), x[:, 0], fit.clean)
+    return model
 
-    counts = sample.mapInArrow(count, "token string, a long, b long").groupBy("token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    found = _lexicon(stored(counts, "toxicity-tokens"), toxic, rest, fit)
-    model.tokens = {t: d for t, (d, _) in found.items() if t[-1] != "*"}
-    model.stems = {t[:-1]: d for t, (d, _) in found.items() if t[-1] == "*"}
-    model.known.clear()
 
-    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [model.segments(t) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array([n for n, _ in got], pa.int64()), pa.array([[s for s, _, _ in f] for _, f in got], pa.list_(pa.float64()))], names=["toxic", "n", "scores"])
-
-    rows = sample.mapInArrow(raw, "toxic long, n long, scores array<double>").toPandas()  # about fit.docs rows of a few numbers
-    rows = rows.sort_values(["toxic", "n"], kind="stable")
-    y, n = rows["toxic"].to_numpy(float), np.maximum(rows["n"].to_numpy(float), 1)
-    scores = [np.asarray(s, float) for s in rows["scores"]]
-    clean = y == 0
-    # lambda solves sum p(s) exp(lambda s) = 1 over the scores of a token of clean documents
-    values, p = [], []
-    for d, b in found.values():
-        values.append(d)
-        p.append((b + 0.5) / n[clean].sum())
-    p = np.array(p) * min(1, 0.5 / max(sum(p), 1e-12)) if sum(p) > 0.5 else np.array(p)
-    values = np.array([*values, fit.other])
-    p = np.append(p, 1 - p.sum())
-    lo, hi = 1e-3, 20.0
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if (p * np.exp(np.minimum(mid * values, 600))).sum() < 1 else (lo, mid)
-    model.decay = lo
-    best = np.array([s.max() if len(s) else 0.0 for s in scores])
-    model.scale = float(clean.sum() / (n[clean] * np.exp(-model.decay * best[clean])).sum())  # most likely K for the clean ones
-    chance = np.log(np.maximum(model.scale * n, 1e-12))
-    total = np.log1p([np.maximum(model.decay * s - c, 0).sum() for s, c in zip(scores, chance, strict=True)])
-    model.curve = logistic(np.column_stack([np.ones_like(n), model.decay * best - chance, total]), y)
-    return model
+def _cut(scores: np.ndarray, y: np.ndarray, clean: float) -> float:
+    """The score above which most toxic texts less clean ones (as shares) lie, while at most a share `clean` of the clean ones do; the
+    highest of equals, and 1/2 at most. 1/2 where no score keeps to the share."""
+    best = -1.0, 0.5
+    for t in sorted({0.5, *scores[scores < 0.5].tolist()}):
+        caught, lost = (scores[y == 1] > t).mean(), (scores[y == 0] > t).mean()
+        if lost <= clean:
+            best = max(best, (caught - lost, t))
+    return float(best[1])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
@@ -211,7 +318,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     A null or empty text has no segments and the score of none. Texts are whole; a task streams what it reads.
     """
     rows = docs.select(F.struct("*").alias("row"))  # the text goes over once, within its row
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by Fit.tokens
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a lexicon of what fit.docs documents hold
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value

@@ -13,7 +13,7 @@ def test_each_stage_on_odd_rows(spark, documents, nothing, tmp_path):
 
 
 def test_decisions_take_effect(spark):
-    sf = "/root/testdata/sf0.001"
+    sf = "/root/testdata/sf0.01"
     docs, counts = spark.read.parquet(f"{sf}/documents.parquet"), []
     for name, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, sf), name)

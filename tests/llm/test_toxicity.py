@@ -1,7 +1,11 @@
+import math
 import random
+import time
 
 from tessera.llm import toxicity
 
+PLAIN = [a + b + c for a in "bdfglmnprst" for b in "aeiou" for c in ("ka", "lo", "mi", "nu", "pe", "ra", "so", "ti", "vu", "zelig")]
+
 
 def slow_segments(scores):
     """Recursively the leftmost best segment, then the rest on either side: what the linear scan must give."""
@@ -19,22 +23,49 @@ def slow_segments(scores):
 
 def test_maximal_segments():
     rng = random.Random(4)
-    for _ in range(300):
-        n = rng.randint(1, 30)
-        hits = [(i, rng.choice([0.5, 1.25, 3.0, 2.1])) for i in range(n) if rng.random() < 0.4]
-        scores = [dict(hits).get(i, -0.5) for i in range(n)]
-        got = [(round(s, 9), a, b) for s, a, b in toxicity.maximal_segments(hits, -0.5)]
-        assert sum(s for s, _, _ in got) > 0 or not hits
-        assert max((s for s, _, _ in got), default=0) == round(max((s for s, _, _ in slow_segments(scores)), default=0), 9)
-        assert all(abs(sum(scores[a:b]) - s) < 1e-6 for s, a, b in got) and all(x[2] <= y[1] for x, y in zip(got, got[1:], strict=False))
+    for _ in range(400):
+        n = rng.randint(1, 40)
+        hits = [(i, round(rng.uniform(-2, 4), 6) or 1.0) for i in range(n) if rng.random() < 0.5]
+        scores = [dict(hits).get(i, -0.53) for i in range(n)]
+        got = toxicity.maximal_segments(hits, -0.53)
+        assert [(a, b) for _, a, b in got] == [(a, b) for _, a, b in slow_segments(scores)]
+        assert all(abs(sum(scores[a:b]) - s) < 1e-9 for s, a, b in got)
+
+
+def test_the_scan_is_linear():
+    for hits in ([(20 * i, 3.0) for i in range(100_000)], [(i, 1.0 + i % 7 - 3.9 * (i % 2)) for i in range(100_000)], [(2 * i, 100_000.0 - i) for i in range(100_000)]):
+        began = time.time()
+        toxicity.maximal_segments(hits, -0.5)
+        assert time.time() - began < 1
+
+
+def test_tail_is_a_bound(spark):
+    """Never below the exact binomial tail, on either side."""
+    from pyspark.sql import functions as F
+
+    rows = [(a, b) for a in range(12) for b in range(12) if a + b]
+    for r in spark.createDataFrame(rows, "a long, b long").select("a", "b", toxicity._tail(F.col("a"), F.col("b"), F.lit(0.3), F.lit(0.2)).alias("p")).collect():
+        n, side = r.a + r.b, 0.3 if r.a / (r.a + r.b) > 0.3 else 0.2
+        more = range(r.a, n + 1) if side == 0.3 else range(r.a + 1)
+        exact = sum(math.comb(n, k) * side**k * (1 - side) ** (n - k) for k in more)
+        assert r.p is None if 0.2 <= r.a / n <= 0.3 else math.exp(r.p) >= exact - 1e-12
+
+
+def test_copies_teach_once(spark):
+    """Words of one document with many near copies don't become toxic, words that many documents share do."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(PLAIN, k=60) + (["scumbag"] if i % 8 == 0 else [])), int(i % 8 == 0)) for i in range(400)]
+    one = [*rng.choices(PLAIN, k=80), "harmless", "pebble"]
+    rows += [(1000 + i, " ".join([*one[: i % 80], "".join(rng.choices("xyz", k=6)), *one[i % 80 + 1 :]]), 1) for i in range(40)]
+    model = toxicity.train(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows] * 2, "doc_id long, toxic int"))
+    assert model.odds["scumbag"] > 3 and {"harmless", "pebble"}.isdisjoint(model.odds) and model.token_score("baka") == 0
 
 
 def test_learns_and_holds_out(spark):
     rng = random.Random(2)
-    plain = [f"word{i}" for i in range(300)]
     rows = []
     for i in range(900):
-        words = rng.choices(plain, k=rng.randint(20, 120))
+        words = rng.choices(PLAIN, k=rng.randint(20, 120))
         toxic = i % 6 == 0
         for _ in range(rng.randint(2, 6) if toxic else 0):
             words.insert(rng.randrange(len(words)), rng.choice(["idiotic", "moronish", "scumbag", "vileness"]) + rng.choice(["", ",", "."]))
@@ -44,7 +75,7 @@ def test_learns_and_holds_out(spark):
     model = toxicity.train(docs, labels)
     got = {r.doc_id: r for r in toxicity.score(docs, model).select("row.doc_id", "score", "predicted", "passages").collect()}
     held = [(got[i].predicted, y) for i, _, y in rows if i % 5 == 0]
-    assert sum(p == y for p, y in held) >= 0.97 * len(held)
+    assert sum(p == y for p, y in held) >= 0.97 * len(held) and 0 < model.cut <= 0.5
 
 
 def test_odd_rows(spark, documents, nothing):
@@ -55,3 +86,12 @@ def test_odd_rows(spark, documents, nothing):
     none = toxicity.train(documents, labels.limit(0))
     assert {r.predicted for r in toxicity.score(documents, none).collect()} == {0}
     assert toxicity.score(nothing, none).count() == 0
+
+
+def test_cut():
+    import numpy as np
+
+    y = np.array([0] * 200 + [1] * 4)
+    assert toxicity._cut(np.array([0.01] * 200 + [0.9] * 4), y, 0.005) == 0.5
+    assert toxicity._cut(np.array([0.01] * 199 + [0.3] + [0.2, 0.4, 0.6, 0.9]), y, 0.005) == 0.01
+    assert toxicity._cut(np.array([0.01] * 190 + [0.3] * 10 + [0.2, 0.4, 0.6, 0.9]), y, 0.005) == 0.3
