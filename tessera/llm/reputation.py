@@ -55,7 +55,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def reputation(outcomes: DataFrame, prior: Prior | None = None, others: DataFrame | None = None) -> DataFrame:
     """outcomes: host, bad (0 or 1) -> host, bound: the lower posterior bound of its bad rate.
 
-    The registered domain is a host's last two labels and the suffix its last; rows with a null outcome don't count. others: host, of
+    The registered domain is a host's last two labels and the suffix its last (no list of longer suffixes is at hand), and the bound is the
+    normal one of the beta posterior (mean less z deviations). Rows with a null outcome don't count. others: host, of
     those that get a bound too where they have no outcomes, from the nearest level that has; without any outcomes it is null.
     """
     prior = prior or Prior()
@@ -71,7 +72,7 @@ def reputation(outcomes: DataFrame, prior: Prior | None = None, others: DataFram
     def strength(level: DataFrame) -> DataFrame:
         """level: b, n and up (the rate above) -> one row, the weight of the prior."""
         level = level.withColumns({"v": F.col("up") * (1 - F.col("up")), "d": F.col("n") * (F.col("b") / F.col("n") - F.col("up")) ** 2})
-        rho = (F.sum("d") - F.sum("v")) / F.sum(F.col("v") * (F.col("n") - 1))
+        rho = F.try_divide(F.sum("d") - F.sum("v"), F.sum(F.col("v") * (F.col("n") - 1)))  # null: one label each, or all alike
         rho = F.least(F.lit(prior.rho_most), F.greatest(F.lit(prior.rho_least), F.coalesce(rho, F.lit(prior.rho_least))))
         return F.broadcast(level.agg((1 / rho - 1).alias("k")))
 

@@ -15,14 +15,20 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (as in tests) a fresh temporary one, which is then set and goes with the process."""
+    """The folder named by spark.checkpoint.dir. Where that is unset a session on one machine (as in tests) gets a temporary folder that goes
+    with the process; on a cluster, where the executors would not see it, that is an error."""
     there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        made = tempfile.mkdtemp(prefix="shared-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        there = f"file://{made}"
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there.rstrip("/")
+    if there:
+        return there.rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+    if not _made:
+        _made.append(tempfile.mkdtemp(prefix="shared-"))
+        atexit.register(shutil.rmtree, _made[0], ignore_errors=True)
+    return f"file://{_made[0]}"
+
+
+_made: list[str] = []
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -38,3 +38,12 @@ def test_a_host_without_labels_speaks_with_the_level_above(spark):
     all_bad = [(h, 1) for h, _ in urls[:800]] + [("x.fine.org", 0)]
     bound = {r.host: r.bound for r in reputation(spark.createDataFrame(all_bad, "host string, bad int"), Prior(), spark.createDataFrame([("a.else.net",)], "host string")).collect()}
     assert bound["a.else.net"] > 0.5
+
+
+def test_labels_without_spread(spark):
+    """All outcomes alike, one label a host, a page with several labels: defined bounds, no division by zero."""
+    pages = spark.createDataFrame([(i, f"http://h{i // 3}.d.com/x") for i in range(30)], "page_id long, url string")
+    verdicts = lambda rows: {r.verdict for r in judge(pages, spark.createDataFrame(rows, "page_id long, bad int"), []).collect()}
+    assert verdicts([(i, 0) for i in range(30)]) == {"allow"} and verdicts([(i, 1) for i in range(30)]) == {"block"}
+    assert verdicts([(3 * i, i % 2) for i in range(10)]) == {"allow"} and verdicts([(3 * i, 0) for i in range(10)]) == {"allow"}
+    assert verdicts([(0, 1), (0, 1), (0, None), (99, 1)]) == {"block"}
