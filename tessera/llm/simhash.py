@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import small_or_not, stored
+from tessera.llm.shared import BROADCAST_ROWS, small_or_not, stored
 
 RADIUS = 3
 #: Fingerprints of one bucket that a task takes together; a larger bucket is split, each pair of its parts a task's group.
 PART = 4096
+#: Tasks that share the rows of one group where its join shuffles.
+SALTS = 16
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -136,12 +138,24 @@ def _then_none(batches: Iterator) -> Iterator:
     yield None
 
 
+def with_group(rows: DataFrame, groups: DataFrame, key: str, by: tuple[str, ...], limit: int = BROADCAST_ROWS) -> DataFrame:
+    """rows left-joined with groups (stored, a row for each key): as a broadcast where it is counted to be small, else by key and a
+    hash of `by`, so that a key of very many rows is shared by SALTS tasks. groups is copied SALTS times there; it holds only groups of two or more."""
+    if groups.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(groups), key, "left")
+    copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, [key, "salt"], "left").drop("salt")
+
+
 def _grouped(fps: DataFrame, radius: int) -> DataFrame:
     """fps: doc_id, fp, ... (stored) -> fp, root (one fingerprint of the group) and component_id."""
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(near_edges(distinct.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
     named = stored(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
-    return named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    groups = stored(named.groupBy("root").agg(F.min("least").alias("c"), F.count("*").alias("n")).where("n > 1"), "simhash-least")
+    of_group = F.when(F.col("n").isNotNull(), F.col("c")).otherwise(F.col("least"))
+    return with_group(named, groups, "root", ("fp",)).select("fp", "root", of_group.alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -165,8 +179,9 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = 3) -> DataFr
     first = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("id"), F.col("th"))
     roots = stored(_grouped(fps, radius).select("fp", "root"), "simhash-groups")
     rows = stored(fps.join(roots, "fp").groupBy("root", "doc_id", "th").agg(F.count("*").alias("n")), "simhash-rows")
-    best = rows.groupBy("root").agg(F.min(first).alias("best"))
-    judged = stored(rows.join(best, "root").select("doc_id", "th", "n", (first == F.col("best")).alias("stays")), "simhash-judged")
+    best = stored(rows.groupBy("root").agg(F.min(first).alias("best"), F.count("*").alias("rows")).where("rows > 1"), "simhash-best")
+    stays = F.when(F.col("rows").isNotNull(), first.eqNullSafe(F.col("best"))).otherwise(True)
+    judged = stored(with_group(rows, best, "root", ("doc_id", "th")).select("doc_id", "th", "n", stays.alias("stays")), "simhash-judged")
     gone = judged.where("NOT stays OR n > 1").select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), "stays")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"))
     same = F.col("id").eqNullSafe(F.col("g_id")) & (F.col("th") == F.col("g_th"))

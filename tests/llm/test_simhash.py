@@ -88,3 +88,12 @@ def test_components_of_a_long_path(spark):
     got = {r.node: r.root for r in components(edges).collect()}
     assert len(got) == n + 2 and {got[x] for x in range(n)} == {0} and got[1001] == 1000
     assert components(edges.limit(0)).count() == 0
+
+
+def test_groups_meet_rows_by_broadcast_and_by_salted_shuffle(spark):
+    rows = spark.createDataFrame([(i, None if i % 50 == 7 else i % 3 if i < 900 else i, i % 11) for i in range(1000)], "doc_id long, root long, th long")
+    groups = rows.groupBy("root").count().where("count > 1 AND root IS NOT NULL")
+    plain = list(map(tuple, rows.join(groups, "root", "left").select("doc_id", "root", "th", "count").collect()))
+    for limit in (10, 0):
+        got = simhash.with_group(rows, groups, "root", ("doc_id", "th"), limit).select("doc_id", "root", "th", "count").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(plain, key=str)
