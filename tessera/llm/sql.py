@@ -75,6 +75,29 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DI
 FROM v LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) c ON v.rid = c.x JOIN (SELECT x, min(id) AS component_id FROM reach GROUP BY x) m ON v.rid = m.x
 """
 
+#: crc32 of a text's bytes by its table of 256 entries, each made by eight steps from its number.
+OP13 = r"""
+WITH table8 AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS k FROM (SELECT unnest(range(256))::BIGINT AS n)),
+texts AS (SELECT 's' AS side, row_number() OVER () AS rid, doc_id, text FROM documents UNION ALL SELECT 't', row_number() OVER (), NULL, text FROM benchmark),
+w AS (SELECT side, rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+words AS (SELECT side, rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
+features AS (SELECT side, rid, w AS f FROM words UNION ALL
+  SELECT side, rid, f FROM (SELECT side, rid, w || ' ' || lead(w) OVER (PARTITION BY side, rid ORDER BY i) AS f FROM words) WHERE f IS NOT NULL),
+distinct_features AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM features)),
+hashed AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h) + 1, 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+  lambda c, b: xor(c >> 8, k[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM distinct_features, table8),
+per_text AS (SELECT side, rid, bucket, count(*) AS n FROM features JOIN hashed USING (f) GROUP BY side, rid, bucket),
+totals AS (SELECT bucket, coalesce(sum(n) FILTER (side = 's'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 't'), 0)::DOUBLE AS t FROM per_text GROUP BY bucket),
+whole AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s_all, coalesce(sum(t), 0)::DOUBLE AS t_all FROM totals),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) AS g FROM totals, whole),
+means AS (SELECT rid, sum(n)::BIGINT AS n_features, floor(sum(n * g) / sum(n))::BIGINT AS weight FROM per_text JOIN gain USING (bucket) WHERE side = 's' GROUP BY rid),
+scored AS (SELECT rid, doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM w LEFT JOIN means USING (rid) WHERE side = 's'),
+ranked AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, weight DESC, n_features DESC) AS place FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN place <= (SELECT 25 * count(*) // 100 FROM ranked) THEN place END AS rank FROM scored LEFT JOIN ranked USING (rid)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_frequency": OP2, "op6_host_reputation": OP6, "op9_mixing": OP9, "op10_epsilon_grid_join": OP10}
+    return {"op2_line_frequency": OP2, "op6_host_reputation": OP6, "op9_mixing": OP9, "op10_epsilon_grid_join": OP10, "op13_importance_resampling": OP13}
