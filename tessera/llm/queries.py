@@ -95,6 +95,23 @@ def op10_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, a tenth of which is made periodic by rule, with their runs: number, the one of most periods, and digests."""
+    from tessera.llm.periodic import periodic_runs
+
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", words.alias("words"), F.expr("CAST(floor(crc32(CAST(coalesce(CAST(doc_id AS STRING), '') AS BINARY)) / 10) AS BIGINT)").alias("g"))
+    docs = docs.withColumns({"n": F.size("words"), "a": F.col("g") % F.greatest(F.size("words"), F.lit(1))})
+    docs = docs.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    periodic = F.expr("array_join(transform(sequence(0, n - 1), i -> words[CAST(IF(i < a, i, a + (i - a) % p) AS INT)]), ' ')")
+    found = periodic_runs(docs.select("doc_id", F.when(F.col("n") > 0, periodic).otherwise(F.col("text")).alias("text")))
+    best = F.expr("reduce(runs, CAST(NULL AS STRUCT<start: BIGINT, length: BIGINT, period: BIGINT>), (b, r) -> IF(b IS NULL OR r.length * b.period > b.length * r.period, r, b))")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, chr(10))), '')")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their weight towards the benchmark's features, and the quarter drawn by it."""
     from tessera.llm.importance import resample
