@@ -112,6 +112,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op12_onebit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all embeddings for each one whose id is divisible by 20."""
+    from tessera.llm.onebit import nearest_vectors
+
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their weight towards the benchmark's features, and the quarter drawn by it."""
     from tessera.llm.importance import resample

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A broadcast of the operators holds at most so many rows (of a few numbers each); beyond it they join by shuffle.
 BROADCAST_ROWS = 200_000
+#: Tasks that share the rows of one group where its join shuffles.
+SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,3 +59,13 @@ def about(df: DataFrame, rows: int, key: Column) -> DataFrame:
     the same each time. df's rows are counted first, which for a table of files reads no column."""
     n = df.count()
     return df if n <= rows else df.where(F.shiftright(F.xxhash64(key), 1) < int((rows / n * 2 - 1) * (1 << 62)))
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str, by: tuple[str, ...], limit: int = BROADCAST_ROWS) -> DataFrame:
+    """rows left-joined with groups (stored, a row for each key): as a broadcast where it is counted to be small, else by key and a
+    hash of `by`, so that a key of very many rows is shared by SALTS tasks. groups is copied SALTS times there; it should hold only groups of two or more."""
+    if groups.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(groups), key, "left")
+    copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, [key, "salt"], "left").drop("salt")

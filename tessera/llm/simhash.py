@@ -15,13 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import BROADCAST_ROWS, small_or_not, stored
+from tessera.llm.shared import small_or_not, stored, with_group
 
 RADIUS = 3
 #: Fingerprints of one bucket that a task takes together; a larger bucket is split, each pair of its parts a task's group.
 PART = 4096
-#: Tasks that share the rows of one group where its join shuffles.
-SALTS = 16
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -138,16 +136,6 @@ def _then_none(batches: Iterator) -> Iterator:
     yield None
 
 
-def with_group(rows: DataFrame, groups: DataFrame, key: str, by: tuple[str, ...], limit: int = BROADCAST_ROWS) -> DataFrame:
-    """rows left-joined with groups (stored, a row for each key): as a broadcast where it is counted to be small, else by key and a
-    hash of `by`, so that a key of very many rows is shared by SALTS tasks. groups is copied SALTS times there; it holds only groups of two or more."""
-    if groups.limit(limit + 1).count() <= limit:
-        return rows.join(F.broadcast(groups), key, "left")
-    copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
-    return salted.join(copies, [key, "salt"], "left").drop("salt")
-
-
 def _grouped(fps: DataFrame, radius: int) -> DataFrame:
     """fps: doc_id, fp, ... (stored) -> fp, root (one fingerprint of the group) and component_id."""
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")

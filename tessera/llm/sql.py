@@ -75,6 +75,15 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DI
 FROM v LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) c ON v.rid = c.x JOIN (SELECT x, min(id) AS component_id FROM reach GROUP BY x) m ON v.rid = m.x
 """
 
+OP12 = """
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.rid AS q, b.rid AS r, a.vec_id AS query_id, b.vec_id, list_reduce(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2]), lambda x, y: x + y) AS score
+  FROM good a JOIN good b ON a.rid <> b.rid AND len(a.e) = len(b.e) WHERE a.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN isnan(score) THEN '-infinity'::DOUBLE ELSE score END DESC, vec_id NULLS LAST, r) AS rank FROM pairs)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 #: crc32 of a text's bytes by its table of 256 entries, each made by eight steps from its number.
 OP13 = r"""
 WITH table8 AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS k FROM (SELECT unnest(range(256))::BIGINT AS n)),
@@ -100,4 +109,4 @@ SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN place
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_frequency": OP2, "op6_host_reputation": OP6, "op9_mixing": OP9, "op10_epsilon_grid_join": OP10, "op13_importance_resampling": OP13}
+    return {"op2_line_frequency": OP2, "op6_host_reputation": OP6, "op9_mixing": OP9, "op10_epsilon_grid_join": OP10, "op12_onebit_codes": OP12, "op13_importance_resampling": OP13}
