@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +24,11 @@ from tessera.llm.shared import about, stored, with_group
 
 #: Bits of a code at least (more if the vectors have more dimensions), errors added to an estimate, seed of the frame.
 BITS, SPREAD, SEED = 256, 4.0, 12
-#: The centre is the mean of about so many vectors; it sharpens estimates, not results.
-FIT_ROWS = 20_000
-#: Bytes of the queries that a task holds; vectors and queries estimated at a time; best estimates that are reranked first; pairs reranked at a time.
-QUERY_BYTES, TILE, FIRST, PAIRS = 32 << 20, 1024, 32, 1 << 15
+#: About so many vectors, of so many bytes at most, are a sample: its mean is the centre, and a query's k-th best in it is where its
+#: search starts from. Both save work and change no result.
+FIT_ROWS, FIT_BYTES = 20_000, 16 << 20
+#: Bytes of the queries that a task holds; vectors and queries estimated at a time; pairs reranked at a time.
+QUERY_BYTES, TILE, PAIRS = 32 << 20, 1024, 1 << 15
 _NO_ID = (1 << 63) - 1
 
 
@@ -48,27 +50,27 @@ def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[n
     return np.packbits(turned > 0, axis=1), most * norm, np.where(norm > 0, along, 1)
 
 
-def estimates(queries: np.ndarray, turned: np.ndarray, bits: np.ndarray, length: np.ndarray, along: np.ndarray, centre: np.ndarray, spread: float) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products (a row a query) and what they may fall short by. turned: unit queries in the frame, single precision."""
+def estimates(turned: np.ndarray, bits: np.ndarray, length: np.ndarray, along: np.ndarray, spread: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated inner products of unit queries (turned into the frame, single precision; a row a query) with the vectors less the
+    centre, and what each vector's may fall short by."""
     n_bits = turned.shape[1]
     signs = np.unpackbits(bits, axis=1, count=n_bits).astype(np.float32) * 2 - 1
-    size = np.linalg.norm(queries, axis=1)[:, None]
-    about = (turned @ signs.T) * (length / along / np.sqrt(n_bits))
+    signs *= (length / along / np.sqrt(n_bits)).astype(np.float32)[:, None]
     error = length * (spread * np.sqrt(np.maximum(0, 1 - along**2) / (n_bits - 1)) / along + 1e-5)
-    return size * about + (queries @ centre)[:, None], size * error
+    return turned @ signs.T, error.astype(np.float32)
 
 
 def exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Inner products of rows, summed from first to last in double precision; what is no number counts as lowest."""
-    out = np.cumsum(queries.astype(float) * vectors, axis=1)[:, -1]
+    out = np.cumsum(queries * vectors, axis=1)[:, -1]
     return np.where(np.isnan(out), -np.inf, out)
 
 
 class _Best:
-    """The k best rows of each query so far, by score, then id and row."""
+    """The k best rows of each query so far, by score, then id and row; none below the query's floor."""
 
-    def __init__(self, n: int, k: int):
-        self.k, self.least = k, np.full(n, -np.inf)
+    def __init__(self, floor: np.ndarray, k: int):
+        self.k, self.least = k, floor.copy()
         self.q, self.score, self.id, self.row = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def add(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
@@ -77,48 +79,55 @@ class _Best:
         q = q[by]
         first = np.flatnonzero(np.diff(q, prepend=-1))
         nth = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q)))
-        by = by[nth < self.k]
-        self.q, self.score, self.id, self.row = q[nth < self.k], score[by], ids[by], rows[by]
-        self.least[self.q[nth[nth < self.k] == self.k - 1]] = self.score[nth[nth < self.k] == self.k - 1]
-
-
-def scan(queries: np.ndarray, blocks: Iterator[tuple], centre: np.ndarray, turn: np.ndarray, k: int, spread: float = SPREAD) -> _Best:
-    """blocks: (vectors, packed bits, length, along, list ends, ids, rows): the ids of vector v end at ends[v]."""
-    best, size = _Best(len(queries), k), np.linalg.norm(queries, axis=1)
-    turned = (queries / np.where((size > 0) & np.isfinite(size), size, 1)[:, None] @ turn.T).astype(np.float32)
-    for vectors, bits, length, along, ends, ids, rows in blocks:
-        n = np.diff(ends, prepend=0)
-        for a in range(0, len(vectors), TILE):
-            part = slice(a, min(a + TILE, len(vectors)))
-            for b in range(0, len(queries), TILE):
-                some = slice(b, min(b + TILE, len(queries)))
-                with np.errstate(all="ignore"):
-                    guess, error = estimates(queries[some], turned[some], bits[part], length[part], along[part], centre, spread)
-                    _rerank(best, queries, vectors, guess, error, a, b, n, ends, ids, rows)
-    return best
-
-
-def _rerank(best: _Best, queries, vectors, guess, error, a, b, n, ends, ids, rows) -> None:
-    done = np.zeros(guess.shape, bool)
-
-    def rerank(q: np.ndarray, v: np.ndarray) -> None:
-        done[q, v] = True
-        q, v = q + b, v + a
+        stay, last = nth < self.k, nth[nth < self.k] == self.k - 1
+        by = by[stay]
+        self.q, self.score, self.id, self.row = q[stay], score[by], ids[by], rows[by]
+        self.least[self.q[last]] = np.maximum(self.least[self.q[last]], self.score[last])
+
+
+class _Tile:
+    """Some queries and what they have found."""
+
+    def __init__(self, queries: np.ndarray, floor: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int):
+        size = np.linalg.norm(queries, axis=1)
+        self.size = np.where((size > 0) & np.isfinite(size), size, 1)
+        self.queries, self.single, self.best = queries, queries.astype(np.float32), _Best(floor, k)
+        self.turned, self.centred = (queries / self.size[:, None] @ turn.T).astype(np.float32), queries @ centre
+
+    def bar(self) -> np.ndarray:
+        """What a unit query's product with a residual must reach; a little less, for rounding."""
+        least = self.best.least
+        return ((least - self.centred - 1e-6 * (np.abs(least) + np.abs(self.centred))) / self.size).astype(np.float32)
+
+    def scan(self, vectors, bits, length, along, begins, n, ids, rows, spread: float) -> None:
+        guess, error = estimates(self.turned, bits, length, along, spread)
+        guess += error
+        q, v = np.nonzero(~(guess < self.bar()[:, None]))  # what is no number is reranked
+        single = vectors.astype(np.float32)
+        norm = np.abs(single).max(axis=1, initial=0) * vectors.shape[1]
         for s in range(0, len(q), PAIRS):
             x, y = q[s : s + PAIRS], v[s : s + PAIRS]
-            score = exact(queries[x], vectors[y])
-            some = score >= best.least[x]
+            near = np.einsum("ij,ij->i", self.single[x], single[y])
+            some = ~(near < self.best.least[x] - 1e-5 * self.size[x] * norm[y])  # single precision first
+            x, y = x[some], y[some]
+            score = exact(self.queries[x], vectors[y])
+            some = score >= self.best.least[x]
             x, y, score = x[some], y[some], score[some]
-            at = np.repeat(ends[y] - n[y], n[y]) + np.arange(n[y].sum()) - np.repeat(np.cumsum(n[y]) - n[y], n[y])
-            best.add(np.repeat(x, n[y]), np.repeat(score, n[y]), ids[at], rows[at])
+            m = n[y]
+            at = np.repeat(begins[y] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            self.best.add(np.repeat(x, m), np.repeat(score, m), ids[at], rows[at])
+
 
-    near = ~(guess + error < best.least[b : b + len(guess), None])  # a guess that is no number is reranked
-    if near.shape[1] > FIRST:
-        top = np.zeros_like(near)
-        np.put_along_axis(top, np.argpartition(-guess, FIRST, axis=1)[:, :FIRST], True, axis=1)
-        rerank(*np.nonzero(near & top))
-        near &= ~(guess + error < best.least[b : b + len(guess), None]) & ~done
-    rerank(*np.nonzero(near))
+def scan(queries: np.ndarray, floor: np.ndarray, blocks: Iterator[tuple], centre: np.ndarray, turn: np.ndarray, k: int, spread: float = SPREAD) -> Iterator[tuple]:
+    """blocks: (vectors, packed bits, length, along, first of its ids, number of ids, ids, rows). floor: a score that each query's
+    k-th best reaches. Yields (first query, best) for each tile of queries."""
+    with np.errstate(all="ignore"):
+        tiles = [_Tile(queries[a : a + TILE], floor[a : a + TILE], centre, turn, k) for a in range(0, len(queries), TILE)]
+        for *each, ids, rows in blocks:
+            for a in range(0, len(each[0]), TILE):
+                for tile in tiles:
+                    tile.scan(*(x[a : a + TILE] for x in each), ids, rows, spread)
+    return ((i * TILE, tile.best) for i, tile in enumerate(tiles))
 
 
 def _classes(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
@@ -134,34 +143,56 @@ def _classes(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
     return stored(found.withColumn("cid", F.monotonically_increasing_id()), "onebit-classes")
 
 
-def _centre(classes: DataFrame, rows: int) -> dict[int, np.ndarray]:
-    """The mean of the commonest length among a bounded sample."""
-    sample = [tuple(r[0]) for r in about(classes, rows, F.col("v")).select("v").collect()]
-    lengths = [len(v) for v in sample]
-    d = max(sorted(set(lengths)), key=lengths.count, default=0)
+def _sample(classes: DataFrame) -> dict[int, np.ndarray]:
+    """By length, the vectors of a bounded sample."""
+    d = classes.agg(F.max(F.size("v"))).first()[0]
+    if not d:
+        return {}
+    lists = about(classes, max(1, min(FIT_ROWS, FIT_BYTES // (8 * d))), F.col("v")).select("v").toArrow()["v"].combine_chunks()
+    sizes = lists.value_lengths().to_numpy()
+    flat, ends = lists.flatten().to_numpy().astype(float), np.cumsum(sizes)
+    return {int(d): flat[(ends - sizes)[sizes == d][:, None] + np.arange(d)] for d in np.unique(sizes)}
+
+
+def _centres(sample: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
     with np.errstate(all="ignore"):
-        mean = np.mean(sorted(v for v in sample if len(v) == d), axis=0) if d else np.empty(0)
-    return {d: mean} if d and np.isfinite(mean).all() else {}
+        means = {d: x[np.lexsort(x.T)].mean(axis=0) for d, x in sample.items()}
+    return {d: c if np.isfinite(c).all() else np.zeros(d) for d, c in means.items()}
+
+
+def _floors(queries: np.ndarray, sample: np.ndarray | None, k: int) -> np.ndarray:
+    """A little less than each query's k-th best product in the sample."""
+    if sample is None or len(sample) < k:
+        return np.full(len(queries), -np.inf)
+    out = []
+    for a in range(0, len(queries), 256):
+        x = queries[a : a + 256]
+        best = np.partition(x @ sample.T, len(sample) - k, axis=1)[:, len(sample) - k]
+        out.append(best - 1e-9 * np.linalg.norm(x, axis=1) * np.abs(sample).max() * sample.shape[1])
+    floor = np.concatenate(out) if out else np.empty(0)
+    return np.where(np.isfinite(floor), floor, -np.inf)
 
 
-def _index(classes: DataFrame, centres: dict[int, np.ndarray], bits: int) -> DataFrame:
-    """classes with bits (packed), length and along: every vector's code, stored."""
+def _index(classes: DataFrame, sample: dict[int, np.ndarray], centres: dict[int, np.ndarray], bits: int, k: int) -> DataFrame:
+    """classes with bits (packed), length and along, every vector's code, and floor, where a query's search starts from; stored."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch["v"].to_pylist()
-            kinds = np.array([len(v) for v in lists])
-            packed, length, along = [b""] * len(lists), np.zeros(len(lists)), np.ones(len(lists))
-            for d in np.unique(kinds):
+            kinds = pc.list_value_length(batch["v"]).to_numpy()
+            asks = batch["asks"].to_numpy(zero_copy_only=False)
+            packed, length, along, floor = [b""] * len(kinds), np.zeros(len(kinds)), np.ones(len(kinds)), np.full(len(kinds), -np.inf)
+            for d in np.unique(kinds).tolist():
                 at = np.flatnonzero(kinds == d)
+                x, asked = _matrix(batch["v"].take(pa.array(at)), d), asks[at]
                 with np.errstate(all="ignore"):
-                    signs, length[at], along[at] = encode(np.array([lists[i] for i in at], float), centres.get(int(d), np.zeros(d)), frame(int(d), bits))
-                for i, x in zip(at, signs, strict=True):
-                    packed[i] = x.tobytes()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary()), pa.array(length), pa.array(along)], names=[*batch.schema.names, "bits", "length", "along"])
+                    signs, length[at], along[at] = encode(x, centres.get(d, np.zeros(d)), frame(d, bits))
+                    floor[at[asked]] = _floors(x[asked], sample.get(d), k)
+                for i, code in zip(at, signs, strict=True):
+                    packed[i] = code.tobytes()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary()), pa.array(length), pa.array(along), pa.array(floor)], names=[*batch.schema.names, "bits", "length", "along", "floor"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
-    return stored(classes.mapInArrow(code, f"{fields}, bits binary, length double, along double"), "onebit-index")
+    return stored(classes.mapInArrow(code, f"{fields}, bits binary, length double, along double, floor double"), "onebit-index")
 
 
 def _searched(index: DataFrame, centres: dict[int, np.ndarray], bits: int, k: int, spread: float) -> DataFrame:
@@ -173,7 +204,7 @@ def _searched(index: DataFrame, centres: dict[int, np.ndarray], bits: int, k: in
     columns = max(1, -(-2 * spark.sparkContext.defaultParallelism // max([1, sum(groups.values())])))
     number = F.coalesce(*(F.when(dims == d, F.lit(n)) for d, n in groups.items()), F.lit(0)) if groups else F.lit(0)
     place = F.xxhash64("v")
-    told = ["d", "g", "c", "kind", "cid", "v", "bits", "length", "along", "ids"]
+    told = ["d", "g", "c", "kind", "cid", "v", "bits", "length", "along", "floor", "ids"]
     base = index.withColumn("d", dims).withColumn("n", number)
     nothing = {"bits": F.lit(None).cast("binary"), "length": F.lit(0.0), "along": F.lit(1.0), "ids": F.lit(None).cast(index.schema["ids"].dataType)}
     asks = base.where("asks").withColumns({"kind": F.lit(0), "g": F.pmod(place, F.col("n")).cast("int"), "c": F.explode(F.sequence(F.lit(0), F.lit(columns - 1))), **nothing})
@@ -183,21 +214,19 @@ def _searched(index: DataFrame, centres: dict[int, np.ndarray], bits: int, k: in
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (d, _, _), parts in _grouped(batches, key):
-            queries, cids, ahead = [], [], None
+            asked, ahead = [], None
             for part in parts:  # queries come first
-                asked = part["kind"].to_numpy() == 0
-                cut = int(asked.sum())
-                if cut:
-                    queries.append(_matrix(part["v"].slice(0, cut), d))
-                    cids.append(part["cid"].to_numpy()[:cut])
+                cut = int((part["kind"].to_numpy() == 0).sum())
+                asked.append((_matrix(part["v"].slice(0, cut), d), part["floor"].to_numpy()[:cut], part["cid"].to_numpy()[:cut]))
                 if cut < len(part):
                     ahead = part.slice(cut)
                     break
-            if not cids or ahead is None:
+            queries, floor, cids = map(np.concatenate, zip(*asked, strict=True))
+            if not len(cids) or ahead is None:
                 continue
-            centre, cids = centres.get(d, np.zeros(d)), np.concatenate(cids)
-            best = scan(np.concatenate(queries), map(lambda p: _block(p, d), _from(ahead, parts)), centre, frame(d, bits), k, spread)
-            yield pa.RecordBatch.from_arrays([pa.array(cids[best.q]), pa.array(best.score), pa.array(best.id), pa.array(best.row)], names=["cid", "score", "id", "row"])
+            blocks = (_block(p, d) for p in _from(ahead, parts))
+            for a, best in scan(queries, floor, blocks, centres.get(d, np.zeros(d)), frame(d, bits), k, spread):
+                yield pa.RecordBatch.from_arrays([pa.array(cids[a + best.q]), pa.array(best.score), pa.array(best.id), pa.array(best.row)], names=["cid", "score", "id", "row"])
 
     return rows.mapInArrow(search, "cid long, score double, id long, row long")
 
@@ -208,15 +237,14 @@ def _from(first, rest) -> Iterator:
 
 
 def _matrix(lists: pa.Array, d: int) -> np.ndarray:
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+    return lists.flatten().to_numpy().astype(float).reshape(-1, d)
 
 
 def _block(part: pa.RecordBatch, d: int) -> tuple:
     bits = np.array([np.frombuffer(b, np.uint8) for b in part["bits"].to_pylist()])
-    ids = part["ids"]
-    ends = np.cumsum([len(x) for x in ids])
+    ids, n = part["ids"], pc.list_value_length(part["ids"]).to_numpy().astype(np.int64)
     flat = ids.flatten()
-    return _matrix(part["v"], d), bits, part["length"].to_numpy(), part["along"].to_numpy(), ends, flat.field("id").to_numpy(zero_copy_only=False), flat.field("row").to_numpy(zero_copy_only=False)
+    return _matrix(part["v"], d), bits, part["length"].to_numpy(), part["along"].to_numpy(), np.cumsum(n) - n, n, flat.field("id").to_numpy(), flat.field("row").to_numpy()
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple]:
@@ -266,8 +294,9 @@ def nearest_vectors(vectors: DataFrame, is_query: Column, k: int = 20, bits: int
     rows = rows.select(F.coalesce("vec_id", F.lit(_NO_ID)).alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "onebit-rows")
     classes = _classes(rows, F.col("asks"), k)
-    centres = _centre(classes, FIT_ROWS)
-    index = _index(classes, centres, bits)
+    sample = _sample(classes)
+    centres = _centres(sample)
+    index = _index(classes, sample, centres, bits, k + 1)
     found = _searched(index, centres, bits, k + 1, spread)
     nth = F.row_number().over(Window.partitionBy("cid").orderBy(F.col("score").desc(), "id", "row"))
     best = found.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("nth", "id", "row", "score"))).alias("best"))

@@ -41,9 +41,9 @@ def found(spark, rows, kind="float", **options):
     return sorted(map(tuple, onebit.nearest_vectors(df, F.col("vec_id") % 20 == 0, **options).collect()), key=str)
 
 
-@pytest.mark.parametrize(("tile", "first", "query_bytes"), [(1024, 32, 32 << 20), (64, 4, 24 * 8 * 20)])
-def test_against_brute_force(spark, monkeypatch, tile, first, query_bytes):
-    for name, value in (("TILE", tile), ("FIRST", first), ("QUERY_BYTES", query_bytes)):
+@pytest.mark.parametrize(("tile", "fit_rows", "query_bytes"), [(1024, 20_000, 32 << 20), (64, 300, 24 * 8 * 20), (64, 10, 24 * 8 * 20)])
+def test_against_brute_force(spark, monkeypatch, tile, fit_rows, query_bytes):
+    for name, value in (("TILE", tile), ("FIT_ROWS", fit_rows), ("QUERY_BYTES", query_bytes)):
         monkeypatch.setattr(onebit, name, value)
     rows = data()
     assert found(spark, rows, k=20) == brute(rows, 20)
@@ -67,9 +67,9 @@ def test_errors_of_estimates(d):
     x, q, centre, turn = rng.normal(size=(3000, d)), rng.normal(size=(50, d)), rng.normal(size=d) * 0.1, onebit.frame(d)
     bits, length, along = onebit.encode(x, centre, turn)
     assert bits.shape[1] * 8 == max(256, -(-d // 64) * 64)
-    turned = (q / np.linalg.norm(q, axis=1)[:, None] @ turn.T).astype(np.float32)
-    guess, error = onebit.estimates(q, turned, bits, length, along, centre, 1.0)
-    off = (guess - q @ x.T) / error
+    size = np.linalg.norm(q, axis=1)[:, None]
+    guess, error = onebit.estimates((q / size @ turn.T).astype(np.float32), bits, length, along, 1.0)
+    off = (guess - q / size @ (x - centre).T) / error
     assert np.abs(off).max() < 4.8 and 0.3 < off.std() < 1.1
 
 
@@ -78,15 +78,12 @@ def test_few_are_reranked():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(20_000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    turn, centre, pairs = onebit.frame(64), np.zeros(64), []
+    turn, centre = onebit.frame(64), np.zeros(64)
     bits, length, along = onebit.encode(x, centre, turn)
     n = np.arange(len(x))
-    plain = onebit.exact
-    onebit.exact = lambda q, v: pairs.append(len(q)) or plain(q, v)
-    try:
-        best = onebit.scan(x[:100], iter([(x, bits, length, along, n + 1, n, n)]), centre, turn, 21)
-    finally:
-        onebit.exact = plain
-    assert sum(pairs) < 0.2 * 100 * len(x)
+    floor = onebit._floors(x[:100], x[:5000], 21)
+    guess, error = onebit.estimates((x[:100] @ turn.T).astype(np.float32), bits, length, along, onebit.SPREAD)
+    assert (guess + error >= floor[:, None]).mean() < 0.15
+    [(_, best)] = onebit.scan(x[:100], floor, iter([(x, bits, length, along, n, n * 0 + 1, n, n)]), centre, turn, 21)
     want = [set(np.argsort(-(x[q] @ x.T))[:21].tolist()) for q in range(100)]
     assert np.mean([len(set(best.row[best.q == q].tolist()) & want[q]) / 21 for q in range(100)]) > 0.999
