@@ -55,8 +55,20 @@ def _pool_match_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _match_table(spark, sf_dir, POOL)
 
 
+def _gate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.plans.validation import gate_pool
+
+    return gate_pool(spark.table(kept(spark, sf_dir, "word_table")))
+
+
+def _gate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.plans.validation import gates_sql
+
+    return run_sql(spark, sf_dir, gates_sql(SPARK))
+
+
 #: Tables that many queries start from; they grow with the vocabulary, not the corpus.
-KEPT = {"word_table": _word_table, "segmented_table": _segmented_table, "context_table": _context_table, "match_table": _match_table, "pool_match_table": _pool_match_table}
+KEPT = {"word_table": _word_table, "segmented_table": _segmented_table, "context_table": _context_table, "match_table": _match_table, "pool_match_table": _pool_match_table, "gate_pool": _gate_pool, "gate_table": _gate_table}
 
 
 def kept(spark: SparkSession, sf_dir: str, table: str) -> str:
@@ -105,7 +117,7 @@ def plan(oracle: Callable | None = None) -> Callable:
 
 
 def _load() -> None:
-    from tessera.plans import corpus, evidence, grammar, learning, morphology, phonology, resampling, vocabulary  # noqa: F401
+    from tessera.plans import corpus, evidence, grammar, learning, morphology, phonology, resampling, validation, vocabulary  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
