@@ -78,14 +78,14 @@ SELECT o AS orderkey, CAST(p AS BIGINT) AS line, role FROM ro"""
 
 
 def _formula(d) -> str:
-    """CTE fe: words of the documents in French, by the share of documents they stand in."""
-    return d.word_occ() + f""", fd AS (SELECT * FROM w WHERE lang = 'fr'), nd AS (SELECT CAST(count(DISTINCT doc_id) AS DOUBLE) AS n FROM fd), dc AS (SELECT word, count(DISTINCT doc_id) AS docs FROM fd GROUP BY word),
-fe AS (SELECT dc.word, dc.docs, dc.docs / nd.n AS rate, CASE WHEN dc.docs / nd.n >= 0.2 THEN 'fixed' WHEN dc.docs / nd.n < 0.05 THEN 'variable' ELSE 'semi_fixed' END AS kind FROM dc CROSS JOIN nd)"""
+    """CTE fe: words by the share of their language's documents that they stand in."""
+    return d.word_occ() + f""", nd AS (SELECT lang, CAST(count(DISTINCT doc_id) AS DOUBLE) AS n FROM w GROUP BY lang),
+fe AS (SELECT wt.lang, wt.word, wt.docs, wt.docs / nd.n AS rate, CASE WHEN wt.docs / nd.n >= 0.2 THEN 'fixed' WHEN wt.docs / nd.n < 0.05 THEN 'variable' ELSE 'semi_fixed' END AS kind FROM wt JOIN nd ON nd.lang = wt.lang)"""
 
 
 @relational
 def p4_formula_elements(d) -> str:
-    return f"WITH {_formula(d)} SELECT word, docs, {d.r6('rate')} AS rate, kind FROM fe"
+    return f"WITH {_formula(d)} SELECT lang, word, docs, {d.r6('rate')} AS rate, kind FROM fe"
 
 
 _TERCILE = "CASE WHEN nw <= 1 THEN 'early' WHEN 3 * wpos < nw - 1 THEN 'early' WHEN 3 * wpos < 2 * (nw - 1) THEN 'middle' ELSE 'late' END"
@@ -94,15 +94,15 @@ _TERCILE = "CASE WHEN nw <= 1 THEN 'early' WHEN 3 * wpos < nw - 1 THEN 'early' W
 @relational
 def p4_formula_positions(d) -> str:
     """The third of a document in which a fixed or semi-fixed element mostly stands (ties: the earlier in the alphabet)."""
-    return f"""WITH {_formula(d)}, ps AS (SELECT fd.word, {_TERCILE} AS third, count(*) AS k FROM fd JOIN fe ON fe.word = fd.word WHERE fe.kind <> 'variable' GROUP BY fd.word, {_TERCILE}),
-rk AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY k DESC, third) AS rk, sum(k) OVER (PARTITION BY word) AS t FROM ps) SELECT word, third, k, {d.r6('CAST(k AS DOUBLE) / t')} AS share FROM rk WHERE rk = 1"""
+    return f"""WITH {_formula(d)}, ps AS (SELECT w.lang, w.word, {_TERCILE} AS third, count(*) AS k FROM w JOIN fe ON fe.lang = w.lang AND fe.word = w.word WHERE fe.kind <> 'variable' GROUP BY w.lang, w.word, {_TERCILE}),
+rk AS (SELECT *, row_number() OVER (PARTITION BY lang, word ORDER BY k DESC, third) AS rk, sum(k) OVER (PARTITION BY lang, word) AS t FROM ps) SELECT lang, word, third, k, {d.r6('CAST(k AS DOUBLE) / t')} AS share FROM rk WHERE rk = 1"""
 
 
 @relational
 def p4_template_coverage(d) -> str:
-    """Share of the fixed elements that a document has."""
-    return f"""WITH {_formula(d)}, nf AS (SELECT count(*) AS n FROM fe WHERE kind = 'fixed'), hv AS (SELECT DISTINCT fd.doc_id, fd.word FROM fd JOIN fe ON fe.word = fd.word WHERE fe.kind = 'fixed')
-SELECT hv.doc_id, count(*) AS present, {d.r6('CAST(count(*) AS DOUBLE) / max(nf.n)')} AS coverage FROM hv CROSS JOIN nf GROUP BY hv.doc_id"""
+    """Share of its language's fixed elements that a document has."""
+    return f"""WITH {_formula(d)}, nf AS (SELECT lang, count(*) AS n FROM fe WHERE kind = 'fixed' GROUP BY lang), hv AS (SELECT DISTINCT w.doc_id, w.lang, w.word FROM w JOIN fe ON fe.lang = w.lang AND fe.word = w.word WHERE fe.kind = 'fixed')
+SELECT hv.doc_id, hv.lang, count(*) AS present, {d.r6('CAST(count(*) AS DOUBLE) / max(nf.n)')} AS coverage FROM hv JOIN nf ON nf.lang = hv.lang GROUP BY hv.doc_id, hv.lang"""
 
 
 #: Sign patterns that are searched, with the sources they are expected in.
@@ -112,12 +112,13 @@ _PLACES = (("PHA", "tion", "src1"), ("TYL", "schaft", "src2"), ("KNO", "ment", "
 def _places(d) -> str:
     rows = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _PLACES)
     return d.word_occ() + f""", pl AS (SELECT * FROM (VALUES {rows}) v(place, pattern, site)), ds AS (SELECT w.lang, w.source, w.word, w.n, count(*) AS k FROM w GROUP BY w.lang, w.source, w.word, w.n),
-hi AS (SELECT ds.lang, ds.source, ds.word, ds.k, pl.place, pl.site, s.p FROM ds JOIN pl ON ds.n >= length(pl.pattern) CROSS JOIN {d.series('1', '40', 'p')} s WHERE s.p <= ds.n - length(pl.pattern) + 1 AND substr(ds.word, CAST(s.p AS INT), length(pl.pattern)) = pl.pattern)"""
+hp AS (SELECT ds.lang, ds.source, ds.word, ds.k, pl.place, pl.site, pl.pattern, ds.n - length(pl.pattern) + 1 AS most FROM ds CROSS JOIN pl WHERE ds.n >= length(pl.pattern)),
+hi AS (SELECT lang, source, word, k, place, site, p FROM hp {d.each_of('1', 'most', 'p')} WHERE substr(word, CAST(p AS INT), length(pattern)) = pattern)"""
 
 
 @relational
 def p4_pattern_search(d) -> str:
-    """All places of a run of signs within words (the first forty), and how often the source is the expected one."""
+    """All places of a run of signs within words, and how often the source is the expected one."""
     return f"WITH {_places(d)} SELECT place, lang, CAST(p - 1 AS BIGINT) AS start, count(DISTINCT word) AS words, CAST(sum(k) AS BIGINT) AS occurrences, CAST(sum(CASE WHEN source = site THEN k ELSE 0 END) AS BIGINT) AS at_site FROM hi GROUP BY place, lang, p"
 
 
