@@ -196,3 +196,46 @@ def pack_rows(order: list, column: dict, weight: dict, least: float = 1.0) -> di
             out[x] = len(rows)
             rows.append([x])
     return out
+
+
+def anti_correlation(right: np.ndarray, left: np.ndarray, weight: float = 0.15) -> np.ndarray:
+    """Affinity of signs that share a vowel: alike in what follows, less so in what precedes; put between 0 and 1, diagonal 0."""
+    signed = right - weight * left
+    spread = signed.max() - signed.min() if len(signed) else 0
+    out = (signed - signed.min()) / spread if spread > 0 else np.ones_like(signed)
+    np.fill_diagonal(out, 0)
+    return out
+
+
+def anchored_columns(rows: np.ndarray, affinity: np.ndarray, anchors: dict[int, int], columns: int, isolated: np.ndarray | None = None, frequency: np.ndarray | None = None) -> np.ndarray:
+    """The column (vowel) of each sign, -1 for isolated ones and those without a row.
+
+    An anchor's column is given. Any other sign goes, in order, by the first of these that says anything: least mean alternation with the
+    anchors of its own row (columns without such anchors count as no alternation); largest sum of weighted Jaccards with the anchors of other
+    rows; the column least filled so far. Ties go to the lower column. Without any anchors signs of a row are dealt in turn by
+    frequency, the earlier sign first among equals.
+    """
+    n = len(rows)
+    apart = np.zeros(n, bool) if isolated is None else isolated
+    found = np.full(n, -1)
+    fixed = {i: c for i, c in anchors.items() if not apart[i] and 0 <= c < columns}
+    if not fixed:
+        seen = np.zeros(n) if frequency is None else frequency
+        for row in sorted(set(rows[(rows >= 0) & ~apart].tolist())):
+            members = sorted(np.flatnonzero((rows == row) & ~apart).tolist(), key=lambda i: (-seen[i], i))
+            found[members] = np.arange(len(members)) % columns
+        return found
+    at, of = np.array(sorted(fixed)), np.array([fixed[i] for i in sorted(fixed)])
+    found[at] = of
+    for i in np.flatnonzero((found < 0) & (rows >= 0) & ~apart):
+        mine = rows[at] == rows[i]
+        met = np.bincount(of[mine], affinity[i, at[mine]], columns) / np.maximum(np.bincount(of[mine], minlength=columns), 1)
+        if met.sum() > 0:
+            found[i] = met.argmin()
+            continue
+        other = at[~mine]
+        whole = np.maximum(affinity[i], affinity[other]).sum(1)
+        alike = np.where(whole > 0, np.minimum(affinity[i], affinity[other]).sum(1) / np.where(whole > 0, whole, 1), 0)
+        near = np.bincount(of[~mine], alike, columns)
+        found[i] = near.argmax() if near.sum() > 0 else np.bincount(found[found >= 0], minlength=columns).argmin()
+    return found

@@ -146,3 +146,24 @@ def null_p_value(observed: DataFrame, null: DataFrame, by: list[str], value: str
     keys = observed.columns
     hits = F.sum(F.when(F.col("_v") <= F.col(value) + tolerance, F.col("_k")).otherwise(0))
     return pairs.groupBy(*keys).agg(((hits + 1) / (F.coalesce(F.sum("_k"), F.lit(0)) + 1)).alias("p"))
+
+
+def first_contained(strings: DataFrame, anchors: DataFrame, text: str, anchor: str, order: list[str], longest: int = 4) -> DataFrame:
+    """strings with the first anchor that each contains, as a struct `hit` of the anchors' columns: one equal to the string, else the first by
+    `order` (then by itself) of those within it; null if there is none.
+
+    No nested loop: an anchor is known by its first `longest` signs (by all, if it has fewer), a string by all its runs of as many signs
+    as some anchor is known by; what meets in one is then compared as a whole. Empty and null anchors are contained nowhere. Strings
+    may repeat; each different one is searched once, and a string's anchors are reduced before its rows are joined back.
+    """
+    row = F.struct(*(F.col(c) for c in anchors.columns))
+    known = anchors.where(F.length(anchor) > 0).select(F.col(anchor).alias("_a"), F.struct(*order, anchor).alias("_o"), row.alias("_row"), F.substring(anchor, 1, longest).alias("_gram"))
+    lengths = sorted(r[0] for r in known.select(F.length("_gram")).distinct().collect())  # at most `longest` numbers
+    each = strings.where(F.length(text) > 0).select(F.col(text).alias("_t")).distinct()
+    runs = lambda n: F.when(F.length("_t") >= n, F.transform(F.sequence(F.lit(1), F.length("_t") - n + 1), lambda i: F.substring(F.col("_t"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    if not lengths:
+        return strings.withColumn("hit", F.lit(None).cast(known.schema["_row"].dataType))
+    grams = each.select("_t", F.explode(F.array_distinct(F.concat(*map(runs, lengths)))).alias("_gram"))
+    met = grams.join(known, "_gram").where(F.contains("_t", "_a"))
+    best = met.groupBy("_t").agg(F.min_by("_row", F.struct((F.col("_a") != F.col("_t")).alias("x"), F.col("_o").alias("o"))).alias("hit"))
+    return strings.join(best, F.col(text) == F.col("_t"), "left").drop("_t")

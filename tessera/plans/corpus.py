@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.plans.registry import relational
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators.similarity import first_contained
+from tessera.plans.registry import kept, plan, relational
 
 
 @relational
@@ -100,3 +104,19 @@ def join_constraints(d) -> str:
     """Keys of two sources (endings and beginnings) united, then each looked up in both: the assembly of constraints."""
     return f"""WITH {d.word_occ()}, a AS (SELECT lang, substr(word, n - 2, 3) AS k, CAST(sum(freq) AS BIGINT) AS ending FROM uw WHERE n >= 5 GROUP BY lang, substr(word, n - 2, 3)), b AS (SELECT lang, substr(word, 1, 3) AS k, CAST(sum(freq) AS BIGINT) AS beginning FROM uw WHERE n >= 5 GROUP BY lang, substr(word, 1, 3)), u AS (SELECT lang, k FROM a UNION SELECT lang, k FROM b)
 SELECT u.lang, u.k, coalesce(ending, 0) AS ending, coalesce(beginning, 0) AS beginning FROM u LEFT JOIN a ON a.lang = u.lang AND a.k = u.k LEFT JOIN b ON b.lang = u.lang AND b.k = u.k"""
+
+
+def _contained_sql(d) -> str:
+    return f"""WITH {d.word_occ()}, en AS (SELECT word FROM uw WHERE lang = 'en'), an AS (SELECT lang, word AS anchor, docs FROM wt WHERE lang <> 'en' AND n >= 3 AND docs >= 2),
+hit AS (SELECT en.word, an.lang AS field, an.anchor, row_number() OVER (PARTITION BY en.word ORDER BY an.anchor <> en.word, an.docs DESC, an.lang, an.anchor) AS rk FROM en JOIN an ON contains(en.word, an.anchor))
+SELECT en.word, hit.field, hit.anchor, coalesce(hit.anchor = en.word, FALSE) AS whole FROM en LEFT JOIN hit ON hit.word = en.word AND hit.rk = 1"""
+
+
+@plan(_contained_sql)
+def join_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every English word with the anchor that names its field: an equal one, else the first that it contains. Anchors are the words of
+    other languages in two documents or more, the most widespread first."""
+    words = spark.table(kept(spark, sf_dir, "word_table"))
+    anchors = words.where("lang <> 'en' AND n >= 3 AND docs >= 2").select(F.col("word").alias("anchor"), "lang", (-F.col("docs")).alias("less"))
+    found = first_contained(words.where("lang = 'en' AND n >= 2").select("word"), anchors, "word", "anchor", ["less", "lang"])
+    return found.select("word", F.col("hit.lang").alias("field"), F.col("hit.anchor").alias("anchor"), F.coalesce(F.col("hit.anchor") == F.col("word"), F.lit(False)).alias("whole"))

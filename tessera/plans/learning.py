@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.clustering import densest_clique, linkage, merge_groups, pack_rows, silhouette, spectral
-from tessera.plans import grammar, morphology, phonology
+from tessera.operators.clustering import anchored_columns, anti_correlation, densest_clique, linkage, merge_groups, pack_rows, silhouette, spectral
+from tessera.operators.agreement import agreement
+from tessera.plans import grammar, morphology, phonology, vocabulary
 from tessera.plans.dialect import SPARK
 from tessera.plans.registry import plan, run_sql
 
@@ -75,7 +76,7 @@ def p1_vowel_clique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan()
 def p1_context_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consonants by average linkage over mutual nearest neighbours, vowels by spectral clusters of right less left similarity."""
+    """Consonants by average linkage over mutual nearest neighbours, vowels by spectral clusters of the contexts' distance."""
     cos = run_sql(spark, sf_dir, f"WITH {phonology._cosine(SPARK)} SELECT lang, a, b, cosine, CAST(rk AS BIGINT) AS rk FROM rk")
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -94,6 +95,58 @@ def p1_context_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cos.groupBy("lang").applyInPandas(label, "lang string, sign string, consonant long, vowel long")
 
 
+#: Vowel classes; how much left similarity counts against right similarity.
+VOWELS, LEFT_WEIGHT = 5, 0.15
+
+
+def vowel_classes(right: DataFrame, left: DataFrame, k: int = VOWELS, weight: float = LEFT_WEIGHT) -> DataFrame:
+    """right, left: lang, a, b, similarity (a < b; pairs that are missing are 0) -> lang, sign, vowel_class: spectral clusters of right less left
+    similarity, a language's signs at a time."""
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        signs = sorted({*pdf["a"], *pdf["b"]})
+        at, both = {s: i for i, s in enumerate(signs)}, np.array([np.eye(len(signs))] * 2)
+        for a, b, r, l in zip(pdf["a"], pdf["b"], pdf["r"], pdf["l"], strict=True):
+            both[:, at[a], at[b]] = both[:, at[b], at[a]] = r, l
+        labels, _ = spectral(anti_correlation(*both, weight), min(k, max(1, len(signs) - 1)))
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "sign": signs, "vowel_class": labels})
+
+    pairs = right.withColumnRenamed("similarity", "r").join(left.withColumnRenamed("similarity", "l"), ["lang", "a", "b"], "full").fillna(0.0, ["r", "l"])
+    return pairs.groupBy("lang").applyInPandas(label, "lang string, sign string, vowel_class long")
+
+
+@plan()
+def p1_vowel_anticorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vowel classes of signs: alike in what follows them, less so in what precedes them."""
+    return vowel_classes(*(run_sql(spark, sf_dir, f(SPARK)) for f in (phonology.p1_right_similarity, phonology.p1_left_similarity)))
+
+
+#: Signs whose vowel is known, with its column.
+ANCHORS = {"a": 0, "e": 1, "i": 2, "o": 3, "u": 4}
+
+
+@plan()
+def p1_anchored_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vowel columns of a language's signs from its consonant rows (spectral) and the signs whose vowel is known."""
+
+    def columns(pdf: pd.DataFrame) -> pd.DataFrame:
+        signs, m = _matrix(pdf)
+        rows, _ = spectral(m)
+        known = {signs.index(s): c for s, c in ANCHORS.items() if s in signs}
+        found = anchored_columns(rows, m, known, len(ANCHORS), m.sum(1) == 0)
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "sign": signs, "consonant_row": rows, "vowel_column": found, "anchor": [s in ANCHORS for s in signs]})
+
+    return _edges(spark, sf_dir).groupBy("lang").applyInPandas(columns, "lang string, sign string, consonant_row long, vowel_column long, anchor boolean")
+
+
+@plan()
+def p1_grid_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spectral grid's consonant classes against sound classes: each class's majority and agreement, what it merges, and the Rand index."""
+    truth = spark.createDataFrame(list(zip(vocabulary.LETTERS, vocabulary.CLASSES, strict=True)), "sign string, truth string")
+    grid = p1_spectral_grid(spark, sf_dir).select("lang", "sign", F.col("consonant_class").alias("label"))
+    return agreement(grid.join(F.broadcast(truth), "sign"), ["lang"], "label", "truth")
+
+
 @plan()
 def p1_method_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linkage methods and numbers of clusters over the alternation graph, with their silhouettes."""

@@ -206,6 +206,31 @@ def p1_mutual_knn(d) -> str:
     return f"WITH {_cosine(d)}, kk AS (SELECT * FROM rk WHERE rk <= 5) SELECT x.lang, x.a, x.b, x.cosine FROM kk x JOIN kk y ON x.lang = y.lang AND x.a = y.b AND x.b = y.a WHERE x.a < x.b"
 
 
+def _side(d, side: str) -> str:
+    """CTE xs: contexts of one side of the signs seen 15 times or more."""
+    return _contexts(d) + f""", xs AS (SELECT x.lang, x.sign, x.c, x.v, sum(x.v) OVER (PARTITION BY x.lang, x.sign) AS t, sum(x.v) OVER (PARTITION BY x.lang, x.c) AS tc, sum(x.v) OVER (PARTITION BY x.lang) AS al FROM x WHERE substr(x.c, 1, 2) = '{side}:'), xf AS (SELECT * FROM xs WHERE t >= 15)"""
+
+
+def _cosines(weights: str) -> str:
+    """CTE cs: cosines of all pairs of signs with a context in common, over CTE wv (lang, sign, c, v)."""
+    return f"""wv AS ({weights}), nm AS (SELECT lang, sign, sqrt(sum(v * v)) AS n FROM wv GROUP BY lang, sign HAVING sum(v * v) > 0),
+cs AS (SELECT p.lang, p.sign AS a, q.sign AS b, sum(p.v * q.v) / (max(na.n) * max(nb.n)) AS cosine FROM wv p JOIN wv q ON p.lang = q.lang AND p.c = q.c AND p.sign < q.sign JOIN nm na ON na.lang = p.lang AND na.sign = p.sign JOIN nm nb ON nb.lang = q.lang AND nb.sign = q.sign GROUP BY p.lang, p.sign, q.sign)"""
+
+
+@relational
+def p1_right_similarity(d) -> str:
+    """Cosines of signs by positive pointwise mutual information with what follows them."""
+    ppmi = f"SELECT lang, sign, c, greatest({d.number(0)}, log2(v * al / (t * tc))) AS v FROM xf"
+    return f"WITH {_side(d, 'R')}, {_cosines(ppmi)} SELECT lang, a, b, {d.r6('cosine')} AS similarity FROM cs"
+
+
+@relational
+def p1_left_similarity(d) -> str:
+    """Cosines of signs by term frequency and inverse document frequency, tf * ln(signs / (df + 1)), of what precedes them."""
+    tfidf = "SELECT xf.lang, xf.sign, xf.c, xf.v / t * ln(CAST(sn.n AS DOUBLE) / (df.df + 1)) AS v FROM xf JOIN df ON df.lang = xf.lang AND df.c = xf.c JOIN sn ON sn.lang = xf.lang"
+    return f"WITH {_side(d, 'L')}, df AS (SELECT lang, c, count(*) AS df FROM xf GROUP BY lang, c), sn AS (SELECT lang, count(DISTINCT sign) AS n FROM xf GROUP BY lang), {_cosines(tfidf)} SELECT lang, a, b, {d.r6('cosine')} AS similarity FROM cs"
+
+
 _LABELS = "lb AS (SELECT doc_id, lang AS x, source AS y FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL), cn AS (SELECT x, y, CAST(count(*) AS DOUBLE) AS n FROM lb GROUP BY x, y), mx AS (SELECT x, sum(n) AS n FROM cn GROUP BY x), my AS (SELECT y, sum(n) AS n FROM cn GROUP BY y), tn AS (SELECT sum(n) AS n FROM cn)"
 
 

@@ -58,9 +58,12 @@ def rs_pool_cap(d) -> str:
 
 @relational
 def rs_control_queries(d) -> str:
-    """Ten random control strings of fixed lengths over the sound classes."""
-    from tessera.plans.vocabulary import ALPHABET
-
-    draw = f"substr('{ALPHABET}', CAST({d.hash32("'control|' || CAST(i.i AS VARCHAR(9)) || '|' || CAST(p.p AS VARCHAR(9))")} % 12 + 1 AS INT), 1)"
-    glue = "array_join(transform(array_sort(collect_list(struct(p, s))), x -> x.s), '')" if d.name == "spark" else "string_agg(s, '' ORDER BY p)"
-    return f"WITH ch AS (SELECT i.i, p.p, {draw} AS s FROM {d.series('1', '10', 'i')} i CROSS JOIN {d.series('1', '8', 'p')} p WHERE p.p <= 4 + i.i % 5) SELECT i AS query, {glue} AS classes, count(*) AS len FROM ch GROUP BY i"
+    """A random control for each English class string of four signs or more: as long, each sign drawn by hash from all signs of such strings
+    in proportion to their number."""
+    from tessera.plans.vocabulary import _coded
+
+    glue = "array_join(transform(array_sort(collect_list(struct(p, x))), y -> y.x), '')" if d.name == "spark" else "string_agg(x, '' ORDER BY p)"
+    return f"""WITH {_coded(d)}, qs AS (SELECT DISTINCT sca, len FROM sc WHERE lang = 'en' AND len >= 4), qx AS (SELECT sca, len, p, x FROM qs {d.each(d.letters('sca'), 'p', 'x')}), kx AS (SELECT x, count(*) AS k FROM qx GROUP BY x),
+al AS (SELECT x, sum(k) OVER (ORDER BY x ROWS UNBOUNDED PRECEDING) - k AS lo, sum(k) OVER (ORDER BY x ROWS UNBOUNDED PRECEDING) AS hi, sum(k) OVER () AS t FROM kx),
+dr AS (SELECT qx.sca, qx.len, qx.p, al.x FROM qx JOIN al ON {d.hash32("'control|' || qx.sca || '|' || CAST(qx.p AS VARCHAR(9))")} % al.t >= al.lo AND {d.hash32("'control|' || qx.sca || '|' || CAST(qx.p AS VARCHAR(9))")} % al.t < al.hi)
+SELECT sca AS beside, {glue} AS classes, len FROM dr GROUP BY sca, len"""

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tessera.operators.bootstrap import POISSON, by_replicate, letter_counts
 from tessera.operators.clustering import linkage, rand_index
 from tessera.plans.dialect import SPARK
+from tessera.plans.phonology import p1_vowel_columns, p1_vowel_enrichment
 from tessera.plans.registry import plan, relational
-from tessera.plans.vocabulary import CLASSES, LETTERS, POOL, _coded, _sca
+from tessera.plans.vocabulary import CLASSES, LETTERS, POOL, _coded, _sca, p5_mc_pvalue
 
 #: Lengths (in classes) of injected strings, draws of the null for each length.
 _SHORT, _LONG, _DRAWS = 6, 7, 99
@@ -182,3 +183,29 @@ def rand_interval(docs: DataFrame, replicates: int = RAND_REPLICATES, seed: str
 @plan()
 def rs_rand_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rand_interval(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"))
+
+
+@relational
+def p1_column_report(d) -> str:
+    """Vowel columns against known vowels (a sign's own class, C for any consonant): each column's majority, how many agree, what it
+    merges; how many of its classes are split over columns; and the adjusted Rand index of its language."""
+    known = f"CASE WHEN instr('aeiou', sign) > 0 THEN sign WHEN instr('{LETTERS}', sign) > 0 THEN 'C' END"
+    return f"""WITH pr AS (SELECT lang, vowel_column AS label, {known} AS truth FROM ({p1_vowel_columns(d)}) g), cn AS (SELECT lang, label, truth, count(*) AS n FROM pr WHERE truth IS NOT NULL GROUP BY lang, label, truth),
+la AS (SELECT lang, label, sum(n) AS n, count(*) AS classes FROM cn GROUP BY lang, label), tr AS (SELECT lang, truth, sum(n) AS n, count(*) AS labels FROM cn GROUP BY lang, truth),
+sa AS (SELECT lang, sum(n * (n - 1) / 2) AS a, CAST(sum(n) AS DOUBLE) AS n FROM la GROUP BY lang), sb AS (SELECT lang, sum(n * (n - 1) / 2) AS b FROM tr GROUP BY lang), sc2 AS (SELECT lang, sum(n * (n - 1) / 2) AS i FROM cn GROUP BY lang),
+ar AS (SELECT sa.lang, CASE WHEN abs((a + b) / 2 - a * b / (n * (n - 1) / 2)) < 0.000000000001 THEN {d.number(0)} ELSE (i - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)) END AS ari FROM sa JOIN sb ON sb.lang = sa.lang JOIN sc2 ON sc2.lang = sa.lang WHERE n > 1),
+mj AS (SELECT cn.lang, cn.label, cn.truth, cn.n, row_number() OVER (PARTITION BY cn.lang, cn.label ORDER BY cn.n DESC, cn.truth) AS rk, sum(CASE WHEN tr.labels > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY cn.lang, cn.label) AS split FROM cn JOIN tr ON tr.lang = cn.lang AND tr.truth = cn.truth)
+SELECT la.lang, la.label, CAST(la.n AS BIGINT) AS items, mj.truth AS majority, mj.n AS agreeing, {d.r6('CAST(mj.n AS DOUBLE) / la.n')} AS rate, la.classes, la.classes > 1 AS merged, CAST(mj.split AS BIGINT) AS split, {d.r6('ar.ari')} AS ari
+FROM la JOIN mj ON mj.lang = la.lang AND mj.label = la.label AND mj.rk = 1 JOIN ar ON ar.lang = la.lang"""
+
+
+@relational
+def join_ensemble(d) -> str:
+    """Each tested sign with what two classifications say of it; the grid's column is null where it has none."""
+    return f"SELECT e.lang, e.sign, e.is_vowel, e.confidence, g.vowel_column, coalesce(g.vowel_column > 0, FALSE) AS placed FROM ({p1_vowel_enrichment(d)}) e LEFT JOIN ({p1_vowel_columns(d)}) g ON g.lang = e.lang AND g.sign = e.sign"
+
+
+@relational
+def p5_observed_expected(d) -> str:
+    """Matches significant at 0.05, before any correction, beside those that chance gives; a signal from three times as many on."""
+    return f"SELECT lang, count(*) AS tests, count(*) FILTER (WHERE p <= 0.05) AS observed, {d.r6('0.05 * count(*)')} AS expected, {d.r6('count(*) FILTER (WHERE p <= 0.05) / (0.05 * count(*))')} AS ratio, count(*) FILTER (WHERE p <= 0.05) > 3 * 0.05 * count(*) AS signal FROM ({p5_mc_pvalue(d)}) m GROUP BY lang"
