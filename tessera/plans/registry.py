@@ -117,7 +117,7 @@ def plan(oracle: Callable | None = None) -> Callable:
 
 
 def _load() -> None:
-    from tessera.plans import corpus, evidence, grammar, learning, morphology, phonology, resampling, validation, vocabulary  # noqa: F401
+    from tessera.plans import corpus, evidence, grammar, learning, morphology, phonology, resampling, scans, validation, vocabulary  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,12 +11,14 @@ from tessera.functions.scalar import json_safe
 
 
 def read_contract(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
-    """One row: the contract's fields and the hash of its bytes. A missing required key is an error before any row is read."""
+    """A row for each file: the contract's fields and the hash of its bytes. A missing required key is an error before any row is given out;
+    keys are counted where the files are read."""
     text = spark.read.text(path, wholetext=True)
-    first = text.first()
-    if first is None:
+    keys = F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))
+    found = text.agg(F.count("*").alias("files"), *(F.count_if(~F.array_contains(keys, k)).alias(f"lacks_{i}") for i, k in enumerate(required))).first()
+    if not found["files"]:
         raise ValueError(f"no contract at {path}")
-    missing = [k for k in required if k not in json.loads(first["value"])]
+    missing = [k for i, k in enumerate(required) if found[f"lacks_{i}"]]
     if missing:
         raise ValueError(f"contract lacks {', '.join(missing)}")
     return text.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("c"), F.sha2("value", 256).alias("contract_hash")).select("c.*", "contract_hash")

@@ -17,12 +17,17 @@ INSCRIPTION = """struct<id: string, type: string, site: string, sign_count: bigi
   signs_sequence: array<struct<reading: string, type: string, ab_code: string>>>"""
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """path, inventory, inscriptions: a row for each file. A bare list is taken as inscriptions without an inventory."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
+def scan(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """path, corpus_hash, inventory, inscriptions, corrupt: a row for each file, or with lines for each line, so that a corpus of any size
+    is read in parts. A bare list is taken as inscriptions without an inventory. What is no JSON of that form has corrupt set
+    and no inscriptions."""
+    text = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
     bare = F.ltrim("json").startswith("[")
-    whole = F.from_json("json", f"struct<sign_inventory: {INVENTORY}, inscriptions: array<{INSCRIPTION}>>")
-    return text.select("path", F.sha2("json", 256).alias("corpus_hash"), F.when(~bare, whole["sign_inventory"]).alias("inventory"), F.when(bare, F.from_json("json", f"array<{INSCRIPTION}>")).otherwise(whole["inscriptions"]).alias("inscriptions"))
+    whole = F.from_json("json", f"struct<sign_inventory: {INVENTORY}, inscriptions: array<{INSCRIPTION}>, _bad: string>", {"columnNameOfCorruptRecord": "_bad"})
+    alone = F.from_json("json", f"array<{INSCRIPTION}>")
+    corrupt = F.when(bare, alone.isNull()).otherwise(whole.isNull() | whole["_bad"].isNotNull())
+    found = text.select("path", F.sha2("json", 256).alias("corpus_hash"), F.when(~bare, whole["sign_inventory"]).alias("inventory"), F.when(bare, alone).otherwise(whole["inscriptions"]).alias("inscriptions"), F.coalesce(corrupt, F.lit(True)).alias("corrupt"))
+    return found.withColumn("inscriptions", F.when(~F.col("corrupt"), F.col("inscriptions")))
 
 
 def inventory(corpus: DataFrame) -> DataFrame:
@@ -102,9 +107,9 @@ def sign_lists(corpus: DataFrame) -> DataFrame:
     return rows.select("insc_id", F.filter("w.sign_readings", lambda s: ~s.rlike("^[0-9]+$")).alias("signs")).where(F.size("signs") > 0)
 
 
-def syllable_words(spark: SparkSession, path: str, min_syllables: int = 1) -> DataFrame:
-    """{words: [{syllables}]}: a row for each word that is long enough."""
-    rows = spark.read.schema("words array<struct<syllables: array<string>>>").json(path, multiLine=True)
+def syllable_words(spark: SparkSession, path: str, min_syllables: int = 1, lines: bool = False) -> DataFrame:
+    """{words: [{syllables}]}, one object a file, or with lines one a line: a row for each word that is long enough."""
+    rows = spark.read.schema("words array<struct<syllables: array<string>>>").json(path, multiLine=not lines)
     return rows.select(F.explode("words").alias("w")).select(F.col("w.syllables").alias("signs")).where(F.size("signs") >= min_syllables)
 
 
