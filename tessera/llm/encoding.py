@@ -31,8 +31,8 @@ class Encoder:
 
     Both kinds of tokenizer here end a pre-token wherever a space or line end follows another character, and between a
     letter and a sign, so the ids of a text are those of its pieces (white space with the word behind it, signs) in turn.
-    The ids of short pieces are remembered, at most about `most` of them. A text holding other white space is handed to
-    the tokenizer whole.
+    The ids of short pieces are remembered, at most about `most` of them. A text holding other white space, or the
+    spelling of an added token (which the tokenizer makes one id of), is handed to the tokenizer whole.
     """
 
     def __init__(self, path: str, most: int = 600_000):
@@ -40,7 +40,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(added)).search if added else lambda text: None
         bare, *spaced = self.whole(["a", " a", "a ", "\na"])
         keeps_space = any(x != bare for x in spaced)
         self.pieces = (_PIECE if keeps_space else _BARE).findall
@@ -59,7 +60,7 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _OTHER_SPACE.search(text):
+        if _OTHER_SPACE.search(text) or self.added(text):
             return self.whole([text])[0]
         pieces = self.pieces(text)
         known = self.known

@@ -70,12 +70,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs (doc_id, text, source and any others) as often as the mix takes them; a last copy may be a text's first words.
 
-    A row is known by its id and size; rows that agree in both share what they take evenly. n_chars follows the text.
+    A row is known by its id and size; rows that agree in both share what they take evenly, the rest of the division going to some of
+    them, a word each. n_chars follows the text.
     """
-    taken = mix(docs, **options).groupBy("doc_id", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).where("taken > 0")
+    taken = stored(mix(docs, **options).groupBy("doc_id", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).where("taken > 0"), "mix-taken")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), n_words(F.col("text")).alias("words"), F.col("text").alias("whole"))
     rows = rows.join(taken, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("words") == F.col("size")))
-    rows = rows.withColumn("share", F.round(F.col("taken") / F.col("n")).cast("long")).where("share > 0")
+    alike = taken.where("n > 1")
+    if alike.limit(1).count():  # only such rows are numbered
+        nth = F.row_number().over(Window.partitionBy("id", "words").orderBy(F.xxhash64("whole")))
+        rows = rows.where("n = 1").withColumn("nth", F.lit(1)).unionByName(rows.where("n > 1").withColumn("nth", nth))
+    else:
+        rows = rows.withColumn("nth", F.lit(1))
+    share = F.floor(F.col("taken") / F.col("n")) + F.when(F.col("nth") <= F.col("taken") % F.col("n"), 1).otherwise(0)
+    rows = rows.withColumn("share", share.cast("long")).where("share > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("share") / F.col("size")).cast("int"))))
     left = F.col("share") - (F.col("copy") - 1) * F.col("size")
     words = F.regexp_extract_all("whole", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))

@@ -46,7 +46,10 @@ kd AS (SELECT 1 / least(0.5, greatest(0.001, coalesce((sum(n * (b / n - up) ** 2
 d2 AS (SELECT dom, (b + k * up) / (n + k) AS up FROM d1, kd),
 h1 AS (SELECT h.*, up FROM h JOIN d2 USING (dom)),
 kh AS (SELECT 1 / least(0.5, greatest(0.001, coalesce((sum(n * (b / n - up) ** 2) - sum(up * (1 - up))) / nullif(sum(up * (1 - up) * (n - 1)), 0), 0.001))) - 1 AS k FROM h1),
-h2 AS (SELECT host, b + k * up AS x, n - b + k * (1 - up) AS y FROM h1, kh),
+top AS (SELECT sum(b) / sum(n) AS up FROM s),
+others AS (SELECT DISTINCT host FROM p WHERE host NOT IN (SELECT host FROM h)),
+o1 AS (SELECT host, coalesce(d2.up, s2.up, top.up) AS up FROM others LEFT JOIN d2 ON d2.dom = array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') LEFT JOIN s2 ON s2.suf = list_extract(string_split(host, '.'), -1) CROSS JOIN top),
+h2 AS (SELECT host, b + k * up AS x, n - b + k * (1 - up) AS y FROM (SELECT host, b, n, up FROM h1 UNION ALL SELECT host, 0, 0, up FROM o1), kh),
 blocked AS (SELECT host FROM h2 WHERE x / (x + y) - 1.645 * sqrt(x * y / ((x + y) ** 2 * (x + y + 1))) > 0.5)
 SELECT page_id, host, path, rule, CASE WHEN v IS NOT NULL THEN v WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END AS verdict FROM ruled
 """

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm.mixing import mix, mixed_documents, targets
 
@@ -56,3 +57,17 @@ def test_documents_follow_the_mix(documents):
         got[r.doc_id] = got.get(r.doc_id, 0) + words(r.text)
         assert r.n_chars == len(r.text)
     assert got == want
+
+
+def test_rows_alike_keep_the_budget(spark):
+    """Rows of one id and size, some of one text: together they take what the mix gives them, to the word."""
+    texts = ["a b c d e f g", "h i j k l m n", "a b c d e f g", "o p q r s t u", "one two three", "x y"]
+    rows = [(5, t, "s1") for t in texts] + [(None, t, "s2") for t in texts] + [(i, "p q r s t u v w " * 3, "s3") for i in range(10, 15)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "length(text) AS n_chars")
+    got = {(r.doc_id, r.source): r.n for r in mixed_documents(df).groupBy("doc_id", "source").agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(r"[^\x20]+"), F.lit(0)))).alias("n")).collect()}
+    want = {}
+    sources = {5: "s1", None: "s2"}
+    for r in mix(df).collect():
+        key = r.doc_id, sources.get(r.doc_id, "s3")
+        want[key] = want.get(key, 0) + r.taken
+    assert got == {k: v for k, v in want.items() if v}

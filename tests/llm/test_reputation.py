@@ -1,3 +1,6 @@
+import duckdb
+
+from tessera.llm import queries, sql
 from tessera.llm.reputation import Prior, Rule, judge, reputation
 
 RULES = [Rule("com", "/en/", False), Rule("example.com", "/en/7", True), Rule("net", "/de/", True)]
@@ -47,3 +50,20 @@ def test_labels_without_spread(spark):
     assert verdicts([(i, 0) for i in range(30)]) == {"allow"} and verdicts([(i, 1) for i in range(30)]) == {"block"}
     assert verdicts([(3 * i, i % 2) for i in range(10)]) == {"allow"} and verdicts([(3 * i, 0) for i in range(10)]) == {"allow"}
     assert verdicts([(0, 1), (0, 1), (0, None), (99, 1)]) == {"block"}
+
+
+def test_sql_judges_hosts_without_labels_alike(spark, tmp_path):
+    """The query beside its SQL where domains, suffixes and all labels speak for hosts that have none."""
+    duck = duckdb.connect()
+    urls = [(f"h{h}.bad.com", 0) for h in range(20) for _ in range(20)] + [(f"h{h}.d{h}.evil", int(i == 0)) for h in range(30) for i in range(20)] + [(f"h{h}.good.com", 1) for h in range(20) for _ in range(20)]
+    new = ["new.bad.com", "bad.com", "new.good.com", "x.y.evil", "alone.net", "evil", ""]
+    pages = [(i, f"http://{h}/x") for i, (h, _) in enumerate(urls)] + [(10_000 + i, f"http://{h}/x") for i, h in enumerate(new)] + [(20_000, None)]
+    labels = [(i, q, 0) for i, (_, q) in enumerate(urls)]
+    for name, rows, schema in (("pages", pages, "page_id long, url string"), ("labels", labels, "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        [part] = (tmp_path / f"{name}.parquet").glob("part-*.parquet")
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{part}'")
+    want = sorted(map(str, duck.execute(f"SELECT page_id, host, path, rule, verdict FROM ({sql.OP6}) x").fetchall()))
+    got = queries.op6_host_reputation(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(str(tuple(r)) for r in got) == want
+    assert {r.host: r.verdict for r in got if r.page_id >= 10_000} | {"new.good.com": "allow"} == {h: "block" if "bad" in h or "evil" in h else "allow" for h in new} | {r.host: r.verdict for r in got if r.host in ("", "alone.net")}

@@ -13,7 +13,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def whole(text, path=PATH):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -68,3 +67,11 @@ def test_shard_lookup_and_damage():
     except ValueError:
         pass
     sink_close()
+
+
+def test_added_tokens_are_encoded_as_the_library_does():
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        added = [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
+        for text in [*added, *(f"a {t} b{t}c" for t in added), "plain text"]:
+            assert list(Encoder(path)(text)) == list(np.array(whole(text, path), np.uint32).tobytes()), (name, text)
