@@ -83,7 +83,7 @@ def test_few_are_reranked():
     n = np.arange(len(x))
     floor = onebit._floors(x[:100], x[:5000], 21)
     guess, error = onebit.estimates((x[:100] @ turn.T).astype(np.float32), bits, length, along, onebit.SPREAD)
-    assert (guess + error >= floor[:, None]).mean() < 0.15
+    assert (guess + error >= floor[:, None]).mean() < 0.2
     [(_, best)] = onebit.scan(x[:100], floor, iter([(x, bits, length, along, n, n * 0 + 1, n, n)]), centre, turn, 21)
     want = [set(np.argsort(-(x[q] @ x.T))[:21].tolist()) for q in range(100)]
     assert np.mean([len(set(best.row[best.q == q].tolist()) & want[q]) / 21 for q in range(100)]) > 0.999
