@@ -60,11 +60,14 @@ def words(corpus: DataFrame) -> DataFrame:
 
     A sign's type is the inventory's for its reading, else for its code; else a numeral by its code, else unknown.
     """
-    # an inventory is at most a few hundred signs, kept as a map literal beside each file's rows
-    rows = corpus.select("inventory", F.explode("inscriptions").alias("i")).select("inventory", F.coalesce("i.id", F.lit("unknown")).alias("insc_id"), F.coalesce("i.type", F.lit("unknown")).alias("insc_type"), F.coalesce("i.site", F.lit("unknown")).alias("site"), F.posexplode("i.words").alias("word_index", "w"))
+    # signs are chosen within an inscription, by its file's inventory, so that neither goes along with each word
     kind = lambda s: F.coalesce(F.col("inventory")[s["reading"]]["type"], F.col("inventory")[s["sign_id"]]["type"], F.when(s["sign_id"].startswith("A7") | s["sign_id"].startswith("NUM"), "numeral").otherwise("unknown"))
-    signs = F.transform(F.filter(_codes(F.col("w")), lambda s: kind(s) == "syllabogram"), lambda s: s["sign_id"])
-    return rows.select("insc_id", "insc_type", "site", "word_index", F.coalesce("w.has_damage", F.lit(False)).alias("has_damage"), signs.alias("sign_ids")).withColumn("n", F.size("sign_ids"))
+    signs = lambda w: F.transform(F.filter(_codes(w), lambda s: kind(s) == "syllabogram"), lambda s: s["sign_id"])
+    judged = F.transform("i.words", lambda w: F.struct(F.coalesce(w["has_damage"], F.lit(False)).alias("has_damage"), signs(w).alias("sign_ids")))
+    rows = corpus.select("inventory", F.explode("inscriptions").alias("i"))
+    rows = rows.select(*(F.coalesce(f"i.{c}", F.lit("unknown")).alias(name) for c, name in (("id", "insc_id"), ("type", "insc_type"), ("site", "site"))), judged.alias("judged"))
+    rows = rows.select("insc_id", "insc_type", "site", F.posexplode("judged").alias("word_index", "w"))
+    return rows.select("insc_id", "insc_type", "site", "word_index", "w.has_damage", "w.sign_ids").withColumn("n", F.size("sign_ids"))
 
 
 def positions(words_: DataFrame, min_length: int = 2, exclude_damaged: bool = True) -> DataFrame:
