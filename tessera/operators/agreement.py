@@ -24,3 +24,16 @@ def agreement(pairs: DataFrame, by: list[str], label: str, truth: str) -> DataFr
     found = cells.groupBy(*by, label).agg(F.sum("n").alias("items"), best.alias("best"), F.count("*").alias("classes"), F.count_if(F.col("labels") > 1).alias("split"), F.max("ari").alias("ari"))
     agreeing = -F.col("best.k")
     return found.select(*by, label, "items", F.col("best.truth").alias("majority"), agreeing.alias("agreeing"), F.round(agreeing / F.col("items"), 6).alias("rate"), "classes", (F.col("classes") > 1).alias("merged"), "split", F.round("ari", 6).alias("ari"))
+
+
+def bridge(inventory: DataFrame, anchors: DataFrame) -> DataFrame:
+    """inventory: reading, codes (an array); anchors: reading, value, nth -> code, value, reading, readings, contested: what an inventory's
+    codes stand for, by way of the readings that are known.
+
+    A code of several known readings takes the last one's value (the greatest nth, among equals the greatest reading); contested says
+    that their values differ. Codes without a known reading, null codes and null readings have no row."""
+    coded = inventory.where("reading IS NOT NULL").select("reading", F.explode("codes").alias("code")).where("code IS NOT NULL").distinct()
+    known = coded.join(anchors.where("value IS NOT NULL"), "reading")
+    last = F.max(F.struct("nth", "reading", "value"))
+    found = known.groupBy("code").agg(last.alias("last"), F.countDistinct("reading").alias("readings"), F.countDistinct("value").alias("values"))
+    return found.select("code", F.col("last.value").alias("value"), F.col("last.reading").alias("reading"), "readings", (F.col("values") > 1).alias("contested"))

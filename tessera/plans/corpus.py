@@ -45,9 +45,11 @@ def src_cv_parse(d) -> str:
 
 @relational
 def sn_contract_metadata(d) -> str:
-    """What goes with a contract: counts of the corpus and a hash over its documents in order."""
-    glue = "array_join(transform(array_sort(collect_list(struct(doc_id, h))), x -> x.h), '')" if d.name == "spark" else "string_agg(h, '' ORDER BY doc_id)"
-    return f"WITH h AS (SELECT doc_id, lang, md5(coalesce(text, '')) AS h FROM documents) SELECT lang, count(*) AS documents, md5({glue}) AS corpus_hash FROM h GROUP BY lang"
+    """What goes with a contract: counts of the corpus and a hash over its documents, each under its number: sums of two parts of their
+    hashes, so that no list of a corpus is held."""
+    of = "coalesce(CAST(doc_id AS VARCHAR(20)), '') || '|' || md5(coalesce(text, ''))"
+    total = lambda x: f"CAST(CAST(sum({d.hash32(x)}) AS BIGINT) AS VARCHAR(20))"
+    return f"SELECT lang, count(*) AS documents, md5(CAST(count(*) AS VARCHAR(20)) || '|' || {total('x')} || '|' || {total("'2|' || x")}) AS corpus_hash FROM (SELECT lang, {of} AS x FROM documents) h GROUP BY lang"
 
 
 @relational
@@ -93,10 +95,10 @@ def dedup_keep_best(d) -> str:
 
 @relational
 def join_first_match(d) -> str:
-    """Glosses of frequent words: another language's same word, else the least word that begins with it or that it begins with."""
-    return f"""WITH {d.word_occ()}, q AS (SELECT word FROM (SELECT word, row_number() OVER (ORDER BY freq DESC, word) AS rk FROM uw WHERE lang = 'en' AND n >= 4) WHERE rk <= 300), x AS (SELECT DISTINCT word FROM uw WHERE lang <> 'en' AND n >= 4), pf AS (SELECT DISTINCT substr(word, 1, CAST(l AS INT)) AS prefix, word FROM x JOIN {d.series('4', '16', 'l')} s ON l < length(word)),
-ca AS (SELECT q.word, x.word AS gloss, 1 AS kind FROM q JOIN x ON x.word = q.word UNION ALL SELECT q.word, pf.word, 2 FROM q JOIN pf ON pf.prefix = q.word UNION ALL SELECT qp.word, x.word, 2 FROM (SELECT q.word, substr(q.word, 1, CAST(l AS INT)) AS prefix FROM q JOIN {d.series('4', '16', 'l')} s ON l < length(q.word)) qp JOIN x ON x.word = qp.prefix)
-SELECT word, gloss, CAST(kind AS BIGINT) AS kind FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY kind, gloss) AS rk FROM ca) WHERE rk = 1"""
+    """Glosses of all English words: another language's same word, else the least word that begins with it or that it begins with."""
+    return f"""WITH {d.word_occ()}, q AS (SELECT word, n FROM uw WHERE lang = 'en' AND n >= 4), x AS (SELECT DISTINCT word, n FROM uw WHERE lang <> 'en' AND n >= 4), pf AS (SELECT word, substr(word, 1, CAST(l AS INT)) AS prefix FROM x {d.each_of('CAST(4 AS BIGINT)', 'x.n', 'l')}), qf AS (SELECT word, substr(word, 1, CAST(l AS INT)) AS prefix FROM q {d.each_of('CAST(4 AS BIGINT)', 'q.n', 'l')}),
+ca AS (SELECT q.word, pf.word AS gloss FROM q JOIN pf ON pf.prefix = q.word UNION ALL SELECT qf.word, x.word FROM qf JOIN x ON x.word = qf.prefix)
+SELECT word, coalesce(max(CASE WHEN gloss = word THEN gloss END), min(gloss)) AS gloss, CAST(CASE WHEN max(CASE WHEN gloss = word THEN 1 ELSE 0 END) = 1 THEN 1 ELSE 2 END AS BIGINT) AS kind FROM ca GROUP BY word"""
 
 
 @relational

@@ -13,6 +13,12 @@ class Dialect(Protocol):
     def each(self, array: str, pos: str, item: str) -> str: ...
 
 
+def documents_with_words(d, name: str) -> str:
+    """CTE: lang and n, the documents that hold a word."""
+    letter = d.matches("\\p{L}", "text")
+    return f"{name} AS (SELECT lang, count(DISTINCT doc_id) AS n FROM documents WHERE {letter} GROUP BY lang)"
+
+
 def _tail(d, term: str, lo: str, hi: str) -> str:
     return f"CASE WHEN ({hi}) < ({lo}) THEN 0D ELSE least(1D, {d.sum_range(lo, hi, term)}) END".replace("0D", d.number(0)).replace("1D", d.number(1))
 
@@ -78,6 +84,10 @@ class SparkSQL(_Stats):
     def words(self) -> str:
         return r"SELECT doc_id, lang, source, wpos, word, CAST(length(word) AS BIGINT) AS n, nw FROM (SELECT doc_id, lang, source, ws, CAST(size(ws) AS BIGINT) AS nw FROM (SELECT doc_id, lang, source, regexp_extract_all(lower(text), '(\\p{L}+)', 1) AS ws FROM documents)) LATERAL VIEW posexplode(ws) t AS wpos, word"
 
+    def doc_words(self) -> str:
+        """doc_id, lang, ws: the words of a document in one array, for what lies within a document."""
+        return r"SELECT doc_id, lang, regexp_extract_all(lower(text), '(\\p{L}+)', 1) AS ws FROM documents"
+
     def word_table(self) -> str:
         return "SELECT lang, word, n, freq, docs FROM word_table"
 

@@ -5,16 +5,28 @@ Ideograms are the eight commonest words of four letters or more of a language; n
 
 from __future__ import annotations
 
+from tessera.plans.dialect import documents_with_words
 from tessera.plans.registry import relational
 
 WINDOW = 3
 
 
 def _near(d) -> str:
-    """CTEs io (ideograms), sg (sign-groups seen five times or more), co (documents in which a sign-group stands within the window)."""
+    """CTEs io (ideograms), sg (sign-groups seen five times or more), co (documents in which a sign-group stands within the window).
+
+    Here the pairs near each other come from a document's own array of words, so that no occurrence is shuffled to meet another."""
+    if d.name == "spark":
+        low, high = f"greatest(1, i - {WINDOW})", f"least(size(ws), i + {WINDOW})"
+        around = f"transform(slice(ws, {low}, {high} - {low} + 1), x -> struct(x AS word, ws[i - 1] AS ideogram))"
+        near = f"""di AS (SELECT lang, collect_list(word) AS ids FROM io GROUP BY lang),
+pr AS (SELECT doc_id, d.lang, explode(array_distinct(flatten(transform(filter(sequence(1, size(ws)), i -> array_contains(ids, ws[i - 1])), i -> {around})))) AS x FROM ({d.doc_words()}) d JOIN di ON di.lang = d.lang WHERE size(ws) > 0),
+pc AS (SELECT lang, x.word, x.ideogram, count(DISTINCT doc_id) AS k FROM pr WHERE doc_id IS NOT NULL GROUP BY lang, x.word, x.ideogram)"""
+    else:
+        near = f"""ip AS (SELECT w.doc_id, w.lang, w.word AS ideogram, w.wpos + s.o AS wpos FROM w JOIN io ON io.lang = w.lang AND io.word = w.word CROSS JOIN {d.series(str(-WINDOW), str(WINDOW), 'o')} s),
+pc AS (SELECT w.lang, w.word, ip.ideogram, count(DISTINCT w.doc_id) AS k FROM w JOIN ip ON ip.doc_id = w.doc_id AND ip.lang = w.lang AND ip.wpos = w.wpos GROUP BY w.lang, w.word, ip.ideogram)"""
     return d.word_occ() + f""", wc AS (SELECT lang, word, n, freq AS k, docs FROM wt), io AS (SELECT lang, word FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY k DESC, word) AS rk FROM wc WHERE n >= 4) WHERE rk <= 8),
-sg AS (SELECT wc.lang, wc.word FROM wc LEFT JOIN io ON io.lang = wc.lang AND io.word = wc.word WHERE wc.k >= 5 AND io.word IS NULL), ip AS (SELECT w.doc_id, w.lang, w.word AS ideogram, w.wpos + s.o AS wpos FROM w JOIN io ON io.lang = w.lang AND io.word = w.word CROSS JOIN {d.series(str(-WINDOW), str(WINDOW), 'o')} s),
-co AS (SELECT w.lang, w.word, ip.ideogram, count(DISTINCT w.doc_id) AS k FROM w JOIN ip ON ip.doc_id = w.doc_id AND ip.lang = w.lang AND ip.wpos = w.wpos JOIN sg ON sg.lang = w.lang AND sg.word = w.word GROUP BY w.lang, w.word, ip.ideogram)"""
+sg AS (SELECT wc.lang, wc.word FROM wc LEFT JOIN io ON io.lang = wc.lang AND io.word = wc.word WHERE wc.k >= 5 AND io.word IS NULL), {near},
+co AS (SELECT pc.lang, pc.word, pc.ideogram, pc.k FROM pc JOIN sg ON sg.lang = pc.lang AND sg.word = pc.word)"""
 
 
 @relational
@@ -33,7 +45,7 @@ def p4_exclusivity(d) -> str:
 
 
 def _fisher(d) -> str:
-    return _exclusive(d) + f""", nd AS (SELECT lang, count(DISTINCT doc_id) AS n FROM w GROUP BY lang),
+    return _exclusive(d) + f""", {documents_with_words(d, 'nd')},
 fx AS (SELECT be.lang, be.word, be.ideogram, be.k, be.exclusivity, dw.docs AS with_word, di.docs AS with_ideogram, greatest(nd.n, dw.docs + di.docs - be.k) AS docs FROM be JOIN wc dw ON dw.lang = be.lang AND dw.word = be.word JOIN wc di ON di.lang = be.lang AND di.word = be.ideogram JOIN nd ON nd.lang = be.lang),
 ft AS (SELECT lang, word, least({d.number(1)}, sum({d.fisher_term('i', 'with_word', 'with_ideogram', 'docs')})) AS p FROM (SELECT lang, word, with_word, with_ideogram, docs, i FROM fx {d.each_of(*d.fisher_range('k', 'with_word', 'with_ideogram', 'docs'), 'i')}) GROUP BY lang, word),
 fp AS (SELECT fx.*, ft.p FROM fx JOIN ft ON ft.lang = fx.lang AND ft.word = fx.word),

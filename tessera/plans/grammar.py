@@ -5,6 +5,9 @@ A word's class is its last letter's kind here (vowel, s, n, r, other), its suffi
 
 from __future__ import annotations
 
+import re
+
+from tessera.plans.dialect import documents_with_words
 from tessera.plans.registry import relational
 
 _CLASS = "CASE WHEN substr(word, n, 1) IN ('a', 'e', 'i', 'o', 'u') THEN 1 WHEN substr(word, n, 1) = 's' THEN 2 WHEN substr(word, n, 1) = 'n' THEN 3 WHEN substr(word, n, 1) = 'r' THEN 4 ELSE 0 END"
@@ -46,8 +49,13 @@ SELECT lang, word, c AS context, ppmi + {d.number(0)} AS ppmi FROM (SELECT *, ro
 
 
 def _pairs(d) -> str:
-    """CTE nb: neighbours' classes and suffixes within documents."""
-    return d.word_occ() + f""", ws AS (SELECT doc_id, lang, source, wpos, nw, word, {_CLASS} AS c, {_SUFFIX} AS sx FROM w), nb AS (SELECT * FROM (SELECT lang, c AS c1, sx AS s1, lead(c) OVER z AS c2, lead(sx) OVER z AS s2 FROM ws WINDOW z AS (PARTITION BY doc_id, lang ORDER BY wpos)) WHERE c2 IS NOT NULL)"""
+    """CTEs ws (words with class and suffix) and nb: neighbours' classes and suffixes within documents, here from a document's own array."""
+    if d.name == "spark":
+        of = lambda expression, word: re.sub(r"(?<!')\bn\b(?!')", f"length({word})", re.sub(r"\bword\b", word, expression))
+        nb = f"SELECT lang, {of(_CLASS, 'x.a')} AS c1, {of(_SUFFIX, 'x.a')} AS s1, {of(_CLASS, 'x.b')} AS c2, {of(_SUFFIX, 'x.b')} AS s2 FROM (SELECT lang, explode(transform(sequence(1, size(ws) - 1), i -> struct(ws[i - 1] AS a, ws[i] AS b))) AS x FROM ({d.doc_words()}) WHERE size(ws) > 1)"
+    else:
+        nb = "SELECT * FROM (SELECT lang, c AS c1, sx AS s1, lead(c) OVER z AS c2, lead(sx) OVER z AS s2 FROM ws WINDOW z AS (PARTITION BY doc_id, lang ORDER BY wpos)) WHERE c2 IS NOT NULL"
+    return d.word_occ() + f", ws AS (SELECT doc_id, lang, source, wpos, nw, word, {_CLASS} AS c, {_SUFFIX} AS sx FROM w), nb AS ({nb})"
 
 
 @relational
@@ -91,10 +99,12 @@ def p3_expected_agreement(d) -> str:
 
 
 def _functional(d) -> str:
-    return d.word_occ() + f""", dn AS (SELECT lang, CAST(count(DISTINCT doc_id) AS DOUBLE) AS docs FROM w GROUP BY lang), st AS (SELECT lang, word, max(n) AS n, count(*) AS k, count(DISTINCT doc_id) AS docs, avg({_rel(d)}) AS pos, avg(CASE WHEN wpos = 0 THEN {d.number(1)} ELSE {d.number(0)} END) AS ini, avg(CASE WHEN wpos = nw - 1 THEN {d.number(1)} ELSE {d.number(0)} END) AS fin FROM w GROUP BY lang, word),
-de AS (SELECT lang, substr(word, 1, n - 1) AS stem, count(*) AS forms FROM uw GROUP BY lang, substr(word, 1, n - 1)),
-fu AS (SELECT st.lang, st.word, st.k, st.docs / dn.docs AS spread, pos, ini, fin, CASE WHEN ini >= 0.5 OR fin >= 0.5 THEN 'structural_marker' WHEN pos >= 0.4 AND pos <= 0.6 THEN 'relator' WHEN pos < 0.4 THEN 'determiner' ELSE 'particle' END AS label
-  FROM st JOIN dn ON dn.lang = st.lang LEFT JOIN de ON de.lang = st.lang AND de.stem = st.word WHERE st.n <= 3 AND st.k >= 20 AND st.docs >= 0.1 * dn.docs AND coalesce(de.forms, 0) < 10)"""
+    """CTE fu. Which words are short, frequent and widespread is known from their counts; only short words' places are looked at."""
+    return d.word_occ() + f""", {documents_with_words(d, 'dn')}, cn AS (SELECT wt.lang, wt.word, wt.freq AS k, CAST(wt.docs AS DOUBLE) / dn.n AS spread FROM wt JOIN dn ON dn.lang = wt.lang WHERE wt.n <= 3 AND wt.freq >= 20 AND wt.docs >= 0.1 * dn.n),
+st AS (SELECT lang, word, avg({_rel(d)}) AS pos, avg(CASE WHEN wpos = 0 THEN {d.number(1)} ELSE {d.number(0)} END) AS ini, avg(CASE WHEN wpos = nw - 1 THEN {d.number(1)} ELSE {d.number(0)} END) AS fin FROM w WHERE n <= 3 GROUP BY lang, word),
+de AS (SELECT lang, substr(word, 1, n - 1) AS stem, count(*) AS forms FROM uw WHERE n <= 4 GROUP BY lang, substr(word, 1, n - 1)),
+fu AS (SELECT cn.lang, cn.word, cn.k, cn.spread, pos, ini, fin, CASE WHEN ini >= 0.5 OR fin >= 0.5 THEN 'structural_marker' WHEN pos >= 0.4 AND pos <= 0.6 THEN 'relator' WHEN pos < 0.4 THEN 'determiner' ELSE 'particle' END AS label
+  FROM cn JOIN st ON st.lang = cn.lang AND st.word = cn.word LEFT JOIN de ON de.lang = cn.lang AND de.stem = cn.word WHERE coalesce(de.forms, 0) < 10)"""
 
 
 @relational

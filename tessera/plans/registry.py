@@ -40,19 +40,13 @@ def _context_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_counts(spark.table(kept(spark, sf_dir, "word_table")).where("n >= 2").select("lang", "word", "freq"), ["lang"])
 
 
-def _match_table(spark: SparkSession, sf_dir: str, cap: int | None = None) -> DataFrame:
-    """q, lang, m, ned, rk: see similarity.nearest; cap: of the null model's pool."""
-    from tessera.operators.similarity import nearest
-    from tessera.plans.vocabulary import _sides
+def _matching(name: str, *args) -> Query:
+    def make(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from tessera.plans import matching
 
-    side = lambda sql: run_sql(spark, sf_dir, f"WITH {_sides(SPARK, cap)} {sql}")
-    return nearest(side("SELECT sca, len FROM qy"), side("SELECT lang, sca, len FROM lx"))
+        return getattr(matching, name)(spark.table(kept(spark, sf_dir, "word_table")), *args)
 
-
-def _pool_match_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.plans.vocabulary import POOL
-
-    return _match_table(spark, sf_dir, POOL)
+    return make
 
 
 def _gate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +61,14 @@ def _gate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, gates_sql(SPARK))
 
 
+#: Candidates of a language and length in the pools of the null model.
+POOL = 500
+_MATCHING = {
+    "match_table": _matching("match_table"), "pool_match_table": _matching("match_table", POOL), "reading_table": _matching("reading_table"),
+    "null_table": _matching("null_table", POOL), "fixed_null_table": _matching("null_table", POOL, True),
+}
 #: Tables that many queries start from; they grow with the vocabulary, not the corpus.
-KEPT = {"word_table": _word_table, "segmented_table": _segmented_table, "context_table": _context_table, "match_table": _match_table, "pool_match_table": _pool_match_table, "gate_pool": _gate_pool, "gate_table": _gate_table}
+KEPT = {"word_table": _word_table, "segmented_table": _segmented_table, "context_table": _context_table, **_MATCHING, "gate_pool": _gate_pool, "gate_table": _gate_table}
 
 
 def kept(spark: SparkSession, sf_dir: str, table: str) -> str:

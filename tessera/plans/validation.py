@@ -7,12 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.agreement import bridge
 from tessera.operators.bootstrap import POISSON, by_replicate, letter_counts
 from tessera.operators.clustering import linkage, rand_index
 from tessera.plans.dialect import SPARK
-from tessera.plans.phonology import p1_vowel_columns, p1_vowel_enrichment
-from tessera.plans.registry import plan, relational
-from tessera.plans.vocabulary import CLASSES, LETTERS, POOL, _coded, _sca, p5_mc_pvalue
+from tessera.plans.phonology import _enriched, p1_vowel_columns, p1_vowel_enrichment
+from tessera.plans.registry import POOL, kept, plan, relational
+from tessera.plans.vocabulary import CLASSES, LETTERS, _coded, _sca, p5_mc_pvalue
 
 #: Lengths (in classes) of injected strings, draws of the null for each length.
 _SHORT, _LONG, _DRAWS = 6, 7, 99
@@ -209,3 +210,36 @@ def join_ensemble(d) -> str:
 def p5_observed_expected(d) -> str:
     """Matches significant at 0.05, before any correction, beside those that chance gives; a signal from three times as many on."""
     return f"SELECT lang, count(*) AS tests, count(*) FILTER (WHERE p <= 0.05) AS observed, {d.r6('0.05 * count(*)')} AS expected, {d.r6('count(*) FILTER (WHERE p <= 0.05) / (0.05 * count(*))')} AS ratio, count(*) FILTER (WHERE p <= 0.05) > 3 * 0.05 * count(*) AS signal FROM ({p5_mc_pvalue(d)}) m GROUP BY lang"
+
+
+#: Signs that are taken for vowels whatever the test finds.
+VOWELS = ("a", "e", "i", "o", "u", "ä", "ö", "ü")
+
+
+@relational
+def p1_vowel_override(d) -> str:
+    """The named vowels in place of the detected ones, in each language: a tested sign keeps its statistics and has a third of its
+    enrichment as confidence, at most 1; one too rare to be tested, or never seen, has one half and counts as seen once at least."""
+    rows = ", ".join(f"({i}, '{v}')" for i, v in enumerate(VOWELS))
+    zero = d.number(0)
+    return f"""WITH {_enriched(d)}, ov AS (SELECT * FROM (VALUES {rows}) v(i, sign)), la AS (SELECT DISTINCT lang FROM c WHERE lang IS NOT NULL)
+SELECT la.lang, ov.sign, coalesce(v.k_initial, 0) AS k_initial, coalesce(v.k_medial, 0) AS k_medial, coalesce(v.total, greatest(coalesce(c.total, 0), 1)) AS total, {d.r6(f'coalesce(v.enrichment, {zero})')} AS enrichment, v.sign IS NOT NULL AS tested,
+  coalesce(v.p_initial < 0.05 / v.testable AND v.p_medial < 0.05 / v.testable, FALSE) AS detected, {d.r6(f'CASE WHEN v.sign IS NULL THEN {d.number(0.5)} ELSE greatest({zero}, least({d.number(1)}, v.enrichment / 3)) END')} AS confidence
+FROM la CROSS JOIN ov LEFT JOIN v ON v.lang = la.lang AND v.sign = ov.sign LEFT JOIN c ON c.lang = la.lang AND c.sign = ov.sign"""
+
+
+def _bridge_sql(d) -> str:
+    return f"""WITH {d.word_occ()}, rd AS (SELECT substr(word, 1, 2) AS reading, min({_sca('substr(word, 1, 1)')}) AS onset, sum(freq) AS nth, count(*) FILTER (WHERE lang = 'en') > 0 AS known FROM uw WHERE {d.matches('^[b-df-hj-np-tv-z][aeiou]', 'word')} GROUP BY substr(word, 1, 2)),
+ex AS (SELECT unnest([onset || 'V', onset || right(reading, 1)]) AS code, reading, nth, known FROM rd), kn AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY nth DESC, reading DESC) AS rk, count(*) OVER (PARTITION BY code) AS readings FROM ex WHERE known)
+SELECT code, reading AS value, reading, readings, readings > 1 AS contested FROM kn WHERE rk = 1"""
+
+
+@plan(_bridge_sql)
+def p1_anchor_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of an inventory of syllables by the readings that are known. Readings are the beginnings of words by a consonant and a vowel, their
+    codes the consonant's class with any and with this vowel; known are those of English words, the commoner the later."""
+    words = spark.table(kept(spark, sf_dir, "word_table")).where("n >= 2").where(F.col("word").rlike("^[b-df-hj-np-tv-z][aeiou]"))
+    rows = words.groupBy(F.substring("word", 1, 2).alias("reading")).agg(F.sum("freq").alias("nth"), F.bool_or(F.col("lang") == "en").alias("known"))
+    onset = F.translate(F.substring("reading", 1, 1), LETTERS, CLASSES)
+    inventory = rows.select("reading", F.array(F.concat(onset, F.lit("V")), F.concat(onset, F.substring("reading", 2, 1))).alias("codes"))
+    return bridge(inventory, rows.where("known").select("reading", F.col("reading").alias("value"), "nth"))

@@ -6,12 +6,17 @@ single-byte signs. Candidates are compared within two signs of a query's length,
 
 from __future__ import annotations
 
-from tessera.plans.registry import relational
+from tessera.plans.phonology import p1_vowel_columns
+from tessera.plans.registry import POOL, relational
 
 #: Letters and the sound classes that they fall into; any other letter goes.
 LETTERS = "pbfvtdszckgxqmnlrwjhaeiouy"
 CLASSES = "PPPPTTSSSKKKKMNLRWJHVVVVVV"
 ALPHABET = "HJKLMNPRSTVW"
+#: Random strings of each length, and of each length and first class.
+SAMPLES, FIXED_SAMPLES = 1000, 200
+#: Letters taken as unknown signs, with their candidate readings.
+READINGS = {"w": ("v", "u", "b"), "y": ("i", "j")}
 
 
 def _sca(word: str) -> str:
@@ -38,10 +43,6 @@ def _sides(d, cap: int | None = None) -> str:
 lx AS ({lx}), qb AS (SELECT qy.*, qy.len + s.o AS b FROM qy CROSS JOIN {d.series('-2', '2', 'o')} s)"""
 
 
-#: Fixed value: candidates of a language and length in the pool of the null model.
-POOL = 500
-
-
 def _matched(d, cap: int | None = None) -> str:
     """_sides and tk (the five nearest candidates of each language for each query, rk; distances normalised by the longer one) and be
     (the nearest). Here they are a kept table, which the operator `nearest` makes."""
@@ -153,37 +154,42 @@ def p5_analytical_pvalue(d) -> str:
     return f"WITH {_pools(d)} SELECT q, lang, {d.r6('ned')} AS ned, pool, {d.r6(_analytical(d, 'ned', 'qlen', 'pool'))} AS p FROM ap"
 
 
-def _null(d, samples: int = 40, fixed: bool = False) -> str:
-    """CTE nu: for random class strings (their signs drawn by hash) of five or six signs the nearest of a language's pool
-    (POOL candidates of each length).
-    fixed: with the first sign set to each class in turn."""
-    sign = f"substr('{ALPHABET}', CAST({d.hash32("'null|' || CAST(l.len AS VARCHAR(9)) || '|' || CAST(r.r AS VARCHAR(9)) || '|' || CAST(p.p AS VARCHAR(9))")} % 12 + 1 AS INT), 1)"
-    if fixed:
-        sign = f"CASE WHEN p.p = 1 THEN f.c ELSE {sign} END"
-    extra, cols, keys = (" CROSS JOIN fx f", "f.c AS fixed, ", "len, r, fixed") if fixed else ("", "", "len, r")
-    classes = f"fx AS (SELECT substr('{ALPHABET}', CAST(i AS INT), 1) AS c FROM {d.series('1', '12', 'i')} s), " if fixed else ""
-    glue = "array_join(transform(array_sort(collect_list(struct(p, s))), x -> x.s), '')" if d.name == "spark" else "string_agg(s, '' ORDER BY p)"
-    out = "fixed, " if fixed else ""
-    return _coded(d) + f""", np AS (SELECT lang, sca, len FROM (SELECT lang, sca, len, row_number() OVER (PARTITION BY lang, len ORDER BY md5(sca), sca) AS rk FROM (SELECT DISTINCT lang, sca, len FROM sc WHERE len >= 3 AND len <= 8)) WHERE rk <= {POOL}),
-{classes}ch AS (SELECT l.len, r.r, {cols}p.p, {sign} AS s FROM {d.series('5', '6', 'len')} l CROSS JOIN {d.series('1', str(samples), 'r')} r CROSS JOIN {d.series('1', '6', 'p')} p{extra} WHERE p.p <= l.len),
-rs AS (SELECT {keys}, {glue} AS sca FROM ch GROUP BY {keys}),
-nu AS (SELECT np.lang, rs.len, rs.r, {out}min(CAST(levenshtein(rs.sca, np.sca) AS DOUBLE) / greatest(rs.len, np.len)) AS ned FROM rs JOIN np ON np.len >= rs.len - 2 AND np.len <= rs.len + 2 GROUP BY np.lang, rs.len, rs.r{', fixed' if fixed else ''})"""
+def _null(d, fixed: bool = False) -> str:
+    """CTE nu (nf with fixed): for random class strings (their signs drawn by hash) as long as any query the nearest of a language's pool
+    (POOL candidates of each length). fixed: with the first sign set to each class in turn. Here they are kept tables."""
+    name = "nf" if fixed else "nu"
+    if d.name == "spark":
+        return f"{name} AS (SELECT lang, len, r, fixed, ned FROM {'fixed_' if fixed else ''}null_table)"
+    sign = f"substr('{ALPHABET}', CAST({d.hash32("'null|' || CAST(l.len AS VARCHAR(9)) || '|' || CAST(r.r AS VARCHAR(9)) || '|' || CAST(p AS VARCHAR(9))")} % 12 + 1 AS INT), 1)"
+    first = f"(SELECT unnest(string_split('{ALPHABET}', '')) AS fixed)" if fixed else "(SELECT NULL AS fixed)"
+    return f"""{name}s AS (SELECT len, r, fixed, string_agg(CASE WHEN p = 1 AND fixed IS NOT NULL THEN fixed ELSE s END, '' ORDER BY p) AS sca FROM (SELECT l.len, r.r, f.fixed, p, {sign} AS s FROM (SELECT DISTINCT len FROM qy) l CROSS JOIN {d.series('1', str(FIXED_SAMPLES if fixed else SAMPLES), 'r')} r CROSS JOIN {first} f {d.each_of('1', 'l.len', 'p')}) GROUP BY len, r, fixed),
+{name} AS (SELECT lang, len, r, fixed, ned FROM (SELECT lx.lang, x.sca, min(CAST(levenshtein(x.sca, lx.sca) AS DOUBLE) / greatest(x.len, lx.len)) AS ned FROM (SELECT DISTINCT sca, len, len + s.o AS b FROM {name}s CROSS JOIN {d.series('-2', '2', 'o')} s) x JOIN lx ON lx.len = x.b GROUP BY lx.lang, x.sca) JOIN {name}s USING (sca))"""
+
+
+def _tested(d, fixed: bool = False) -> str:
+    """CTEs qy, lx, ob (every query's nearest of each pool), the null's, and nd: how many of them are at most so far off, of how many."""
+    if d.name == "spark":
+        head = "ob AS (SELECT q, CAST(length(q) AS BIGINT) AS len, lang, ned FROM pool_match_table WHERE rk = 1)"
+    else:
+        head = f"{_matched(d, POOL)}, ob AS (SELECT q, qlen AS len, lang, ned FROM be)"
+    table = "nf" if fixed else "nu"
+    return f"""{head}, {_null(d, fixed)},
+nd AS (SELECT lang, len, fixed, ned, CAST(sum(k) OVER (PARTITION BY lang, len, fixed ORDER BY ned) AS BIGINT) AS at_most, CAST(sum(k) OVER (PARTITION BY lang, len, fixed) AS BIGINT) AS draws FROM (SELECT lang, len, fixed, round(ned, 9) AS ned, count(*) AS k FROM {table} GROUP BY lang, len, fixed, round(ned, 9)) g)"""
+
+
+def _share(at: str, null: str = "nd") -> str:
+    """(null distances at or under the observed one, plus 1) / (all plus 1), over the rows that `at` joins with the null's values."""
+    return f"CAST(coalesce(max(CASE WHEN {null}.ned <= {at} + 0.000000001 THEN {null}.at_most END), 0) + 1 AS DOUBLE) / (max({null}.draws) + 1)"
 
 
 @relational
 def p5_mc_null(d) -> str:
     """The null distribution as values with cumulative counts."""
-    return f"WITH {_null(d)}, g AS (SELECT lang, len, round(ned, 6) AS ned, count(*) AS k FROM nu GROUP BY lang, len, round(ned, 6)) SELECT lang, len, ned, CAST(sum(k) OVER (PARTITION BY lang, len ORDER BY ned) AS BIGINT) AS at_most FROM g"
-
-
-def _observed(d) -> str:
-    """CTE ob: for every English class string of five or six signs the nearest of each pool; distances as the null model has them."""
-    return f"""oq AS (SELECT DISTINCT sca, len FROM sc WHERE lang = 'en' AND len >= 5 AND len <= 6), ow AS (SELECT oq.sca, oq.len, oq.len + s.o AS b FROM oq CROSS JOIN {d.series('-2', '2', 'o')} s),
-ob AS (SELECT ow.sca AS q, ow.len, np.lang, min(CAST(levenshtein(ow.sca, np.sca) AS DOUBLE) / greatest(ow.len, np.len)) AS ned FROM ow JOIN np ON np.len = ow.b GROUP BY ow.sca, ow.len, np.lang)"""
+    return f"WITH {_tested(d)} SELECT lang, len, {d.r6('ned')} AS ned, at_most FROM nd"
 
 
 def _mc_p(d) -> str:
-    return _null(d) + f""", {_observed(d)}, mp AS (SELECT ob.q, ob.lang, max(ob.ned) AS ned, CAST(count(*) FILTER (WHERE nu.ned <= ob.ned + 0.000000000001) + 1 AS DOUBLE) / (count(*) + 1) AS p FROM ob JOIN nu ON nu.lang = ob.lang AND nu.len = ob.len GROUP BY ob.q, ob.lang)"""
+    return _tested(d) + f", mp AS (SELECT ob.q, ob.lang, max(ob.ned) AS ned, {_share('ob.ned')} AS p FROM ob JOIN nd ON nd.lang = ob.lang AND nd.len = ob.len GROUP BY ob.q, ob.lang)"
 
 
 @relational
@@ -193,7 +199,10 @@ def p5_mc_pvalue(d) -> str:
 
 
 def _fdr(d) -> str:
-    return _mc_p(d) + f""", rr AS (SELECT *, row_number() OVER (ORDER BY p, q, lang) AS rk, count(*) OVER () AS m FROM mp), qv AS (SELECT q, lang, p, least({d.number(1)}, min(p * m / rk) OVER (ORDER BY p DESC, q DESC, lang DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS qv FROM rr)"""
+    """CTE qv. Comparisons of one p share a q-value, that of the last of them; there are no more values of p than draws, so the windows
+    without a key hold those, not the comparisons."""
+    return _mc_p(d) + f""", pk AS (SELECT p, count(*) AS k FROM mp GROUP BY p), pr AS (SELECT p, sum(k) OVER (ORDER BY p) AS rk, sum(k) OVER () AS m FROM pk),
+pq AS (SELECT p, least({d.number(1)}, min(p * m / rk) OVER (ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS qv FROM pr), qv AS (SELECT mp.q, mp.lang, mp.p, pq.qv FROM mp JOIN pq ON pq.p = mp.p)"""
 
 
 @relational
@@ -205,16 +214,17 @@ def p5_bh_fdr(d) -> str:
 @relational
 def p5_class_conditional(d) -> str:
     """p against the null whose first sign has the query's class."""
-    return f"""WITH {_null(d, 25, True)}, {_observed(d)}
-SELECT ob.q, ob.lang, substr(ob.q, 1, 1) AS fixed, {d.r6('max(ob.ned)')} AS ned, {d.r6('CAST(count(*) FILTER (WHERE nu.ned <= ob.ned + 0.000000000001) + 1 AS DOUBLE) / (count(*) + 1)')} AS p FROM ob JOIN nu ON nu.lang = ob.lang AND nu.len = ob.len AND nu.fixed = substr(ob.q, 1, 1) GROUP BY ob.q, ob.lang, substr(ob.q, 1, 1)"""
+    return f"""WITH {_tested(d, True)}
+SELECT ob.q, ob.lang, substr(ob.q, 1, 1) AS fixed, {d.r6('max(ob.ned)')} AS ned, {d.r6(_share('ob.ned'))} AS p FROM ob JOIN nd ON nd.lang = ob.lang AND nd.len = ob.len AND nd.fixed = substr(ob.q, 1, 1) GROUP BY ob.q, ob.lang, substr(ob.q, 1, 1)"""
 
 
 def _hypotheses(d) -> str:
-    """CTE hy: frequent words with the letters w and y taken as unknown: every combination of their candidate readings."""
-    return d.word_occ() + f""", uk AS (SELECT word, freq FROM (SELECT word, freq, row_number() OVER (ORDER BY freq DESC, word) AS rk FROM uw WHERE lang = 'en' AND n >= 4 AND {d.matches('^[a-z]+$', 'word')} AND {d.matches('[wy]', 'word')}) WHERE rk <= 40),
-rw AS (SELECT * FROM (VALUES ('w', 'v'), ('w', 'u'), ('w', 'b')) v(s, r)), ry AS (SELECT * FROM (VALUES ('y', 'i'), ('y', 'j')) v(s, r)),
-h1 AS (SELECT uk.word, coalesce(rw.r, '-') AS w_as, CASE WHEN rw.r IS NULL THEN uk.word ELSE replace(uk.word, 'w', rw.r) END AS x FROM uk LEFT JOIN rw ON {d.matches('w', 'uk.word')}),
-hy AS (SELECT h1.word, w_as, coalesce(ry.r, '-') AS y_as, CASE WHEN ry.r IS NULL THEN x ELSE replace(x, 'y', ry.r) END AS reading FROM h1 LEFT JOIN ry ON {d.matches('y', 'h1.word')})"""
+    """CTE hy: words with the letters w and y taken as unknown: every combination of their candidate readings."""
+    values = {s: ", ".join(f"('{s}', '{x}')" for x in r) for s, r in READINGS.items()}
+    return d.word_occ() + f""", uk AS (SELECT word, freq FROM uw WHERE lang = 'en' AND n >= 4 AND {d.matches('^[a-z]+$', 'word')} AND {d.matches('[wy]', 'word')}),
+rw AS (SELECT * FROM (VALUES {values['w']}) v(s, r)), ry AS (SELECT * FROM (VALUES {values['y']}) v(s, r)),
+h1 AS (SELECT uk.word, coalesce(rw.r, '-') AS w_as, CASE WHEN rw.r IS NULL THEN uk.word ELSE replace(uk.word, 'w', rw.r) END AS x FROM uk LEFT JOIN rw ON rw.s = CASE WHEN contains(uk.word, 'w') THEN 'w' END),
+hy AS (SELECT h1.word, w_as, coalesce(ry.r, '-') AS y_as, CASE WHEN ry.r IS NULL THEN x ELSE replace(x, 'y', ry.r) END AS reading FROM h1 LEFT JOIN ry ON ry.s = CASE WHEN contains(h1.word, 'y') THEN 'y' END)"""
 
 
 @relational
@@ -223,13 +233,45 @@ def p5_hypotheses(d) -> str:
 
 
 def _read(d) -> str:
-    """CTE hb: each hypothesis' nearest candidate and its analytical p."""
-    return _hypotheses(d) + f""", lc AS (SELECT DISTINCT lang, {_sca('word')} AS sca, n AS len FROM uw WHERE lang <> 'en' AND n >= 3 AND n <= 9 AND {d.matches('^[a-z]+$', 'word')}),
-hs AS (SELECT hy.*, {_sca('reading')} AS sca, CAST(length(reading) AS BIGINT) AS len FROM hy), hw AS (SELECT hs.*, hs.len + s.o AS b FROM hs CROSS JOIN {d.series('-2', '2', 'o')} s),
-hb AS (SELECT hs.word, hs.w_as, hs.y_as, hs.reading, lc.lang, max(hs.len) AS len, count(*) AS pool, min(CAST(levenshtein(hs.sca, lc.sca) AS DOUBLE) / greatest(hs.len, lc.len)) AS ned FROM hw hs JOIN lc ON lc.len = hs.b GROUP BY hs.word, hs.w_as, hs.y_as, hs.reading, lc.lang),
+    """CTE hp: each hypothesis' nearest candidate within two signs of its length (here from a kept table), how many there are, and its
+    analytical p."""
+    if d.name == "spark":
+        near = "SELECT q AS sca, lang, ned FROM reading_table"
+    else:
+        near = f"SELECT hw.sca, lc.lang, min(CAST(levenshtein(hw.sca, lc.sca) AS DOUBLE) / greatest(hw.len, lc.len)) AS ned FROM (SELECT DISTINCT sca, len, len + s.o AS b FROM hs CROSS JOIN {d.series('-2', '2', 'o')} s) hw JOIN lc ON lc.len = hw.b GROUP BY hw.sca, lc.lang"
+    return _hypotheses(d) + f""", lc AS (SELECT DISTINCT lang, {_sca('word')} AS sca, n AS len FROM uw WHERE lang <> 'en' AND {d.matches('^[a-z]+$', 'word')}),
+hs AS (SELECT hy.*, {_sca('reading')} AS sca, CAST(length(reading) AS BIGINT) AS len FROM hy), ls AS (SELECT lang, len, count(*) AS k FROM lc GROUP BY lang, len),
+lp AS (SELECT h.len, ls.lang, CAST(sum(ls.k) AS BIGINT) AS pool FROM (SELECT DISTINCT len, len + s.o AS b FROM hs CROSS JOIN {d.series('-2', '2', 'o')} s) h JOIN ls ON ls.len = h.b GROUP BY h.len, ls.lang), hn AS ({near}),
+hb AS (SELECT hs.word, hs.w_as, hs.y_as, hs.reading, hn.lang, hs.len, lp.pool, hn.ned FROM hs JOIN hn ON hn.sca = hs.sca JOIN lp ON lp.len = hs.len AND lp.lang = hn.lang),
 hp AS (SELECT *, round({_analytical(d, 'ned', 'len', 'pool')}, 9) AS p FROM hb)"""
 
 
+@relational
+def p5_bias_corrections(d) -> str:
+    """Each reading's analytical p beside three corrections of it.
+
+    class_conditional: p from the null whose first sign has the class of the word's first unknown sign's reading. freq_norm: p times, for
+    each unknown sign, the rate of its reading's class over the mean rate of consonants; a class's rate is one over its mean null distance
+    (at least 0.01), a vowel's is 1. grid_prior: p times, for each unknown sign in a column of the grid with known signs, the uniform
+    share of a class over the prior of its reading's class, the known signs of that column counted with one added to each class."""
+    read = lambda c: f"CASE WHEN {c} <> '-' THEN {_sca(c)} END"
+    one, uniform = d.number(1), f"({d.number(1)} / {len(ALPHABET)})"
+    null = f"{_sides(d, POOL)[len(_coded(d)):].lstrip(', ')}, " if d.name == "duck" else ""
+    coded = _coded(d)[len(d.word_occ()) :].lstrip(", ") + ", " if d.name == "duck" else ""
+    norm = lambda s: f"coalesce(r{s}.rate / mr.m, {one})"
+    prior = lambda s: f"CASE WHEN t{s}.t IS NULL OR c{s} IS NULL THEN {one} ELSE {uniform} / ((coalesce(k{s}.n, 0) + {one}) / (t{s}.t + {len(ALPHABET)})) END"
+    joins = " ".join(f"LEFT JOIN fr r{s} ON r{s}.lang = hc.lang AND r{s}.len = hc.len AND r{s}.fixed = hc.c{s} LEFT JOIN kt t{s} ON t{s}.sign = '{s}' LEFT JOIN kn k{s} ON k{s}.sign = '{s}' AND k{s}.cls = hc.c{s}" for s in READINGS)
+    return f"""WITH {_read(d)}, {coded}{null}{_null(d, True)},
+nd AS (SELECT lang, len, fixed, ned, sum(k) OVER (PARTITION BY lang, len, fixed ORDER BY ned) AS at_most, sum(k) OVER (PARTITION BY lang, len, fixed) AS draws FROM (SELECT lang, len, fixed, round(ned, 9) AS ned, count(*) AS k FROM nf GROUP BY lang, len, fixed, round(ned, 9)) g),
+fr AS (SELECT lang, len, fixed, CASE WHEN fixed = 'V' THEN {one} ELSE {one} / greatest(avg(ned), 0.01) END AS rate FROM nf GROUP BY lang, len, fixed), mr AS (SELECT lang, len, avg(rate) AS m FROM fr WHERE fixed <> 'V' GROUP BY lang, len),
+gc AS (SELECT sign, vowel_column FROM ({p1_vowel_columns(d)}) g WHERE lang = 'en' AND vowel_column >= 0 AND {d.matches('^[a-z]$', 'sign')}),
+kn AS (SELECT u.sign, {_sca('k.sign')} AS cls, count(*) AS n FROM gc u JOIN gc k ON k.vowel_column = u.vowel_column WHERE u.sign IN ('w', 'y') AND k.sign NOT IN ('w', 'y') GROUP BY u.sign, {_sca('k.sign')}), kt AS (SELECT sign, sum(n) AS t FROM kn GROUP BY sign),
+hc AS (SELECT *, {read('w_as')} AS cw, {read('y_as')} AS cy, CASE WHEN w_as = '-' OR y_as <> '-' AND instr(word, 'y') < instr(word, 'w') THEN {read('y_as')} ELSE {read('w_as')} END AS c1 FROM hp),
+cc AS (SELECT o.lang, o.len, o.c1, o.ned, {_share('o.ned')} AS p FROM (SELECT DISTINCT lang, len, c1, round(ned, 9) AS ned FROM hc) o JOIN nd ON nd.lang = o.lang AND nd.len = o.len AND nd.fixed = o.c1 GROUP BY o.lang, o.len, o.c1, o.ned)
+SELECT hc.word, hc.lang, hc.reading, {d.r6('hc.p')} AS p, {d.r6(f'coalesce(cc.p, {one})')} AS class_conditional, {d.r6(f'least({one}, hc.p * {norm("w")} * {norm("y")})')} AS freq_norm, {d.r6(f'least({one}, hc.p * {prior("w")} * {prior("y")})')} AS grid_prior
+FROM hc LEFT JOIN cc ON cc.lang = hc.lang AND cc.len = hc.len AND cc.c1 = hc.c1 AND cc.ned = round(hc.ned, 9) LEFT JOIN mr ON mr.lang = hc.lang AND mr.len = hc.len {joins}"""
+
+
 def _best(d) -> str:
     return _read(d) + f""", nb AS (SELECT *, count(*) OVER (PARTITION BY word, lang) AS readings, row_number() OVER (PARTITION BY word, lang ORDER BY p, reading) AS rk FROM hp),
 sl AS (SELECT word, lang, reading, w_as, y_as, readings, p, least({d.number(1)}, p * readings) AS adjusted FROM nb WHERE rk = 1)"""
@@ -251,8 +293,8 @@ SELECT lang, sign, r AS reading, k AS votes, CAST(t AS BIGINT) AS total, CASE WH
 
 
 def _chains(d) -> str:
-    """CTE ch: words of three letters or more under the shortest word that begins them (their root)."""
-    return d.word_occ() + f""", cw AS (SELECT lang, word, n, freq FROM uw WHERE n >= 3 AND n <= 14 AND freq >= 2), pf AS (SELECT cw.lang, cw.word, cw.n, cw.freq, s.l, substr(cw.word, 1, CAST(s.l AS INT)) AS prefix FROM cw JOIN {d.series('3', '14', 'l')} s ON s.l <= cw.n),
+    """CTE ch: all words of three letters or more under the shortest of them that begins them (their root)."""
+    return d.word_occ() + f""", cw AS (SELECT lang, word, n, freq FROM uw WHERE n >= 3), pf AS (SELECT lang, word, n, freq, l, substr(word, 1, CAST(l AS INT)) AS prefix FROM cw {d.each_of('CAST(3 AS BIGINT)', 'cw.n', 'l')}),
 rt AS (SELECT pf.lang, pf.word, pf.n, pf.freq, min(pf.l) AS l FROM pf JOIN cw r ON r.lang = pf.lang AND r.word = pf.prefix GROUP BY pf.lang, pf.word, pf.n, pf.freq), ch AS (SELECT lang, substr(word, 1, CAST(l AS INT)) AS root, word, n, freq FROM rt)"""
 
 
@@ -340,9 +382,10 @@ SELECT count(*) AS steps, count(*) FILTER (WHERE nxt > m) = 0 AS falling, {d.r6(
 
 @relational
 def p5_mann_whitney(d) -> str:
-    """Distances of two languages: rank-sum U (ties share ranks), normal z without corrections, its band."""
-    return f"""WITH {_matched(d)}, xy AS (SELECT lang, round(ned, 9) AS v FROM be WHERE lang IN ('de', 'fr')), rk AS (SELECT lang, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / {d.number(2)} AS r FROM xy),
-ag AS (SELECT CAST(count(*) FILTER (WHERE lang = 'de') AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE lang = 'fr') AS DOUBLE) AS n2, sum(r) FILTER (WHERE lang = 'de') AS r1 FROM rk), uu AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u FROM ag), zz AS (SELECT *, (u - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12) AS z FROM uu)
+    """Distances of two languages: rank-sum U (ties share ranks), normal z without corrections, its band. Ranks
+    come from the counts of equal distances, which are few."""
+    return f"""WITH {_matched(d)}, xy AS (SELECT round(ned, 9) AS v, CAST(count(*) FILTER (WHERE lang = 'de') AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE lang = 'fr') AS DOUBLE) AS b FROM be WHERE lang IN ('de', 'fr') GROUP BY round(ned, 9)),
+rk AS (SELECT a, b, sum(a + b) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) - (a + b - 1) / 2 AS r FROM xy), ag AS (SELECT sum(a) AS n1, sum(b) AS n2, sum(r * a) AS r1 FROM rk), uu AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u FROM ag), zz AS (SELECT *, (u - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12) AS z FROM uu)
 SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, {d.r6('u')} AS u, {d.r6('z')} AS z, CASE WHEN abs(z) >= 2.576 THEN 'p < 0.01' WHEN abs(z) >= 1.96 THEN 'p < 0.05' ELSE 'n.s.' END AS band FROM zz"""
 
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import bootstrap
+from tessera.operators.agreement import bridge
 from tessera.operators.clustering import rand_index
 from tessera.plans import registry, validation
 from tessera.plans.vocabulary import CLASSES, LETTERS
@@ -121,3 +122,22 @@ def test_gates_tell_planted_pairs_from_permuted_ones(spark, tmp_path):
     assert queries.where("gate = 'recovery' AND ned > 0").count() == 0
     assert queries.where("gate = 'permuted'").where(F.sort_array(F.split("q", "")) != F.sort_array(F.split("expected", ""))).count() == 0
     assert all(a <= b for a, b in pairwise(r.q_value for r in queries.where("gate = 'recovery' AND lang = 'de'").orderBy("p", "q_value").collect()))
+
+
+def test_bridge_and_its_conflicts(spark):
+    """Codes of two known readings take the later one's value; without a known reading, a code, a reading or a value there is no row."""
+    inventory = spark.createDataFrame([("a", ["A1", "A2", "A1", None]), ("b", ["A2"]), ("c", ["A3"]), (None, ["A4"]), ("d", None), ("e", ["A2", "A5"])], "reading string, codes array<string>")
+    anchors = spark.createDataFrame([("a", "x", 1), ("b", "y", 3), ("e", "y", 3), ("d", "z", 9), ("c", None, 4), (None, "q", 5)], "reading string, value string, nth int")
+    got = {r.code: (r.value, r.reading, r.readings, r.contested) for r in bridge(inventory, anchors).collect()}
+    assert got == {"A1": ("x", "a", 1, False), "A2": ("y", "e", 3, True), "A5": ("y", "e", 1, False)}
+    assert bridge(inventory.limit(0), anchors).count() == 0 == bridge(inventory, anchors.limit(0)).count()
+
+
+def test_override_keeps_statistics(spark):
+    rows = {(r.lang, r.sign): r for r in registry.queries()["p1_vowel_override"](spark, DIR).collect()}
+    tested = {(r.lang, r.sign): r for r in registry.queries()["p1_vowel_enrichment"](spark, DIR).collect()}
+    assert {x for _, x in rows} == set(validation.VOWELS) and len(rows) == len(validation.VOWELS) * len({lang for lang, _ in rows})
+    for key, r in rows.items():
+        t = tested.get(key)
+        assert r.tested == (t is not None) and (r.total, r.detected) == ((t.total, t.is_vowel) if t else (max(r.total, 1), False))
+        assert r.confidence == pytest.approx(min(1, t.enrichment / 3) if t else 0.5, abs=1e-6)
