@@ -117,19 +117,25 @@ def test_observed_words_and_readings_meet_all_candidates(spark):
             pools[lang, n] = of[:500]
     asked = sorted(t for x, t in sca if x == "en" and len(t) >= 4)
     got = {(r.q, r.lang): r.ned for r in q["p5_mc_pvalue"](spark, DIR).collect()}
-    near = lambda t, texts: min(round(d / max(len(t), len(texts[i])), 6) for i, d in nearest_of([t], texts, 1)[0])
-    for t in asked[::40]:
-        for lang in {x for x, _ in pools}:
-            texts = sorted(x for n in range(len(t) - 2, len(t) + 3) for x in pools.get((lang, n), []))
-            assert got.get((t, lang)) == (near(t, texts) if texts and lang != "en" else None)
     lexicon = {(r.lang, r.sca) for r in words if r.lang != "en"}
-    hits = {}
     code = str.maketrans(LETTERS, CLASSES)
-    for h in q["p5_hypotheses"](spark, DIR).collect():
-        t = h.reading.translate(code)
+    readings = [(h, h.reading.translate(code)) for h in q["p5_hypotheses"](spark, DIR).collect()]
+
+    def near(asked, texts):
+        return {t: round(d / max(len(t), len(texts[i])), 6) for t, ((i, d),) in zip(asked, nearest_of(asked, texts, 1), strict=True)} if texts else {}
+
+    best = {}
+    for lang in ("de", "es", "fr"):
+        for n in range(4, 30):
+            own = [t for t in asked if len(t) == n]
+            want = near(own, sorted(x for m in range(n - 2, n + 3) for x in pools.get((lang, m), [])))
+            assert {t: got[t, lang] for t in own if (t, lang) in got} == want
+            own = sorted({t for _, t in readings if len(t) == n})
+            best[lang, n] = near(own, sorted(x for k, x in lexicon if k == lang and abs(len(x) - n) <= 2))
+    hits = {}
+    for h, t in readings:
         for lang in ("de", "es", "fr"):
-            texts = sorted(x for k, x in lexicon if k == lang and abs(len(x) - len(t)) <= 2)
-            if texts and near(t, texts) <= 0.4:
+            if best[lang, len(t)].get(t, 1) <= 0.4:
                 for sign, r in (("w", h.w_as), ("y", h.y_as)):
                     if r != "-":
                         hits[sign, r] = hits.get((sign, r), 0) + 1
