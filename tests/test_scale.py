@@ -1,8 +1,8 @@
 """Shapes of plans and steps that decide how work grows with the tables."""
 
 import contextlib
+import hashlib
 import io
-import itertools
 import random
 
 from tessera.operators import similarity as M
@@ -31,3 +31,25 @@ def test_fisher_tails_make_no_row_a_term(spark):
     with contextlib.redirect_stdout(io.StringIO()) as out:
         text("simple")
     assert "Generate explode(sequence" not in out.getvalue() and "near_table" not in registry.oracle_sql()["p4_fisher"]
+
+
+def test_contract_hash_is_that_of_all_documents_in_order(spark, tmp_path):
+    """Each document's whole hash counts; before, eight digits of it were summed."""
+    rows = [(10, "b", "en"), (9, "a", "en"), (None, "c", "en"), (11, None, "en"), (1, "d", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    found = {r.lang: (r.documents, r.corpus_hash) for r in registry.queries()["sn_contract_metadata"](spark, str(tmp_path)).collect()}
+    assert found == {"en": (4, md5("".join(map(md5, "ab")) + md5("") + md5("c"))), "de": (1, md5(md5("d")))}
+
+
+def test_nearest_of_all_lengths_and_blocks(monkeypatch):
+    """Bit vectors are as short as their texts; before, texts of all lengths shared the longest's."""
+    monkeypatch.setattr(M, "_BLOCK", 7)
+    draw = random.Random(3)
+    word = lambda most: "".join(draw.choice("abV") for _ in range(draw.randint(1, most)))
+    texts = sorted({word(n) for n in (4, 9, 16, 17, 33, 70) for _ in range(12)})
+    assert {len(v.dtype.name) and v.dtype.name for _, v in M._distances_of(["ab"], ["abV"], 3)} == {"int16"}
+    for q in (word(n) for n in (1, 5, 16, 18, 40)):
+        want = sorted((M._distance(q, t) / max(len(q), len(t)), i) for i, t in enumerate(texts))[:5]
+        assert [i for i, _ in M.nearest_of([q], texts)[0]] == [i for _, i in want]
+        assert M.nearest_of([q], texts[:2], 5)[0] and all(d == M._distance(q, texts[i]) for i, d in M.nearest_of([q], texts)[0])
