@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import about, stored
 
 _TOKEN = re.compile(r"[^\W\d_]+")
+#: Words whose scores a task remembers, and counts of tokens that it holds before it hands them on.
+_REMEMBERED, _COUNTED = 200_000, 300_000
 
 
 @dataclass(frozen=True)
@@ -47,7 +49,7 @@ class Fit:
 class _Known(dict):
     """Scores of words as they stand between white space: of their tokens the one farthest from 0. Remembers a bounded number."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = _REMEMBERED):
         super().__init__()
         self.model, self.most = model, most
 
@@ -253,12 +255,20 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit | None = None) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [Counter() for _ in each]
+
+        def rows_out() -> pa.RecordBatch:
+            tokens = list(set().union(*seen))
+            return pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), *(pa.array([s[t] for t in tokens], pa.int64()) for s in seen)], names=["token", *each])
+
         for batch in batches:
             for text, label, part in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), batch["part"].to_pylist(), strict=True):
                 tokens = set(_TOKEN.findall((text or "").lower()))
                 seen[2 * part + 1 - label].update(tokens | {t[:n] + "*" for n in fit.stems for t in tokens if len(t) > n})
-        tokens = list(set().union(*seen))
-        yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), *(pa.array([s[t] for t in tokens], pa.int64()) for s in seen)], names=["token", *each])
+                if sum(map(len, seen)) > _COUNTED:
+                    yield rows_out()
+                    for s in seen:
+                        s.clear()
+        yield rows_out()
 
     each = [f"{c}{part}" for part in range(fit.parts) for c in "ab"]
     counts = stored(sample.mapInArrow(count, f"token string, {', '.join(f'{c} long' for c in each)}").groupBy("token").agg(*(F.sum(c).alias(c) for c in each)), "toxicity-tokens")
@@ -270,6 +280,8 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit | None = None) -> Model:
         """Label and features of every text by the model of the other parts."""
 
         def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for m in models:
+                m.known.most = _REMEMBERED // len(models)  # a task holds them all
             for batch in batches:
                 got = [(y, *models[part].features(t)) for t, y, part in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), batch["part"].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([float(g[k]) for g in got], pa.float64()) for k in range(3)], names=["y", "best", "total"])

@@ -95,3 +95,19 @@ def test_cut():
     assert toxicity._cut(np.array([0.01] * 200 + [0.9] * 4), y, 0.005) == 0.5
     assert toxicity._cut(np.array([0.01] * 199 + [0.3] + [0.2, 0.4, 0.6, 0.9]), y, 0.005) == 0.01
     assert toxicity._cut(np.array([0.01] * 190 + [0.3] * 10 + [0.2, 0.4, 0.6, 0.9]), y, 0.005) == 0.3
+
+
+def test_counts_go_on_before_a_task_holds_all(spark, monkeypatch):
+    """The same model, whether a task hands its counts on at once or at its end; before, it held all of them."""
+    import random
+
+    from tessera.llm import toxicity
+
+    draw = random.Random(5)
+    some = lambda: " ".join("".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(30))
+    docs = spark.createDataFrame([(i, f"{some()} {'venomous slur' if i % 3 == 0 else 'kind note'}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    whole = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "_COUNTED", 10)
+    parts = toxicity.train(docs, labels)
+    assert whole.odds == parts.odds and whole.odds and whole.cut == parts.cut
