@@ -25,8 +25,9 @@ def scan(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     bare = F.ltrim("json").startswith("[")
     whole = F.from_json("json", f"struct<sign_inventory: {INVENTORY}, inscriptions: array<{INSCRIPTION}>, _bad: string>", {"columnNameOfCorruptRecord": "_bad"})
     alone = F.from_json("json", f"array<{INSCRIPTION}>")
-    corrupt = F.when(bare, alone.isNull()).otherwise(whole.isNull() | whole["_bad"].isNotNull())
-    found = text.select("path", F.sha2("json", 256).alias("corpus_hash"), F.when(~bare, whole["sign_inventory"]).alias("inventory"), F.when(bare, alone).otherwise(whole["inscriptions"]).alias("inscriptions"), F.coalesce(corrupt, F.lit(True)).alias("corrupt"))
+    read = text.select("path", "json", bare.alias("bare"), F.when(~bare, whole).alias("whole"), F.when(bare, alone).alias("alone"))  # a line is parsed once
+    corrupt = F.when(F.col("bare"), F.col("alone").isNull()).otherwise(F.col("whole").isNull() | F.col("whole._bad").isNotNull())
+    found = read.select("path", F.sha2("json", 256).alias("corpus_hash"), F.col("whole.sign_inventory").alias("inventory"), F.coalesce("alone", "whole.inscriptions").alias("inscriptions"), F.coalesce(corrupt, F.lit(True)).alias("corrupt"))
     return found.withColumn("inscriptions", F.when(~F.col("corrupt"), F.col("inscriptions")))
 
 
@@ -86,16 +87,15 @@ def bigrams(words_: DataFrame) -> DataFrame:
 
 def grammar_words(corpus: DataFrame, is_numeral: Column | None = None) -> DataFrame:
     """The view for grammar: words with any sign that is not damage, numbered anew; whether a word of numerals follows; words a text."""
-    from pyspark.sql import Window
-
-    rows = _inscriptions(corpus).select("insc_id", "insc_type", "site", F.posexplode("words").alias("at", "w"))
-    signs = F.filter(F.transform(F.split(F.coalesce("w.ab_codes", F.lit("")), "-"), F.trim), lambda s: s != "")
-    rows = rows.withColumn("signs", signs).where(F.exists("signs", lambda s: ~(s.isin("?", "[?]") | s.startswith("["))))
-    w = Window.partitionBy("insc_id").orderBy("at")
-    numerals = lambda xs: F.size(xs) > 0, F.forall
-    following = F.lead("signs").over(w)
-    after = F.coalesce((F.size(following) > 0) & numerals[1](following, lambda s: s.startswith("N") | s.rlike("^A7")), F.lit(False))
-    return rows.select("insc_id", "insc_type", "site", "signs", (F.row_number().over(w) - 1).alias("position"), F.count("*").over(Window.partitionBy("insc_id")).alias("n_words"), after.alias("has_numeral_after"))
+    codes = lambda w: F.filter(F.transform(F.split(F.coalesce(w["ab_codes"], F.lit("")), "-"), F.trim), lambda s: s != "")
+    legible = lambda signs: F.exists(signs, lambda s: ~(s.isin("?", "[?]") | s.startswith("[")))
+    rows = _inscriptions(corpus).select("insc_id", "insc_type", "site", F.filter(F.transform("words", codes), legible).alias("signs"))
+    # an inscription's words stay one array, so none is dealt out to meet the next
+    both = F.arrays_zip("signs", F.slice("signs", 2, F.greatest(F.size("signs"), F.lit(1))).alias("following"))
+    rows = rows.select("insc_id", "insc_type", "site", F.size("signs").cast("long").alias("n_words"), F.posexplode(both).alias("position", "w"))
+    numerals = F.forall("w.following", lambda s: s.startswith("N") | s.rlike("^A7"))
+    after = F.coalesce((F.size("w.following") > 0) & numerals, F.lit(False))
+    return rows.select("insc_id", "insc_type", "site", F.col("w.signs").alias("signs"), "position", "n_words", after.alias("has_numeral_after"))
 
 
 def sign_stream(corpus: DataFrame) -> DataFrame:

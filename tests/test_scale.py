@@ -53,3 +53,17 @@ def test_nearest_of_all_lengths_and_blocks(monkeypatch):
         want = sorted((M._distance(q, t) / max(len(q), len(t)), i) for i, t in enumerate(texts))[:5]
         assert [i for i, _ in M.nearest_of([q], texts)[0]] == [i for _, i in want]
         assert M.nearest_of([q], texts[:2], 5)[0] and all(d == M._distance(q, texts[i]) for i, d in M.nearest_of([q], texts)[0])
+
+
+def test_corpus_files_stay_small_and_words_are_not_dealt_out(spark):
+    """Files were 26 times the text and more; words of an inscription met by a window over its number."""
+    from tessera.plans import scans
+    from tessera.sources import corpora
+
+    text = spark.read.parquet(f"{DIR}/documents.parquet").selectExpr("sum(octet_length(text))").first()[0]
+    for parts in (["inventory", "ab_codes", "sign_readings", "has_damage"], ["signs_sequence"], ["ab_codes"]):
+        path = scans._corpus_file(spark, DIR, *parts)
+        size = spark.read.format("binaryFile").load(path).selectExpr("sum(length)").first()[0]
+        assert 0 < size < 2.5 * text
+    words = corpora.grammar_words(corpora.scan(spark, path, lines=True))
+    assert "Exchange" not in plan_of(words) and words.count() > 0
