@@ -38,14 +38,35 @@ def _eligible() -> str:
     return f"tw AS (SELECT lang, word, freq AS k FROM wt WHERE freq >= {LEAST_FREQ})"
 
 
+def _profiles(d, of: str = "") -> str:
+    """PPMI profiles; of: a CTE with lang and word of the words that are profiled (else all eligible ones).
+
+    Here a document's pairs come from its own array. What a word and a context have in all follows from the words' counts, as does how often
+    they begin and end documents, so that of the pairs only the counts are dealt out."""
+    top = f"SELECT lang, word, c AS context, ppmi + {d.number(0)} AS ppmi FROM (SELECT *, row_number() OVER (PARTITION BY lang, word, substr(c, 1, 2) ORDER BY ppmi DESC, c) AS rk FROM v WHERE ppmi > 0) WHERE rk <= 20"
+    score = f"round(greatest({d.number(0)}, log2(j.n / al.n / (sw.n / st.n * cc.n / ct.n))), 6) AS ppmi"
+    if d.name == "duck":
+        return f"""WITH {d.word_occ()}, {_eligible()}, pr AS (SELECT lang, word, coalesce(lag(word) OVER (PARTITION BY doc_id, lang ORDER BY wpos), '<BOS>') AS l, coalesce(lead(word) OVER (PARTITION BY doc_id, lang ORDER BY wpos), '<EOS>') AS r FROM w WHERE nw >= 2),
+tr AS (SELECT lang, word, 'L:' || l AS c FROM pr UNION ALL SELECT lang, word, 'R:' || r AS c FROM pr), j AS (SELECT tr.lang, tr.word, tr.c, CAST(count(*) AS DOUBLE) AS n FROM tr JOIN tw ON tw.lang = tr.lang AND tw.word = tr.word GROUP BY tr.lang, tr.word, tr.c),
+al AS (SELECT lang, CAST(count(*) AS DOUBLE) AS n FROM tr GROUP BY lang), sw AS (SELECT lang, word, sum(n) AS n FROM j GROUP BY lang, word), st AS (SELECT lang, sum(n) AS n FROM sw GROUP BY lang), cc AS (SELECT lang, c, power(CAST(count(*) AS DOUBLE), 0.75) AS n FROM tr GROUP BY lang, c), ct AS (SELECT lang, sum(n) AS n FROM cc GROUP BY lang),
+v AS (SELECT j.lang, j.word, j.c, {score} FROM j JOIN al ON al.lang = j.lang JOIN sw ON sw.lang = j.lang AND sw.word = j.word JOIN st ON st.lang = j.lang JOIN cc ON cc.lang = j.lang AND cc.c = j.c JOIN ct ON ct.lang = j.lang)
+{top}"""
+    few, met = (f", {of}", "JOIN some ON some.lang = pr.lang AND some.word = pr.word") if of else ("", "")
+    return f"""WITH {d.word_occ()}, {_eligible()}{few}, ow AS (SELECT lang, word, k, heads, ends FROM place_table), dl AS (SELECT lang, sum(k) * 2D AS n, sum(heads) AS docs FROM ow GROUP BY lang),
+wd AS (SELECT lang, inline(arrays_zip(ws, concat(array('<BOS>'), slice(ws, 1, size(ws) - 1)), concat(slice(ws, 2, size(ws)), array('<EOS>')))) AS (word, l, r) FROM ({d.doc_words()}) WHERE size(ws) >= 2),
+pr AS (SELECT lang, word, explode(array('L:' || l, 'R:' || r)) AS c FROM wd),
+j AS (SELECT pr.lang, pr.word, pr.c, CAST(count(*) AS DOUBLE) AS n FROM pr {met} GROUP BY pr.lang, pr.word, pr.c),
+sw AS (SELECT ow.lang, ow.word, ow.k * 2D AS n FROM ow JOIN tw ON tw.lang = ow.lang AND tw.word = ow.word), st AS (SELECT lang, sum(n) AS n FROM sw GROUP BY lang),
+cc AS (SELECT lang, c, power(CAST(k AS DOUBLE), 0.75D) AS n FROM (SELECT lang, 'L:' || word AS c, k - ends AS k FROM ow UNION ALL SELECT lang, 'R:' || word, k - heads FROM ow UNION ALL SELECT lang, 'L:<BOS>', docs FROM dl UNION ALL SELECT lang, 'R:<EOS>', docs FROM dl) WHERE k > 0), ct AS (SELECT lang, sum(n) AS n FROM cc GROUP BY lang),
+la AS (SELECT dl.lang, dl.n AS al, st.n AS st, ct.n AS ct FROM dl JOIN st ON st.lang = dl.lang JOIN ct ON ct.lang = dl.lang), jc AS (SELECT j.lang, j.word, j.c, j.n, cc.n AS cn FROM j JOIN cc ON cc.lang = j.lang AND cc.c = j.c),
+v AS (SELECT /*+ BROADCAST(la) */ j.lang, j.word, j.c, {score.replace("al.n", "la.al").replace("st.n", "la.st").replace("ct.n", "la.ct").replace("cc.n", "j.cn")} FROM jc j JOIN sw ON sw.lang = j.lang AND sw.word = j.word JOIN la ON la.lang = j.lang)
+{top}"""
+
+
 @relational
 def p3_profile_ppmi(d) -> str:
     """PPMI of words seen twice or more with their neighbours: joint over all pairs, stems over eligible ones, contexts smoothed by 0.75."""
-    return f"""WITH {d.word_occ()}, {_eligible()}, pr AS (SELECT lang, word, coalesce(lag(word) OVER (PARTITION BY doc_id, lang ORDER BY wpos), '<BOS>') AS l, coalesce(lead(word) OVER (PARTITION BY doc_id, lang ORDER BY wpos), '<EOS>') AS r FROM w WHERE nw >= 2),
-tr AS (SELECT lang, word, 'L:' || l AS c FROM pr UNION ALL SELECT lang, word, 'R:' || r AS c FROM pr), j AS (SELECT tr.lang, tr.word, tr.c, CAST(count(*) AS DOUBLE) AS n FROM tr JOIN tw ON tw.lang = tr.lang AND tw.word = tr.word GROUP BY tr.lang, tr.word, tr.c),
-al AS (SELECT lang, CAST(count(*) AS DOUBLE) AS n FROM tr GROUP BY lang), sw AS (SELECT lang, word, sum(n) AS n FROM j GROUP BY lang, word), st AS (SELECT lang, sum(n) AS n FROM sw GROUP BY lang), cc AS (SELECT lang, c, power(CAST(count(*) AS DOUBLE), 0.75) AS n FROM tr GROUP BY lang, c), ct AS (SELECT lang, sum(n) AS n FROM cc GROUP BY lang),
-v AS (SELECT j.lang, j.word, j.c, round(greatest({d.number(0)}, log2(j.n / al.n / (sw.n / st.n * cc.n / ct.n))), 6) AS ppmi FROM j JOIN al ON al.lang = j.lang JOIN sw ON sw.lang = j.lang AND sw.word = j.word JOIN st ON st.lang = j.lang JOIN cc ON cc.lang = j.lang AND cc.c = j.c JOIN ct ON ct.lang = j.lang)
-SELECT lang, word, c AS context, ppmi + {d.number(0)} AS ppmi FROM (SELECT *, row_number() OVER (PARTITION BY lang, word, substr(c, 1, 2) ORDER BY ppmi DESC, c) AS rk FROM v WHERE ppmi > 0) WHERE rk <= 20"""
+    return _profiles(d)
 
 
 def _pairs(d) -> str:

@@ -15,6 +15,7 @@ from tessera.operators.agreement import agreement
 from tessera.plans import grammar, morphology, phonology, vocabulary
 from tessera.plans.dialect import SPARK
 from tessera.plans.registry import plan, run_sql
+from tessera.sources.scratch import stored
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +187,9 @@ def p3_word_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     15 axes), Ward linkage, the number of classes from 3 to 10 with the best silhouette. Each other word goes to the class whose mean is
     nearest on the same axes, the first among equals."""
     prof = run_sql(spark, sf_dir, grammar.p3_profile_ppmi(SPARK))
-    top = run_sql(spark, sf_dir, f"WITH {SPARK.word_occ()} SELECT lang, word FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY freq DESC, word) AS rk FROM wt) WHERE rk <= {LINKED}")
+    # the commonest words' own profiles are worked out apart, from their pairs alone, so that those of all words are made once
+    some = f"some AS (SELECT lang, word FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY freq DESC, word) AS rk FROM wt) WHERE rk <= {LINKED})"
+    linked = run_sql(spark, sf_dir, grammar._profiles(SPARK, some))
 
     def classes(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="word", columns="context", values="ppmi", fill_value=0.0).sort_index()
@@ -203,23 +206,15 @@ def p3_word_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
         means = [y[np.array(best[2]) == c].mean(0) + mean @ axes for c in sorted(set(best[2]))]  # of the plain profile on these axes
         return pd.DataFrame([(pdf["lang"].iloc[0], list(wide.index), best[2], best[0], list(wide.columns), axes.tolist(), [m.tolist() for m in means])], columns=["lang", "words", "labels", "silhouette", "contexts", "axes", "means"])
 
-    def assign(pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        names = ["lang", "word", "class", "silhouette"]
-        if not len(pdf) or not len(model):
-            return pd.DataFrame([], columns=names)
-        m = model.iloc[0]
-        linked, axes = dict(zip(m["words"], m["labels"], strict=True)), np.array([list(a) for a in m["axes"]])
-        words, row = np.unique(pdf["word"].to_numpy(str), return_inverse=True)
-        column = pd.Index(m["contexts"]).get_indexer(pdf["context"])
-        y, seen = np.zeros((len(words), axes.shape[1])), column >= 0
-        np.add.at(y, row[seen], pdf["ppmi"].to_numpy(float)[seen, None] * axes[column[seen]])
-        far = ((y[:, None] - np.array([list(a) for a in m["means"]])[None]) ** 2).sum(2).round(9)
-        order = sorted(set(m["labels"]))
-        return pd.DataFrame([(m["lang"], w, linked.get(w, order[c]), m["silhouette"]) for w, c in zip(words.tolist(), far.argmin(1).tolist(), strict=True)], columns=names)
-
-    model = prof.join(top, ["lang", "word"]).groupBy("lang").applyInPandas(classes, "lang string, words array<string>, labels array<long>, silhouette double, contexts array<string>, axes array<array<double>>, means array<array<double>>")
-    model = model.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
-    prof = prof.withColumn("part", F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(16)))
-    return prof.groupBy("lang", "part").cogroup(model.groupBy("lang", "part")).applyInPandas(assign, "lang string, word string, class long, silhouette double")
-
-
+    model = linked.groupBy("lang").applyInPandas(classes, "lang string, words array<string>, labels array<long>, silhouette double, contexts array<string>, axes array<array<double>>, means array<array<double>>")
+    model = stored(model, "word-classes")  # a row a language: at most LINKED words and their contexts
+    known = model.select("lang", F.explode(F.map_from_arrays("words", "labels")).alias("word", "label"))
+    axes = model.select("lang", F.explode(F.map_from_arrays("contexts", "axes")).alias("context", "axis"))
+    # contexts off the axes add nothing; profiles lie by word already, so they meet both without being dealt out again
+    met = prof.join(F.broadcast(axes), ["lang", "context"], "left")
+    at = met.groupBy("lang", "word").agg(*(F.coalesce(F.sum(F.col("ppmi") * F.get("axis", F.lit(i))), F.lit(0.0)).alias(f"y{i}") for i in range(15)))
+    means = model.select("lang", "means", "silhouette", F.array_sort(F.array_distinct("labels")).alias("order"))
+    far = F.transform("means", lambda m: F.round(sum((F.col(f"y{i}") - F.coalesce(F.get(m, F.lit(i)), F.lit(0.0))) ** 2 for i in range(15)), 9))
+    nearest = F.element_at("order", F.array_position(far, F.array_min(far)).cast("int"))
+    found = at.join(F.broadcast(means), "lang").join(F.broadcast(known), ["lang", "word"], "left")
+    return found.select("lang", "word", F.coalesce("label", nearest).alias("class"), "silhouette")

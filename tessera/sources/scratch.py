@@ -26,6 +26,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in a new folder: made once, however often it is read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_files(df: DataFrame, by: list[str], path: str, name: str) -> None:
     """A TSV file with a header, its lines sorted, for each value of `by`, at path/name with the columns' values put in. Nothing is quoted."""
     spark, columns, parts = df.sparkSession, [c for c in df.columns if c not in by], f"{path}-parts"

@@ -67,3 +67,9 @@ def test_corpus_files_stay_small_and_words_are_not_dealt_out(spark):
         assert 0 < size < 2.5 * text
     words = corpora.grammar_words(corpora.scan(spark, path, lines=True))
     assert "Exchange" not in plan_of(words) and words.count() > 0
+
+
+def test_profiles_deal_out_counts_not_words(spark):
+    """Each word met its neighbours by a window over its document before, once for each of four uses."""
+    plan = plan_of(registry.queries()["p3_profile_ppmi"](spark, DIR))
+    assert "lag(" not in plan and "lead(" not in plan
