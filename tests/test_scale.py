@@ -55,6 +55,29 @@ def test_nearest_of_all_lengths_and_blocks(monkeypatch):
         assert M.nearest_of([q], texts[:2], 5)[0] and all(d == M._distance(q, texts[i]) for i, d in M.nearest_of([q], texts)[0])
 
 
+def test_near_texts_are_found_without_comparing_all(monkeypatch):
+    """Every query met every text before, so work grew with the square of the vocabulary."""
+    draw, whole = random.Random(5), M._nearest_of_all
+    word = lambda lo, hi: "".join(draw.choice("VVVPTKN") for _ in range(draw.randint(lo, hi)))
+    rest = []
+    monkeypatch.setattr(M, "_FEW", 10)
+    for m in range(1, 15):
+        texts = sorted({word(max(1, m - 2), m + 2) for _ in range(400)} | {word(m, m)[::-1] for _ in range(9)} | {"P" * 40, "xyz"})
+        qs = sorted({word(m, m) for _ in range(15)} | set(texts[:9]) | {"Z" * m, word(1, 9)})
+        for most in (1, 5):
+            want = whole(qs, texts, most)
+            with monkeypatch.context() as at:
+                at.setattr(M, "_nearest_of_all", lambda asked, *a: rest.append(len(asked)) or whole(asked, *a))
+                assert M.nearest_of(qs, texts, most) == [[(i, d) for _, i, d in want[q]] for q in qs]
+        if m == 10:
+            rest.clear()
+            texts = sorted({word(9, 11) for _ in range(3000)})
+            with monkeypatch.context() as at:
+                at.setattr(M, "_nearest_of_all", lambda asked, *a: rest.append(len(asked)) or whole(asked, *a))
+                M.nearest_of(texts[:500], texts, 1)
+            assert sum(rest) < 25
+
+
 def test_corpus_files_stay_small_and_words_are_not_dealt_out(spark):
     """Files were 26 times the text and more; words of an inscription met by a window over its number."""
     from tessera.plans import scans
