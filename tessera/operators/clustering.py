@@ -120,33 +120,41 @@ def merge_groups(groups: list[frozenset], threshold: float, most: int) -> list[i
     `most` are left. Gives each group's number in the end."""
     n, members = len(groups), {i: [i] for i in range(len(groups))}
     at = {x: k for k, x in enumerate(sorted(set().union(*groups)))}
-    has = np.zeros((n, len(at)), np.float32)
+    has = np.zeros((n, -(-len(at) // 64)), np.uint64)  # a bit an element
     for i, g in enumerate(groups):
-        has[i, [at[x] for x in g]] = 1
+        bits = np.zeros(has.shape[1] * 64, np.uint8)
+        bits[[at[x] for x in g]] = 1
+        has[i] = np.packbits(bits).view(np.uint64)
+    size = np.array([len(g) for g in groups])
 
     def alike(rows: np.ndarray, i: int) -> np.ndarray:
-        both, either = (has[rows] @ has[i]).astype(float), np.maximum(has[rows], has[i]).sum(1).astype(float)
+        both = np.bitwise_count(has[rows] & has[i]).sum(1, dtype=int)
+        either = size[rows] + size[i] - both
         return np.where(either > 0, both / np.maximum(either, 1), 1.0)
 
     score = np.full((n, n), -1.0)  # of pairs i < j that are left
     for i in range(n - 1):
         score[i, i + 1 :] = alike(np.arange(i + 1, n), i)
-    best = score.max(1) if n else np.zeros(0)
+    best, first = (score.max(1), score.argmax(1)) if n else (np.zeros(0), np.zeros(0, int))  # of each row, and where
+    alive = np.ones(n, bool)
     while len(members) > 1:
         i = int(np.argmax(best))
         if best[i] < threshold and len(members) <= most:
             break
-        j = int(np.argmax(score[i]))
-        has[i] = np.maximum(has[i], has[j])
+        j = int(first[i])
+        has[i] |= has[j]
+        size[i] = np.bitwise_count(has[i]).sum()
         members[i] += members.pop(j)
-        stale = (score[:, i] == best) | (score[:, j] == best)
+        alive[j], best[j] = False, -1
         score[j], score[:, j] = -1, -1
-        left = np.array(sorted(members))
+        left = np.flatnonzero(alive)
         new = alike(left, i)
         score[left[left < i], i], score[i, left[left > i]] = new[left < i], new[left > i]
-        stale[[i, j]] = True
-        best[stale] = score[stale].max(1)
-        best = np.maximum(best, score[:, i])
+        stale = alive & ((first == i) | (first == j))  # only these rows have lost their best
+        stale[i] = True
+        best[stale], first[stale] = score[stale].max(1), score[stale].argmax(1)
+        nearer = alive & ((score[:, i] > best) | ((score[:, i] == best) & (i < first)))
+        best[nearer], first[nearer] = score[nearer, i], i
     members = list(members.values())
     out = [0] * len(groups)
     for number, m in enumerate(members):
