@@ -50,5 +50,6 @@ def result_pairs(spark: SparkSession, path: str) -> DataFrame:
     """cognate_list.tsv files below machine/.../pair folders -> pair, lost, known, score; of several machines the last counts."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "cognate_list.tsv").csv(path, sep="\t", header=True, quote="")
     rows = rows.select("*", F.split("_metadata.file_path", "/").alias("_at")).withColumn("pair", F.element_at("_at", -2)).withColumn("machine", F.element_at("_at", -5))
-    rows = rows.withColumn("_last", F.max("machine").over(Window.partitionBy("pair"))).where("machine = _last OR machine IS NULL")
+    last = rows.groupBy("pair").agg(F.max("machine").alias("_last"))  # a row a pair, so that no pair lies in one task
+    rows = rows.join(F.broadcast(last), "pair", "left").where("machine = _last OR machine IS NULL")
     return rows.select("pair", "lost", F.col("top1_known").alias("known"), F.col("score").try_cast("double").alias("score"))

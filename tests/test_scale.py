@@ -78,6 +78,23 @@ def test_near_texts_are_found_without_comparing_all(monkeypatch):
             assert sum(rest) < 25
 
 
+def test_no_task_has_a_language_or_all_texts(spark, monkeypatch):
+    """Texts of one row group were cut up in one task; a pair's results were written, and met their last machine, in one."""
+    words = registry._word_table(spark, DIR)
+    plan = plan_of(words)
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.index("Generate explode") < plan.index("Exchange hashpartitioning(doc_id")
+    from tessera.plans import scans
+
+    made = []
+    monkeypatch.setattr(scans.lexicons, "result_pairs", lambda spark, path, real=scans.lexicons.result_pairs: made.append(path) or real(spark, path))
+    found = registry.queries()["src_result_pairs"](spark, DIR)
+    want = {(f"en_{r.lang}", r.k, r.f) for r in words.where("lang IS NOT NULL AND n > 3").groupBy("lang").agg({"*": "count", "freq": "sum"}).toDF("lang", "k", "f").selectExpr("lang", "k", "f").collect()}
+    assert {(r.pair, *sorted((r.rows_, r.score))) for r in found.collect()} == {(p, *sorted(x)) for p, *x in want}
+    assert "Window" not in plan_of(found)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(made[0]).count()
+    assert files > 64
+
+
 def test_corpus_files_stay_small_and_words_are_not_dealt_out(spark):
     """Files were 26 times the text and more; words of an inscription met by a window over its number."""
     from tessera.plans import scans
