@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 #: A text with white space other than these two is encoded in one go.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -26,6 +27,20 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(letter[b] for b in chr(c).encode()) for c in [32, *range(0xC0, 0x100)]}
 
 
+class _Known(dict):
+    """Ids by piece; a new piece's are worked out when it is asked for, and kept if it is short."""
+
+    def __init__(self, ids: Callable[[str], bytes]):
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.ids(piece)
+        if len(piece) <= _LONGEST_KEPT:
+            self[piece] = found
+        return found
+
+
 class Encoder:
     """texts -> token ids, unsigned 32-bit in the machine's (little-endian) order.
 
@@ -39,7 +54,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, _Known(self._ids)
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.added = re.compile("|".join(added)).search if added else lambda text: None
         bare, *spaced = self.whole(["a", " a", "a ", "\na"])
@@ -62,22 +77,12 @@ class Encoder:
             return b""
         if _OTHER_SPACE.search(text) or self.added(text):
             return self.whole([text])[0]
-        pieces = self.pieces(text)
-        known = self.known
-        new = list(set(pieces).difference(known))
-        if new:
-            if len(known) > self.most:
-                known.clear()
-                new = list(set(pieces))
-            plain = list(filter(_PLAIN, new)) if self.direct else []
-            known.update(zip(plain, map(self.model, plain), strict=True))
-            rest = [x for x in new if x not in known]
-            known.update(zip(rest, self.whole(rest), strict=True))
-        found = b"".join(map(known.__getitem__, pieces))
-        for piece in new:
-            if len(piece) > _LONGEST_KEPT:
-                del known[piece]
-        return found
+        if len(self.known) > self.most:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, self.pieces(text)))
+
+    def _ids(self, piece: str) -> bytes:
+        return self.model(piece) if self.direct and _PLAIN(piece) else self.whole([piece])[0]
 
 
 _encoders: dict[str, Encoder] = {}

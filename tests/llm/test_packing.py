@@ -56,3 +56,13 @@ def test_documents(spark, documents):
 
 def test_empty(nothing):
     assert pack_documents(nothing, PATH, 1).count() == 0
+
+
+def test_pieces_are_worked_out_when_asked_for():
+    """Every text's pieces were first compared with the known ones, then looked up; now a lookup alone fills in what is new."""
+    from tessera.llm.encoding import _Known
+
+    asked = []
+    known = _Known(lambda piece: asked.append(piece) or piece.encode())
+    assert b"".join(map(known.__getitem__, ["a", " b", "a", "x" * 65, "x" * 65])) == b"a ba" + b"x" * 130
+    assert asked == ["a", " b", "x" * 65, "x" * 65] and set(known) == {"a", " b"}
