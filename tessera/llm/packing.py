@@ -168,8 +168,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, limits: Li
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[n for n, _ in _PIECES])
 
         for batch in batches:
-            for doc_id, text, loss_tokens in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "loss")), strict=True):
-                put(packer.add(_Document(doc_id, encode(text) + end, loss_tokens)))
+            for doc_id, text, loss_tokens in zip(*(batch[c] for c in ("doc_id", "text", "loss")), strict=True):
+                put(packer.add(_Document(doc_id.as_py(), encode(text.as_py()) + end, loss_tokens.as_py())))
                 if len(out) >= 10_000:
                     yield rows_out()
                     out.clear()

@@ -26,7 +26,7 @@ from tessera.llm.shared import about, stored
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 #: Words whose scores a task remembers, and counts of tokens that it holds before it hands them on.
-_REMEMBERED, _COUNTED = 200_000, 300_000
+_REMEMBERED, _COUNTED = 200_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -207,6 +207,18 @@ def _sketch(words: list[str]) -> list[int]:
     return ((least[::2] ^ (least[1::2] >> np.uint64(7))) >> np.uint64(1)).astype(np.int64).tolist()
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, toxic, text -> h, toxic, n (distinct tokens), sketch; a task holds the tokens of one text at a time."""
+
+    def one(text: str | None) -> tuple[int, list[int]]:
+        words = _TOKEN.findall((text or "").lower())
+        return len(set(words)), _sketch(words)
+
+    for batch in batches:
+        got = [one(t.as_py()) for t in batch["text"]]
+        yield pa.RecordBatch.from_arrays([batch["h"], batch["toxic"], pa.array([n for n, _ in got], pa.int64()), pa.array([s for _, s in got], pa.list_(pa.int64()))], names=["h", "toxic", "n", "sketch"])
+
+
 def _one_of_each(rows: list) -> list:
     """rows: h, toxic, distinct, sketch, at most twice Fit.docs -> the row of least h of each group of one label that a sketch links."""
     up: dict = {}
@@ -236,14 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit | None = None) -> Model:
     chosen = about(stored(known, "toxicity-labels"), fit.docs, F.col("doc_id"))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("text").alias("h"), "text", "toxic")  # about fit.docs ids
     sample = about(stored(sample.dropDuplicates(["h", "toxic"]), "toxicity-sample"), 2 * fit.docs, F.col("h"))
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [(t.as_py() or "").lower() for t in batch["text"]]
-            words = [_TOKEN.findall(t) for t in words]
-            yield pa.RecordBatch.from_arrays([batch["h"], batch["toxic"], pa.array([len(set(w)) for w in words], pa.int64()), pa.array([_sketch(w) for w in words], pa.list_(pa.int64()))], names=["h", "toxic", "n", "sketch"])
-
-    rows = _one_of_each(sample.mapInArrow(sketch, "h long, toxic long, n long, sketch array<long>").collect())  # fit.docs bounds them
+    rows = _one_of_each(sample.mapInArrow(_sketches, "h long, toxic long, n long, sketch array<long>").collect())  # fit.docs bounds them
     part_of = lambda r: r["h"] % fit.parts
     held = [None, *range(fit.parts)]  # nothing, and each part in turn
     side = [_Side(*(tuple(sum(f(r) for r in rows if r["toxic"] == k and part_of(r) != part) for k in (1, 0)) for f in (lambda r: 1, lambda r: r["n"]))) for part in held]
@@ -257,12 +262,12 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit | None = None) -> Model:
         seen = [Counter() for _ in each]
 
         def rows_out() -> pa.RecordBatch:
-            tokens = list(set().union(*seen))
-            return pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), *(pa.array([s[t] for t in tokens], pa.int64()) for s in seen)], names=["token", *each])
+            rows = [pa.array([t for s in seen for t in s], pa.string()), pa.array([k for k, s in enumerate(seen) for _ in s], pa.int32()), pa.array([n for s in seen for n in s.values()], pa.int64())]
+            return pa.RecordBatch.from_arrays(rows, names=["token", "k", "n"])
 
         for batch in batches:
-            for text, label, part in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), batch["part"].to_pylist(), strict=True):
-                tokens = set(_TOKEN.findall((text or "").lower()))
+            for text, label, part in zip(batch["text"], batch["toxic"].to_pylist(), batch["part"].to_pylist(), strict=True):
+                tokens = set(_TOKEN.findall((text.as_py() or "").lower()))
                 seen[2 * part + 1 - label].update(tokens | {t[:n] + "*" for n in fit.stems for t in tokens if len(t) > n})
                 if sum(map(len, seen)) > _COUNTED:
                     yield rows_out()
@@ -271,7 +276,8 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit | None = None) -> Model:
         yield rows_out()
 
     each = [f"{c}{part}" for part in range(fit.parts) for c in "ab"]
-    counts = stored(sample.mapInArrow(count, f"token string, {', '.join(f'{c} long' for c in each)}").groupBy("token").agg(*(F.sum(c).alias(c) for c in each)), "toxicity-tokens")
+    of_each = (F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate(each))
+    counts = stored(sample.mapInArrow(count, "token string, k int, n long").groupBy("token").agg(*of_each), "toxicity-tokens")
     summed = lambda c, without: sum((F.col(f"{c}{part}") for part in range(fit.parts) if part != without), F.lit(0))
     lexicons = _lexicons(counts, [(summed("a", part), summed("b", part), s) for part, s in zip(held, side, strict=True)], fit)
     model, *others = (_model(rows, s, fit) for rows, s in zip(lexicons, side, strict=True))
@@ -283,7 +289,7 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit | None = None) -> Model:
             for m in models:
                 m.known.most = _REMEMBERED // len(models)  # a task holds them all
             for batch in batches:
-                got = [(y, *models[part].features(t)) for t, y, part in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), batch["part"].to_pylist(), strict=True)]
+                got = [(y, *models[part].features(t.as_py())) for t, y, part in zip(batch["text"], batch["toxic"].to_pylist(), batch["part"].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([float(g[k]) for g in got], pa.float64()) for k in range(3)], names=["y", "best", "total"])
 
         return np.array(sorted(map(tuple, sample.mapInArrow(rate, "y double, best double, total double").collect())))  # fit.docs bounds them

@@ -111,3 +111,20 @@ def test_counts_go_on_before_a_task_holds_all(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "_COUNTED", 10)
     parts = toxicity.train(docs, labels)
     assert whole.odds == parts.odds and whole.odds and whole.cut == parts.cut
+
+
+def test_a_task_holds_the_tokens_of_one_text():
+    """Sketches of a batch take far less memory than its tokens, which were all held at once before."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = lambda i: " ".join(letters[i % 26] + letters[j % 26] + letters[j // 26 % 26] * (j // 676 + 1) for j in range(2000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([0] * 200), pa.array([text(i) for i in range(200)])], names=["h", "toxic", "text"])
+    tracemalloc.start()
+    (got,) = toxicity._sketches(iter([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4_000_000  # 400,000 tokens of 50 bytes and more
+    assert set(got["n"].to_pylist()) == {2000} and got.num_rows == 200
