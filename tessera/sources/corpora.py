@@ -21,7 +21,11 @@ def scan(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """path, corpus_hash, inventory, inscriptions, corrupt: a row for each file, or with lines for each line, so that a corpus of any size
     is read in parts. A bare list is taken as inscriptions without an inventory. What is no JSON of that form has corrupt set
     and no inscriptions."""
-    text = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
+    return parse(spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json")))
+
+
+def parse(text: DataFrame) -> DataFrame:
+    """path, json: corpora as text, from files or elsewhere -> the columns of scan."""
     bare = F.ltrim("json").startswith("[")
     whole = F.from_json("json", f"struct<sign_inventory: {INVENTORY}, inscriptions: array<{INSCRIPTION}>, _bad: string>", {"columnNameOfCorruptRecord": "_bad"})
     alone = F.from_json("json", f"array<{INSCRIPTION}>")
@@ -45,7 +49,8 @@ def readings_of_codes(corpus: DataFrame, by_confidence: list[str] | None = None)
 
 
 def _inscriptions(corpus: DataFrame) -> DataFrame:
-    return corpus.select(F.explode("inscriptions").alias("i")).select(F.coalesce("i.id", F.lit("unknown")).alias("insc_id"), F.coalesce("i.type", F.lit("unknown")).alias("insc_type"), F.coalesce("i.site", F.lit("unknown")).alias("site"), "i.words", "i.signs_sequence")
+    # outer, as the plain one would have Spark work out the whole array a second time, to skip empty ones; rows without words or signs go where those are dealt out
+    return corpus.select(F.explode_outer("inscriptions").alias("i")).select(F.coalesce("i.id", F.lit("unknown")).alias("insc_id"), F.coalesce("i.type", F.lit("unknown")).alias("insc_type"), F.coalesce("i.site", F.lit("unknown")).alias("site"), "i.words", "i.signs_sequence")
 
 
 def _codes(word: Column) -> Column:
