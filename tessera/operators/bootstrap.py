@@ -111,7 +111,8 @@ def letter_counts(docs: DataFrame, replicates: int, seed: str, contexts: bool =
             yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in held], pa.string()) for i in range(3)), pa.ListArray.from_arrays(np.arange(len(v) + 1) * v.shape[1], v.ravel())], names=["lang", "sign", "cell", "v"])
 
     schema = "lang string, sign string, cell string, v array<long>"
-    return docs.select("doc_id", "lang", F.lower("text").alias("text")).mapInArrow(count, schema).repartition("lang", "sign", "cell").mapInArrow(add, schema)
+    dealt = docs.select("doc_id", "lang", "text").repartition("doc_id", F.xxhash64("text"))  # a file may hold all in one row group
+    return dealt.select("doc_id", "lang", F.lower("text").alias("text")).mapInArrow(count, schema).repartition("lang", "sign", "cell").mapInArrow(add, schema)
 
 
 def by_replicate(counts: DataFrame) -> DataFrame:

@@ -141,3 +141,16 @@ def test_override_keeps_statistics(spark):
         t = tested.get(key)
         assert r.tested == (t is not None) and (r.total, r.detected) == ((t.total, t.is_vowel) if t else (max(r.total, 1), False))
         assert r.confidence == pytest.approx(min(1, t.enrichment / 3) if t else 0.5, abs=1e-6)
+
+
+def test_replicates_are_counted_by_several_tasks(spark, tmp_path):
+    """A file of one row group was counted in one task; weights are those of the plain comparison with each share."""
+    import numpy as np
+
+    from tessera.operators import bootstrap
+
+    spark.range(4000).selectExpr("id AS doc_id", "'en' AS lang", "'some words ' || id AS text").coalesce(1).write.parquet(f"{tmp_path}/d")
+    plan = bootstrap.letter_counts(spark.read.parquet(f"{tmp_path}/d"), 4, "x")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Exchange" in plan[plan.rindex("MapInArrow") :]
+    u = np.frombuffer(b"".join(bootstrap.hashlib.md5(f"x|{b}|{i}".encode()).digest() for i in range(50) for b in range(5)), ">u4").reshape(50, -1) / 4294967296
+    assert (bootstrap.weights(list(range(50)), 20, "x")[:, 1:] == (u[..., None] >= np.array(bootstrap.POISSON)).sum(2)).all()
