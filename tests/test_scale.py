@@ -78,6 +78,20 @@ def test_near_texts_are_found_without_comparing_all(monkeypatch):
             assert sum(rest) < 25
 
 
+def test_queries_look_for_near_texts_together(monkeypatch):
+    """Each query went through the texts by itself, several times; now those that begin alike go together, and few texts are compared whole."""
+    draw = random.Random(7)
+    word = lambda: "".join(draw.choice("VVVPTKNSLR") for _ in range(draw.randint(9, 13)))
+    texts, qs = sorted({word() for _ in range(6000)}), sorted({q for q in (word() for _ in range(1500)) if len(q) == 11})
+    want, whole, steps, met = M._nearest_of_all(qs, texts, 2), [], [], []
+    monkeypatch.setattr(M, "_nearest_of_all", lambda asked, *a, real=M._nearest_of_all: whole.extend(asked) or real(asked, *a))
+    monkeypatch.setattr(M, "_near_pairs", lambda *a, real=M._near_pairs: steps.append(1) or real(*a))
+    monkeypatch.setattr(M, "_distances", lambda codes, t, at, real=M._distances: met.append(len(at)) or real(codes, t, at))
+    assert M.nearest_of(qs, texts, 2) == [[(i, d) for _, i, d in want[q]] for q in qs]
+    assert len(qs) > 200 and not whole and len(steps) < len(qs) / 4 and sum(met) < len(qs) * len(texts) / 10
+    assert M._nearest_of_few(qs[:9], M._both_ways(texts, sorted(set("".join(texts))))[0], sorted(set("".join(texts))), 2) == {q: want[q] for q in qs[:9]}
+
+
 def test_no_task_has_a_language_or_all_texts(spark, monkeypatch):
     """Texts of one row group were cut up in one task; a pair's results were written, and met their last machine, in one."""
     words = registry._word_table(spark, DIR)
