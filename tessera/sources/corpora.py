@@ -97,7 +97,9 @@ def grammar_words(corpus: DataFrame, is_numeral: Column | None = None) -> DataFr
     rows = _inscriptions(corpus).select("insc_id", "insc_type", "site", F.filter(F.transform("words", codes), legible).alias("signs"))
     # an inscription's words stay one array, so none is dealt out to meet the next
     both = F.arrays_zip("signs", F.slice("signs", 2, F.greatest(F.size("signs"), F.lit(1))).alias("following"))
-    rows = rows.select("insc_id", "insc_type", "site", F.size("signs").cast("long").alias("n_words"), F.posexplode(both).alias("position", "w"))
+    # counted before they are dealt out, as each word would carry all words of its inscription along for their number
+    rows = rows.select("insc_id", "insc_type", "site", F.size("signs").cast("long").alias("n_words"), both.alias("both"))
+    rows = rows.select("insc_id", "insc_type", "site", "n_words", F.posexplode("both").alias("position", "w"))
     numerals = F.forall("w.following", lambda s: s.startswith("N") | s.rlike("^A7"))
     after = F.coalesce((F.size("w.following") > 0) & numerals, F.lit(False))
     return rows.select("insc_id", "insc_type", "site", F.col("w.signs").alias("signs"), "position", "n_words", after.alias("has_numeral_after"))

@@ -123,6 +123,25 @@ def test_corpus_files_stay_small_and_words_are_not_dealt_out(spark):
     assert "Exchange" not in plan_of(words) and words.count() > 0
 
 
+def dealt_out_with(df) -> list[list[str]]:
+    """Types of the columns that go along with each row, for each explode of the optimized plan."""
+    found, left = [], [df._jdf.queryExecution().optimizedPlan()]
+    while left:
+        node = left.pop()
+        if node.nodeName() == "Generate":
+            along = node.requiredChildOutput()
+            found.append([along.apply(i).dataType().typeName() for i in range(along.size())])
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_a_word_does_not_carry_its_inscription(spark):
+    """For their number each word had all words of its inscription beside it, which are kept until the last is dealt out: with 20,000 words gigabytes."""
+    found = registry.queries()["src_grammar_words"](spark, DIR)
+    along = dealt_out_with(found)
+    assert len(along) == 2 and all(t in ("string", "long") for of in along for t in of)
+
+
 def test_profiles_deal_out_counts_not_words(spark):
     """Each word met its neighbours by a window over its document before, once for each of four uses."""
     plan = plan_of(registry.queries()["p3_profile_ppmi"](spark, DIR))
