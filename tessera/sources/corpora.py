@@ -69,10 +69,18 @@ def words(corpus: DataFrame) -> DataFrame:
     # signs are chosen within an inscription, by its file's inventory, so that neither goes along with each word
     kind = lambda s: F.coalesce(F.col("inventory")[s["reading"]]["type"], F.col("inventory")[s["sign_id"]]["type"], F.when(s["sign_id"].startswith("A7") | s["sign_id"].startswith("NUM"), "numeral").otherwise("unknown"))
     signs = lambda w: F.transform(F.filter(_codes(w), lambda s: kind(s) == "syllabogram"), lambda s: s["sign_id"])
-    judged = F.transform("i.words", lambda w: F.struct(F.coalesce(w["has_damage"], F.lit(False)).alias("has_damage"), signs(w).alias("sign_ids")))
-    rows = corpus.select("inventory", F.explode("inscriptions").alias("i"))
+    # an inscription's readings that name no syllabogram are found once; a word without them keeps its codes as they are, others are looked up sign by sign
+    none = F.array().cast("array<string>")
+    readings = F.array_distinct(F.flatten(F.transform("i.words", lambda w: F.coalesce(w["sign_readings"], none))))
+    rest = F.filter(readings, lambda r: F.coalesce(F.col("inventory")[r]["type"] != "syllabogram", F.lit(True)))
+    plain = lambda w, codes, rest: F.coalesce((w["ab_codes"] != "") & (F.size(codes) == F.size(w["sign_readings"])) & ~F.arrays_overlap(w["sign_readings"], rest), F.lit(False))
+    word = lambda w, codes, rest: F.struct(F.coalesce(w["has_damage"], F.lit(False)).alias("has_damage"), F.when(plain(w, codes, rest), codes).otherwise(signs(w)).alias("sign_ids"))
+    codes = F.transform("i.words", lambda w: F.split(w["ab_codes"], "-"))
+    # given by a lambda, as a column of its own might be worked out again for each word
+    judged = F.get(F.transform(F.array(rest), lambda rest: F.zip_with("i.words", codes, lambda w, c: word(w, c, rest))), F.lit(0))
+    rows = corpus.select("inventory", F.explode_outer("inscriptions").alias("i"))  # outer here and below as in _inscriptions
     rows = rows.select(*(F.coalesce(f"i.{c}", F.lit("unknown")).alias(name) for c, name in (("id", "insc_id"), ("type", "insc_type"), ("site", "site"))), judged.alias("judged"))
-    rows = rows.select("insc_id", "insc_type", "site", F.posexplode("judged").alias("word_index", "w"))
+    rows = rows.select("insc_id", "insc_type", "site", F.posexplode_outer("judged").alias("word_index", "w")).where("word_index IS NOT NULL")
     return rows.select("insc_id", "insc_type", "site", "word_index", "w.has_damage", "w.sign_ids").withColumn("n", F.size("sign_ids"))
 
 
@@ -99,7 +107,7 @@ def grammar_words(corpus: DataFrame, is_numeral: Column | None = None) -> DataFr
     both = F.arrays_zip("signs", F.slice("signs", 2, F.greatest(F.size("signs"), F.lit(1))).alias("following"))
     # counted before they are dealt out, as each word would carry all words of its inscription along for their number
     rows = rows.select("insc_id", "insc_type", "site", F.size("signs").cast("long").alias("n_words"), both.alias("both"))
-    rows = rows.select("insc_id", "insc_type", "site", "n_words", F.posexplode("both").alias("position", "w"))
+    rows = rows.select("insc_id", "insc_type", "site", "n_words", F.posexplode_outer("both").alias("position", "w")).where("position IS NOT NULL")  # as in _inscriptions
     numerals = F.forall("w.following", lambda s: s.startswith("N") | s.rlike("^A7"))
     after = F.coalesce((F.size("w.following") > 0) & numerals, F.lit(False))
     return rows.select("insc_id", "insc_type", "site", F.col("w.signs").alias("signs"), "position", "n_words", after.alias("has_numeral_after"))

@@ -3,8 +3,11 @@
 import contextlib
 import hashlib
 import io
+import json
 import random
 
+from pyspark.sql import functions as F
+
 from tessera.operators import similarity as M
 from tessera.plans import evidence, registry
 
@@ -142,6 +145,48 @@ def test_a_word_does_not_carry_its_inscription(spark):
     assert len(along) == 2 and all(t in ("string", "long") for of in along for t in of)
 
 
+def test_sounds_are_counted_in_one_pass(spark, tmp_path):
+    """The corpus was written to files and parsed three times, for words, signs and pairs; of one row group, in one task."""
+    from tessera.plans import scans
+    from tessera.sources import corpora
+
+    found = scans.src_corpus_words(spark, DIR)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField(sign_inventory") == 1 and "Join" not in plan and "size(" not in "".join(x for x in plan.splitlines() if "Filter" in x)
+    assert plan.index("from_json") < plan.index("RepartitionByExpression [doc_id")
+    rows = [(7, "cut off", "en", "s1"), (1, "Aqua ab as a zzz quiz Straße été", "fr", None), (None, "aa b", "de", "s1"), (2, None, "en", "s2"), (3, "12 !", "es", "s2"), (4, "abba as", None, "s1")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for d in (DIR, str(tmp_path)):
+        w = corpora.words(corpora.scan(spark, scans._corpus_file(spark, d, "inventory", "ab_codes", "sign_readings", "has_damage"), lines=True)).withColumn("insc_id", F.col("insc_type"))
+        count = lambda df: {r.insc_id: r["count"] for r in df.groupBy("insc_id").count().collect()}
+        places = corpora.positions(w)
+        each = [count(x) for x in (w, w.where("has_damage"), places, places.where("place = 'initial' AND sign_id = 'A'"), corpora.bigrams(w))]
+        assert {r.lang: tuple(r)[1:] for r in scans.src_corpus_words(spark, d).collect()} == {lang: tuple(x.get(lang, 0) for x in each) for lang in each[0]} != {}
+
+
+def test_signs_of_plain_words_are_those_looked_up_one_by_one(spark):
+    """Words whose readings are all syllabograms keep their codes; what is odd goes by the inventory, else by the code."""
+    from tessera.sources import corpora
+
+    kinds = {"ka": "syllabogram", "ti": "syllabogram", "GRA": "logogram", "AB5": "syllabogram", "no": None}
+    given = [
+        ("A-B", ["ka", "ti"]), ("A-B", ["ka", "GRA"]), ("A-B", ["ka"]), ("A-AB5", ["ka"]), ("A-B", ["ka", None]), ("A-AB5", [None, "so"]), ("A-B", ["ka", "ti", "GRA"]), ("A", ["so"]), ("AB5-A704", ["no", "so"]),
+        ("", ["ka", "GRA"]), (None, ["ka"]), ("A-B", None), (None, None), ("A--B", ["ka", "ti", "ka"]), ("ka-ka", ["ti", "ti"]),
+    ]
+    want = []
+    for codes, readings in given:
+        r = readings or []
+        pairs = [(c, r[i] if i < len(r) and r[i] is not None else c) for i, c in enumerate(codes.split("-"))] if codes else [(f"R_{x}", x) for x in r]
+        want.append([c for c, x in pairs if (kinds.get(x) or kinds.get(c)) == "syllabogram"])
+    some = {"words": [{"ab_codes": c, "sign_readings": r} for c, r in given] + [None]}
+    line = lambda **x: json.dumps({"inscriptions": [some, {"words": None}, {"words": []}, None]} | x)
+    lines = spark.createDataFrame([("a", line(sign_inventory={k: {"type": v} for k, v in kinds.items()})), ("b", line()), ("c", "{")], "path string, json string")
+    for path, signs in (("a", want), ("b", [[]] * len(given))):
+        rows = corpora.words(corpora.parse(lines.where(F.col("path") == path))).orderBy("word_index").collect()
+        assert [r.sign_ids for r in rows] == [*signs, []] and [r.word_index for r in rows] == list(range(len(given) + 1))
+    assert not corpora.words(corpora.parse(lines.where("path = 'c'"))).count() and not corpora.grammar_words(corpora.parse(lines.where("path = 'c'"))).count()
+
+
 def test_profiles_deal_out_counts_not_words(spark):
     """Each word met its neighbours by a window over its document before, once for each of four uses."""
     plan = plan_of(registry.queries()["p3_profile_ppmi"](spark, DIR))
